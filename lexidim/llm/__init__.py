@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from lexidim.llm import pii, secrets
+    from lexidim.llm import decontamination, licenses, line_dedup, packing, pii, secrets
 
     return {
+        "op1_packing": packing.op1_packing,
+        "op4_licenses": licenses.op4_licenses,
         "op6_secrets": secrets.op6_secrets,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_pii": pii.op8_pii,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lexidim.llm import line_dedup
+
+    return {"op7_line_dedup": line_dedup.OP7_SQL}

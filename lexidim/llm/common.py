@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,11 @@ def kind_is(kind: str) -> Callable:
     return lambda span: span["kind"] == kind
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task; functions that travel by value keep nothing."""
+    return sys.modules["pyspark"].__dict__.setdefault("_lexidim_worker_cache", {})
+
+
 def map_batches(df: DataFrame, columns: list, schema: str, setup: Callable[[], Callable]) -> DataFrame:
     """Run a kernel over slices of df[columns] in Arrow batches.
 
