@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import bisect
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -27,21 +26,46 @@ from pyspark.sql.window import Window
 from lexidim.llm.common import checkpointed, map_batches, read_table, worker_cache
 
 LIMIT, END_ID = 2048, 0
-#: Words whose ids a worker remembers, and the longest such word; beyond that they are encoded anew.
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+#: Words whose ids a worker remembers, and the longest such word; all others are encoded anew.
+CACHED_WORDS, CACHED_CHARS = 800_000, 48
+#: Marks that stand after a word as a token run of their own.
+MARKS = ".,;:!?"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for
+    themselves, the others for characters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
 
 
 class WordIds(dict):
-    """Ids of a word that follows a blank or, if it begins with a newline, follows that newline."""
+    """Ids, as little-endian unsigned 32-bit numbers, of a word that follows a blank or, if it
+    begins with a newline, follows that newline."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> tuple:
-        ids = tuple(self.tokenizer.encode(word if word[:1] == "\n" else " " + word, add_special_tokens=False).ids)
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+        self.tokenizer, self.model, self.alphabet = tokenizer, tokenizer.model, byte_alphabet()
+        self.marks: dict[str, bytes] = {}
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if len(core) < len(word) and core[-1:].isalpha():
+            mark = word[len(core) :]
+            if mark not in self.marks:
+                if len(mark) > 8:
+                    return self[core] + self.encoded(mark)
+                self.marks[mark] = self.encoded(mark)
+            return self[core] + self.marks[mark]
+        if word.isalpha():  # one pre-token, so the merges alone decide
+            letters = (" " + word).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        else:
+            ids = self.encoded(word if word[:1] == "\n" else " " + word)
+        if len(word) <= CACHED_CHARS and len(self) < CACHED_WORDS:
             self[word] = ids
         return ids
 
@@ -56,18 +80,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = WordIds(self.tokenizer) if "ByteLevel" in str(self.tokenizer.pre_tokenizer) else None
+        by_bytes = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        self.words = WordIds(self.tokenizer)
+        self.by_words = by_bytes and "add_prefix_space=False" in str(self.tokenizer.pre_tokenizer)
 
-    def __call__(self, text: str) -> list[int]:
-        if self.words is None or not text:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def __call__(self, text: str) -> bytes:
+        if not self.by_words or not text:
+            return self.words.encoded(text)
         parts = text.replace("\n", " \n").split(" ")
         words = text.split()
         if len(words) != len(parts) or sum(map(len, words)) + len(parts) - 1 != len(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out = self.tokenizer.encode(parts[0], add_special_tokens=False).ids
-        out.extend(chain.from_iterable(map(self.words.__getitem__, parts[1:])))
-        return out
+            return self.words.encoded(text)
+        return self.words.encoded(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
 
 
 def cut(total: int, limit: int) -> list[tuple[int, int]]:
@@ -85,14 +109,14 @@ def tokenized(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int =
     def setup():
         cache = worker_cache()
         encode = cache.get(("encoder", tokenizer)) or cache.setdefault(("encoder", tokenizer), Encoder(tokenizer))
-        part, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        part, seen, end = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64), np.array([end_id], "<u4").tobytes()
 
         def kernel(ids, texts):
             out = ([], [], [], [], [], [], [])
             for i, t in zip(ids, texts):
-                tokens = np.array([*encode(t or ""), end_id], dtype="<u4")
-                for k, (start, length) in enumerate(cut(len(tokens), limit)):
-                    for col, v in zip(out, (i, k, start, length, tokens[start : start + length].tobytes(), part, int(seen[length]))):
+                tokens = encode(t or "") + end
+                for k, (start, length) in enumerate(cut(len(tokens) // 4, limit)):
+                    for col, v in zip(out, (i, k, start, length, tokens[4 * start : 4 * (start + length)], part, int(seen[length]))):
                         col.append(v)
                     seen[length] += 1
             return out
