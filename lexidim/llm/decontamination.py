@@ -84,7 +84,7 @@ def align(pattern: bytes, text: bytes, edits: int) -> tuple[int, int, int] | Non
         return None
     wide = np.full(m + width + edits, -1, np.int16)
     wide[edits : edits + size] = np.frombuffer(text, np.uint8)
-    far = np.int32(m + edits + 1)
+    far = np.int32(m + edits + 1)  # more than any cost within reach
     places = np.arange(width, dtype=np.int32)
     start = places - edits  # cell c of row i stands at position i + c - edits of the text
     cost = np.where((start < 0) | (start > size), far, 0).astype(np.int32)
@@ -102,9 +102,11 @@ def align(pattern: bytes, text: bytes, edits: int) -> tuple[int, int, int] | Non
         origin = np.maximum.accumulate(np.where(level == reach, places, 0))
         cost, start = reach + places, new_start[origin]
         cost[position > size] = far
-        if cost.min() > edits:
+        if i % 16 == 15 and cost.min() > edits:
             return None
     best = int(cost.argmin())
+    if cost[best] > edits:
+        return None
     return int(cost[best]), max(0, int(start[best])), m + best - edits
 
 
@@ -117,7 +119,7 @@ class Matcher:
         self.edits = np.array([budget(len(p), rate=rate) for p in self.patterns], np.int64)
         self.short = [k for k, p in enumerate(self.patterns) if len(p) < Q]
         self.need = np.array([max(1, len(p) - Q + 1 - Q * int(e)) for p, e in zip(self.patterns, self.edits)], np.int64)
-        self.band = int(self.edits.max(initial=0)) + 1
+        self.half = self.edits + 1  # width of half a band
         codes = [grams(p) for p in self.patterns]
         code = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
@@ -142,28 +144,25 @@ class Matcher:
         if not total:
             return
         entry = np.arange(total) + np.repeat(self.first[which] - (np.cumsum(many) - many), many)
-        pattern = self.owner[entry]
-        half = (np.repeat(at, many) - self.place[entry]) // self.band
-        span = len(data) // self.band + PATTERN + 4  # half bands, from a negative diagonal on
-        key = pattern * span + half + PATTERN + 1
-        # cells that can't reach any pattern's count are dropped before the keys are sorted
+        pattern, place = self.owner[entry], self.place[entry]
+        span = len(data) + 2 * PATTERN  # more than a pattern has half bands
+        key = pattern * span + (np.repeat(at, many) - place) // self.half[pattern] + PATTERN
+        # cells that can't reach a pattern's count are dropped before the keys are sorted
         cells = 1 << 18
         rough = np.bincount((key * 7919) & (cells - 1), minlength=cells)
-        for move in (1, -1):
-            pair = rough[(key * 7919) & (cells - 1)] + rough[((key + move) * 7919) & (cells - 1)]
-            keep = pair >= self.need[pattern]
-            if move == 1:
-                first = keep
-        keep |= first
-        key = key[keep]
-        if not len(key):
+        own, after, before = (rough[((key + move) * 7919) & (cells - 1)] for move in (0, 1, -1))
+        keep = own + np.maximum(after, before) >= self.need[pattern]
+        if not keep.any():
             return
+        # a pattern's q-gram counts once in half a band, however often the text has it there
+        key = np.unique(key[keep] * PATTERN + place[keep]) // PATTERN
         keys, n = np.unique(key, return_counts=True)
         following = np.searchsorted(keys, keys + 1)
         beside = np.append(keys, -1)[following] == keys + 1
         shared = n + np.where(beside, np.append(n, 0)[following], 0)
         for k in np.flatnonzero(shared >= self.need[keys // span]):
-            yield int(keys[k] // span), int(keys[k] % span - PATTERN - 1) * self.band
+            p = int(keys[k] // span)
+            yield p, int(keys[k] % span - PATTERN) * int(self.half[p])
 
     def find(self, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """By (text, pattern): (edits, start, end) in the normalised text."""
@@ -188,14 +187,14 @@ class Matcher:
                     if where >= 0:
                         out[g, k] = (0, where, where + len(self.patterns[k]))
         for k, diagonal in sorted(self.bands(data), key=lambda b: (b[0], b[1])):
-            pattern, edits = self.patterns[k], int(self.edits[k])
-            middle = min(max(0, diagonal + self.band + len(pattern) // 2), len(data) - 1)
-            for g in {int(np.searchsorted(ends, x, side="right")) for x in (max(0, diagonal), middle, min(len(data) - 1, diagonal + 2 * self.band + len(pattern)))}:
+            pattern, edits, band = self.patterns[k], int(self.edits[k]), 2 * int(self.half[k])
+            middle = min(max(0, diagonal + (band + len(pattern)) // 2), len(data) - 1)
+            for g in {int(np.searchsorted(ends, x, side="right")) for x in (max(0, diagonal), middle, min(len(data) - 1, diagonal + band + len(pattern)))}:
                 if g >= len(group):
                     continue
                 text, offset = texts[group[g]], int(ends[g]) - len(texts[group[g]]) - 1
                 low = max(0, diagonal - offset - edits)
-                window = text[low : max(0, diagonal - offset + 2 * self.band + len(pattern) + edits)]
+                window = text[low : max(0, diagonal - offset + band + len(pattern) + edits)]
                 whole = window.find(pattern)
                 found = (0, whole, whole + len(pattern)) if whole >= 0 else align(pattern, window, edits) if edits else None
                 if found:
