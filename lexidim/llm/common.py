@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 from collections.abc import Callable, Iterator
@@ -33,9 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and cut its lineage there."""
+    """Write df to the shared folder and cut its lineage there.
+
+    Exchange files behind the cut are of no more use. Spark removes them once its driver has
+    collected the plans that held them, which a driver with much free memory may put off for
+    long; so it is asked to.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def kind_is(kind: str) -> Callable:

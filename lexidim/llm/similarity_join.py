@@ -43,47 +43,63 @@ FRAGMENTS = 4
 BLOCK = 512
 #: Columns of the 0/1 matrices that are multiplied at a time.
 COLUMNS = 4096
-CACHED_WORDS = 1_000_000
+#: Bits of the filter that keeps texts of no use from the exchange.
+FILTER_BITS = 1 << 23
 
 U = np.uint64
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def word_hashes() -> WordHashes:
-    cache = worker_cache()
-    return cache.get("word hashes") or cache.setdefault("word hashes", WordHashes())
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
     return x ^ (x >> U(33))
 
 
-def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, U)
-    h = np.fromiter(map(hashes.__getitem__, words), U, len(words))
-    if len(words) < n:
-        salted = mixed(h + np.arange(1, len(h) + 1, dtype=U) * U(0x9E3779B97F4A7C15))
-        return mixed(np.bitwise_xor.reduce(salted, keepdims=True) + U(len(words)))
-    m = len(h) - n + 1
-    out = h[:m] * U(3)
+#: A word's hash is the sum of its bytes' values times powers of BASE, modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=U) * U(BASE))
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse modulo 2^64, kept from task to task."""
+    cache = worker_cache()
+    if len(cache.get("powers", ((), ()))[0]) < n:
+        sizes = np.full(max(n, 1 << 21), BASE, U), np.full(max(n, 1 << 21), pow(BASE, -1, 1 << 64), U)
+        for p in sizes:
+            p[0] = 1
+        cache["powers"] = tuple(np.cumprod(p, dtype=U) for p in sizes)
+    return cache["powers"]
+
+
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word n-grams; all texts' words at one go."""
+    parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    up, down = powers(len(data))
+    blank = BLANK[data]
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
+    edges = np.flatnonzero(np.diff(blank, prepend=True))
+    starts, ends = edges[::2], edges[1::2]  # the last byte is blank, so every word ends
+    h = mixed((sums[ends] - sums[starts]) * down[starts])
+    texts_end = np.cumsum([len(p) + 1 for p in parts])
+    last = np.searchsorted(starts, texts_end)
+    m = max(len(h) - n + 1, 0)
+    grams = h[:m] * U(3)
     for k in range(1, n):
-        out = mixed(out) + h[k : k + m]
-    return np.unique(mixed(out))
+        grams = mixed(grams) + h[k : k + m]
+    grams = mixed(grams)
+    out = []
+    for low, high in zip([0, *last[:-1].tolist()], last.tolist()):
+        if high - low >= n:
+            out.append(np.unique(grams[low : high - n + 1]))
+        elif high > low:
+            salted = mixed(h[low:high] + np.arange(1, high - low + 1, dtype=U) * U(BASE))
+            out.append(mixed(np.bitwise_xor.reduce(salted, keepdims=True) + U(high - low)))
+        else:
+            out.append(np.empty(0, U))
+    return out
 
 
 def class_key(tokens: np.ndarray) -> tuple[int, int]:
@@ -111,12 +127,10 @@ def described(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (_id, _hash, _n, _c1, _c2) of all documents and, with _part set, this task's sketch."""
 
     def run(source):
-        hashes, sketch = word_hashes(), np.zeros(SKETCH, np.int64)
+        sketch = np.zeros(SKETCH, np.int64)
         for ids, texts, marks in _texts(source):
-            sets = [shingles(t, n, hashes) for t in texts]
-            if len(every := np.concatenate(sets)):
-                slot, many = np.unique(every & U(SKETCH - 1), return_counts=True)
-                sketch[slot] += many
+            sets = shingle_sets(texts, n)
+            sketch += np.bincount((np.concatenate(sets) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             keys = [class_key(s) if len(s) else (None, None) for s in sets]
             blank = [None] * len(ids)
             yield ids, marks, [len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys], blank, blank
@@ -160,45 +174,81 @@ def prefix_tokens(docs: DataFrame, n: int, num: int, den: int, rank, sketch_one,
     """(_token, _c1) of the prefixes; n-grams alone in their slot can't be shared and are left out."""
 
     def run(source):
-        hashes, place, lone = word_hashes(), rank.value, sketch_one.value
+        place, lone = rank.value, sketch_one.value
         for ids, texts in _texts(source):
             tokens, owners = [], []
-            for i, t in zip(ids, texts):
-                s = shingles(t, n, hashes)
+            for i, s in zip(ids, shingle_sets(texts, n)):
                 if i is None or not len(s):
                     continue
-                slot = s & U(SKETCH - 1)
+                slot = (s & U(SKETCH - 1)).astype(np.int64)
                 size = len(s) + (-len(s) * num // den) + 1
-                first = np.lexsort((s, place[slot]))[:size]
-                first = first[~lone[slot[first]]]
+                order = place[slot].astype(U) << U(32) | s >> U(32)
+                first = (order <= np.partition(order, size - 1)[size - 1]) & ~lone[slot]  # ties too
                 tokens.append(s[first])
-                owners.append(np.full(len(first), class_key(s)[0], np.int64))
+                owners.append(np.full(len(tokens[-1]), class_key(s)[0], np.int64))
             if tokens:
                 yield pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))
 
     return _arrow_map(docs.select(id_col, text_col), "_token LONG, _c1 LONG", run)
 
 
-def fragment_sets(docs: DataFrame, n: int, rank, cuts: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(_c1, _c2, _n, _fragment, _tokens) of each text, every fragment present."""
+def shipped_sets(docs: DataFrame, n: int, rank, cuts: np.ndarray, text_col: str) -> DataFrame:
+    """A row for each item, side and fragment in which a text's set takes part. docs has the
+    text and _where, the items of its id's classes."""
     pieces = len(cuts) + 1
 
     def run(source):
-        hashes, place = word_hashes(), rank.value
-        for _, texts in _texts(source):
-            out = ([], [], [], [], [])
-            for t in texts:
-                s = shingles(t, n, hashes)
+        place = rank.value
+        for texts, wheres in _texts(source):
+            out = ([], [], [], [], [], [], [], [], [], [])
+            for s, where in zip(shingle_sets(texts, n), wheres):
                 if not len(s):
                     continue
                 c1, c2 = class_key(s)
-                of = np.searchsorted(cuts, place[s & U(SKETCH - 1)], side="right")
-                for f in range(pieces):
-                    for col, v in zip(out, (c1, c2, len(s), f, s[of == f].tobytes())):
-                        col.append(v)
+                own = [w for w in where if w["_c1"] == c1]
+                of = np.searchsorted(cuts, place[(s & U(SKETCH - 1)).astype(np.int64)], side="right")
+                for f in range(pieces if own else 0):
+                    tokens = s[of == f].tobytes()
+                    for w in own:
+                        for col, v in zip(out, (w["_h1"], w["_b1"], w["_h2"], w["_b2"], f, w["_side"], c1, c2, len(s), tokens)):
+                            col.append(v)
             yield out
 
-    return _arrow_map(docs.select(id_col, text_col), "_c1 LONG, _c2 LONG, _n LONG, _fragment INT, _tokens BINARY", run)
+    return _arrow_map(docs.select(text_col, "_where"), "_h1 LONG, _b1 INT, _h2 LONG, _b2 INT, _fragment INT, _side INT, _c1 LONG, _c2 LONG, _n LONG, _tokens BINARY", run)
+
+
+def _bits(hashes: np.ndarray) -> list[np.ndarray]:
+    h = mixed(hashes.astype(U))
+    return [(h >> U(k)).astype(np.int64) & (FILTER_BITS - 1) for k in (0, 31)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS over the ids' hashes, whatever their number. Ids that it lets
+    through wrongly are dropped by the join that follows."""
+
+    def run(source):
+        seen = np.zeros(FILTER_BITS, bool)
+        for b in source:
+            for at in _bits(b.column(0).to_numpy()):
+                seen[at] = True
+        yield [[zlib.compress(np.packbits(seen).tobytes(), 1)]]
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in _arrow_map(ids.select(F.xxhash64("_first")).repartition(8), "_bits BINARY", run).toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row["_bits"]), np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def let_through(docs: DataFrame, known, id_col: str, text_col: str) -> DataFrame:
+    def run(source):
+        for b in source:
+            keep = np.ones(b.num_rows, bool)
+            for at in _bits(b.column(2).to_numpy()):
+                keep &= known.value[at]
+            yield b.filter(pa.array(keep)).columns[:2]
+
+    kind = dict(docs.dtypes)[id_col]
+    return _arrow_map(docs.select(id_col, text_col, F.xxhash64(id_col)), f"`{id_col}` {kind}, `{text_col}` STRING", run)
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -356,7 +406,7 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     rank, lone = sc.broadcast(order), sc.broadcast(sketch <= 1)  # of fixed size, 5 MB
 
     classes = rows.where("_id IS NOT NULL AND _c1 IS NOT NULL").groupBy("_c1", "_c2").agg(F.min("_id").alias("_first"))
-    all_prefixes = checkpointed(prefix_tokens(docs, n, num, den, rank, lone, id_col, text_col))
+    all_prefixes = prefix_tokens(docs, n, num, den, rank, lone, id_col, text_col)
     # n-grams in the prefixes of two classes or more, without gathering an n-gram's classes
     several = all_prefixes.groupBy("_token").agg(F.min("_c1").alias("_low"), F.max("_c1").alias("_high")).where("_low < _high").select("_token")
     prefixes = checkpointed(all_prefixes.join(several, "_token", "left_semi").distinct())
@@ -364,12 +414,14 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     members, items = items_of(prefixes, sizes, block)
     members = checkpointed(members)
 
-    active = classes.join(members.select("_c1"), "_c1", "left_semi").select(F.col("_first").alias(id_col)).distinct()
-    sets = fragment_sets(docs.select(id_col, text_col).join(active, id_col, "left_semi"), n, rank, cuts, id_col, text_col)
-    sets = sets.join(members, "_c1").dropDuplicates(["_c1", "_c2", "_fragment"])
-    sides = [items.select(*ITEM, F.col(f"_h{s + 1}").alias("_home"), F.col(f"_b{s + 1}").alias("_block"), F.lit(s).alias("_side")) for s in (0, 1)]
-    alone = (F.col("_h1") == F.col("_h2")) & (F.col("_b1") == F.col("_b2")) & (F.col("_side") == 1)
-    shipped = sets.join(sides[0].unionByName(sides[1]).where(~alone), ["_home", "_block"])
+    # the items of each class, by the one document whose text stands for it
+    sides = [items.select(*ITEM, F.col(f"_h{k + 1}").alias("_home"), F.col(f"_b{k + 1}").alias("_block"), F.lit(k).alias("_side")) for k in (0, 1)]
+    itself = (F.col("_h1") == F.col("_h2")) & (F.col("_b1") == F.col("_b2")) & (F.col("_side") == 1)
+    placed = members.join(sides[0].unionByName(sides[1]).where(~itself), ["_home", "_block"]).join(classes.select("_c1", "_first"), "_c1")
+    where = checkpointed(placed.groupBy("_first").agg(F.collect_set(F.struct("_c1", *ITEM, "_side")).alias("_where")))
+    some = let_through(docs, sc.broadcast(id_filter(where)), id_col, text_col)
+    texts = some.join(where, some[id_col] == where["_first"]).select(text_col, "_where")
+    shipped = shipped_sets(texts, n, rank, cuts, text_col)
     roots = components(summed_links(fragment_overlaps(shipped), num, den))
 
     klass = F.struct("_c1", "_c2")
