@@ -6,8 +6,9 @@
 2. Two sets that link share an n-gram among the first few of each in that order (the prefix).
    Classes whose prefixes share an n-gram are gathered: each class has one home, the most shared
    n-gram of its prefix, and homes that meet under any prefix n-gram are held against each other.
-   As a class has one home, no two classes are compared twice. Homes are cut into blocks of
-   BLOCK classes by hash, so a hot group becomes many items of work of bounded size.
+   As a class has one home, no two classes are compared twice. Homes that meet and are few make
+   one block; others are cut into blocks of BLOCK classes by hash, so a hot group becomes many
+   items of work of bounded size.
 3. The global order is cut into FRAGMENTS. For each item and fragment the overlaps of its pairs
    are counted apart, as one matrix; the matrices of an item are summed, and the sums decide.
    An item emits a spanning star of each group it finds, never its pairs.
@@ -375,23 +376,38 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def items_of(prefixes: DataFrame, sizes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Members (_c1, _home, _block), and items (ITEM) of blocks to be held against each other."""
-    home = prefixes.join(sizes, "_token").groupBy("_c1").agg(F.max(F.struct("_size", "_token"))["_token"].alias("_home"))
-    home = checkpointed(home)
-    blocks = home.groupBy("_home").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    members = home.join(blocks, "_home").select("_c1", "_home", F.pmod(F.xxhash64("_c1"), "_blocks").cast("int").alias("_block"))
-    met = prefixes.join(home, "_c1").select("_token", "_home").distinct()
+    """Members (_c1, _home, _block), and items (ITEM) of blocks to be held against each other.
+
+    Homes that meet, directly or through others, and have no more than a block's classes together,
+    are one block: a class then goes to one item only. Larger clusters keep their homes apart.
+    """
+    homes = prefixes.join(sizes, "_token").groupBy("_c1").agg(F.max(F.struct("_size", "_token"))["_token"].alias("_home"))
+    homes = checkpointed(homes)
+    counts = homes.groupBy("_home").agg(F.count("*").alias("_n"))
+    met = prefixes.join(homes, "_c1").select("_token", "_home").distinct()
     pairs = (
         met.select("_token", F.col("_home").alias("_h1"))
         .join(met.select("_token", F.col("_home").alias("_h2")), "_token")
         .where("_h1 <= _h2").select("_h1", "_h2").distinct()
     )
-    cuts = pairs.join(blocks.select(F.col("_home").alias("_h1"), F.col("_blocks").alias("_n1")), "_h1").join(blocks.select(F.col("_home").alias("_h2"), F.col("_blocks").alias("_n2")), "_h2")
-    return members, (
+    pairs = checkpointed(pairs)
+    roots = components(pairs.select(F.col("_h1").alias("_a"), F.col("_h2").alias("_b")))
+    clusters = counts.join(roots, counts["_home"] == roots["_node"], "left").select("_home", "_n", F.coalesce("_root", "_home").alias("_cluster"))
+    whole = clusters.groupBy("_cluster").agg(F.sum("_n").alias("_all"))
+    one = F.col("_all") <= block
+    placed = checkpointed(
+        clusters.join(whole, "_cluster").select("_home", F.when(one, F.col("_cluster")).otherwise(F.col("_home")).alias("_to"), F.when(one, 1).otherwise(F.ceil(F.col("_n") / block)).cast("int").alias("_blocks"), one.alias("_one"))
+    )
+    members = homes.join(placed, "_home").select("_c1", F.col("_to").alias("_home"), F.pmod(F.xxhash64("_c1"), "_blocks").cast("int").alias("_block"))
+    apart = placed.where("NOT _one")
+    cuts = pairs.join(apart.select(F.col("_home").alias("_h1"), F.col("_blocks").alias("_n1")), "_h1").join(apart.select(F.col("_home").alias("_h2"), F.col("_blocks").alias("_n2")), "_h2")
+    large = (
         cuts.withColumn("_b1", F.explode(F.sequence(F.lit(0), F.col("_n1") - 1)))
         .withColumn("_b2", F.explode(F.sequence(F.when(F.col("_h1") == F.col("_h2"), F.col("_b1")).otherwise(F.lit(0)), F.col("_n2") - 1)))
         .select(*ITEM)
     )
+    small = placed.where("_one").select(F.col("_to").alias("_h1"), F.lit(0).alias("_b1"), F.col("_to").alias("_h2"), F.lit(0).alias("_b2")).distinct()
+    return members, large.unionByName(small)
 
 
 def near_duplicates(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, fragments: int = FRAGMENTS) -> DataFrame:
@@ -413,6 +429,7 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     sizes = prefixes.groupBy("_token").agg(F.count("*").alias("_size"))
     members, items = items_of(prefixes, sizes, block)
     members = checkpointed(members)
+    del all_prefixes
 
     # the items of each class, by the one document whose text stands for it
     sides = [items.select(*ITEM, F.col(f"_h{k + 1}").alias("_home"), F.col(f"_b{k + 1}").alias("_block"), F.lit(k).alias("_side")) for k in (0, 1)]
