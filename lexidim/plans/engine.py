@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexidim import lexicons as lx
 from lexidim.operators.render import rendered, tag
 from lexidim.operators.scan import Patterns, regions, slug_of
+from lexidim.sources.config import Ontology
 
 REGION = "STRUCT<type: STRING, start: INT, `end`: INT, content: STRING, slug: STRING, ambig_kind: STRING, ambig_alternatives: ARRAY<STRING>, tag: STRING, error: STRING>"
 
@@ -54,21 +55,23 @@ def _scanner(symbols) -> Callable[[], Patterns]:
 
 
 class Engine:
-    """symbols: unit symbols to know instead of the whole table; encode: ids of prose for mode A."""
+    """symbols: unit symbols to know instead of the whole table; encode: ids of prose for mode A;
+    ontology: the types and their order of precedence."""
 
-    def __init__(self, symbols: list[str] | None = None, encode: Callable[[str], list[int]] | None = None, prompts: dict[str, str] | None = None):
+    def __init__(self, symbols: list[str] | None = None, encode: Callable[[str], list[int]] | None = None, prompts: dict[str, str] | None = None, ontology: Ontology | None = None):
         if symbols is not None and not symbols:
             raise ValueError("at least one unit symbol is needed")
+        self.priority = (ontology or Ontology()).priority
         self.symbols, self.encode, self.prompts = symbols, encode, prompts
 
     def regions_of(self, text: Column | str) -> Column:
         """ARRAY of REGION of each text; null for a null text."""
-        patterns = _scanner(self.symbols)
+        patterns, priority = _scanner(self.symbols), self.priority
 
         def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             found = patterns()
             for batch in batches:
-                yield pa.array([None if t is None else [_row(r, t) for r in regions(t, found)] for t in batch.to_pylist()], _REGIONS)
+                yield pa.array([None if t is None else [_row(r, t) for r in regions(t, found, priority)] for t in batch.to_pylist()], _REGIONS)
 
         return F.arrow_udf(scan, f"ARRAY<{REGION}>")(text)
 
@@ -84,7 +87,7 @@ class Engine:
         """df with the rewritten text and `<into>_errors`; in strict mode an error fails the query."""
         if mode == "A" and self.encode is None:
             raise NotImplementedError("mode A needs an encoder for prose")
-        patterns, encode = _scanner(self.symbols), self.encode
+        patterns, encode, priority = _scanner(self.symbols), self.encode, self.priority
 
         def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             found = patterns()
@@ -94,7 +97,7 @@ class Engine:
                     if t is None:
                         out.append(None)
                         continue
-                    text, errors = rendered(t, regions(t, found), mode, encode)
+                    text, errors = rendered(t, regions(t, found, priority), mode, encode)
                     out.append({"text": text, "errors": errors})
                 yield pa.array(out, pa.struct([("text", pa.string()), ("errors", pa.list_(pa.string()))]))
 

@@ -11,10 +11,12 @@ from lexidim import lexicons as lx
 from lexidim import units
 from lexidim.functions import numbers as nb
 from lexidim.functions import text as tx
-from lexidim.operators import resolve
+from lexidim.operators import compose, resolve
 from lexidim.operators.stem import stem
 from lexidim.plans import engine as en
+from lexidim.plans import sql as lexi_sql
 from lexidim.sources import cases as cs
+from lexidim.sources.config import Ontology
 from lexidim.streaming import regions as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,6 +350,44 @@ def sym_variables(spark, sf_dir):
     return df.select("expr", F.array_join(tx.free_variables(F.col("expr")), ",").alias("vars"), tx.compact_expression(F.col("expr")).alias("compact"))
 
 
+COMPOSED = [("pl/12", "pl"), ("kg/m²", ""), ("M_max/EI", "EI,M_max"), ("(ii)", ""), ("palavra", ""), ("2x²", "x"), ("f(x)", "f,x"), ("e/ou", "")]
+
+
+@query(f"SELECT expr, vars FROM (VALUES {values(COMPOSED)}) t(expr, vars)")
+def sym_compose(spark, sf_dir):
+    names = F.udf(lambda t: ",".join(compose.composed(t) or []), "STRING", useArrow=True)
+    return spark.createDataFrame([(t,) for t, _ in COMPOSED], "expr STRING").select("expr", names("expr").alias("vars"))
+
+
+@query("SELECT * FROM (VALUES ('a · b', '0-5'), ('a = b', ''), ('x y', ''), ('a + b = c · d', '0-5,8-13')) t(text, spans)")
+def sym_clusters(spark, sf_dir):
+    def found(text):
+        atoms = [(m, m + 1, "OP" if text[m] in "·=+" else "SYM") for m in range(len(text)) if text[m] != " "]
+        return ",".join(f"{s}-{e}" for s, e in compose.clusters(text, atoms))
+
+    return spark.createDataFrame([("a · b",), ("a = b",), ("x y",), ("a + b = c · d",)], "text STRING").select("text", F.udf(found, "STRING", useArrow=True)("text").alias("spans"))
+
+
+@query(f"SELECT type, priority FROM (VALUES {values((t, k) for k, t in enumerate(lx.TYPES))}) t(type, priority)")
+def ontology_order(spark, sf_dir):
+    return Ontology().table(spark).select("type", "priority")
+
+
+@query("SELECT status, count(*) AS n FROM (VALUES ('OK'), ('OK'), ('OK'), ('DIFF'), ('SKIP')) t(status) GROUP BY status")
+def unit_audit(spark, sf_dir):
+    rows = [("kgf", "kg m s-2", 9.80665), ("psi", "kg m-1 s-2", 6894.757), ("kN", "kg m s-2", 1000.0), ("N", "kg m s-2", 2.0), ("foo", "m", 1.0)]
+    expected = spark.createDataFrame([(s, list(units.dimension(d)), f) for s, d, f in rows], "symbol STRING, dim ARRAY<INT>, factor DOUBLE")
+    return units.audited(spark, expected).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, 'QTY' AS type, p_size || ' MPa' AS content, round(p_size * 1e6 / 98066.5, 6) AS kgf_cm2 FROM part")
+def sql_functions(spark, sf_dir):
+    """The scan as a lateral table function, and a conversion, in SQL."""
+    lexi_sql.register(spark)
+    parts(spark, sf_dir).createOrReplaceTempView("lexi_parts")
+    return spark.sql("SELECT p_partkey, r.type, r.content, round(lexi_convert(lexi_number(split(r.content, ' ')[0]), 'MPa', 'kgf/cm²'), 6) AS kgf_cm2 FROM lexi_parts, LATERAL lexi_regions(text) r WHERE r.type = 'QTY'")
+
+
 # ---- whole texts
 
 

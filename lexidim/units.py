@@ -300,3 +300,11 @@ def converted(df: DataFrame, value_col: str, from_col: str, to_col: str) -> Data
     error = F.coalesce("_from_error", "_to_error", F.when(~same, F.lit("incompatible dimensions")))
     value = F.when(same, F.col(value_col) * F.col("_from_factor") / F.col("_to_factor"))
     return both.select(*df.columns, value.alias("converted"), error.alias("error"))
+
+
+def audited(spark: SparkSession, expected: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """expected (symbol, dim, factor) with status OK, DIFF or SKIP against our atoms."""
+    ours = atom_table(spark).select("symbol", F.col("dim").alias("_dim"), F.col("factor").alias("_factor"))
+    near = F.abs(F.col("factor") - F.col("_factor")) / F.greatest(F.abs("factor"), F.lit(1e-30)) <= tolerance
+    status = F.when(F.col("_factor").isNull(), "SKIP").when(near & (F.col("dim") == F.col("_dim")), "OK").otherwise("DIFF")
+    return expected.join(F.broadcast(ours), "symbol", "left").withColumn("status", status).drop("_dim", "_factor")
