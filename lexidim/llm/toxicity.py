@@ -13,7 +13,7 @@ table, language, source and id are no inputs of a score.
 
 Defined results: a null text counts as empty; an empty text has the score of no evidence; a null
 id is in the training fold, has no label and stays null; ids labelled twice take the larger label,
-labels that are null none; without any label the lexicons and patterns alone decide; every row of
+labels that are null none; without labels of both kinds the lexicons alone decide; every row of
 the input gives one row; other columns of either table are left alone.
 """
 
@@ -38,6 +38,8 @@ VOCABULARY, INDUCED, INDUCED_VOTERS = 800, 240, 4
 STEMS, STEM = (4, 5, 6), "-"
 #: Surplus of joint votes, over the classes' product, at which two voters are correlated.
 CORRELATED = 0.02
+#: Correlation over all texts at which two voters are taken for one from the start.
+REDUNDANT = 0.85
 ROUNDS = 40
 
 # Lexicons of the voters, in lower case.
@@ -130,9 +132,33 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def correlated_blocks(patterns: list[str], counts: np.ndarray, posterior: np.ndarray, least: float = CORRELATED, most: int = 4) -> list[list[int]]:
-    """Groups of voters whose joint votes exceed the classes' products."""
-    votes = np.array([[c == "1" for c in p] for p in patterns], float)
+def _votes(patterns: list[str]) -> np.ndarray:
+    return np.array([[c == "1" for c in p] for p in patterns], float)
+
+
+def _joined(pairs, blocks: list[list[int]], most: int) -> list[list[int]]:
+    """Blocks joined along pairs (strength, a, b), the strongest first, while they stay small."""
+    for _, a, b in sorted(pairs, reverse=True):
+        one, other = next(x for x in blocks if a in x), next(x for x in blocks if b in x)
+        if one is not other and len(one) + len(other) <= most:
+            blocks = [x for x in blocks if x is not one and x is not other] + [sorted(one + other)]
+    return sorted(blocks)
+
+
+def redundant_blocks(patterns: list[str], counts: np.ndarray, least: float = REDUNDANT, most: int = 4) -> list[list[int]]:
+    """Groups of voters that say nearly the same, whatever the class: no class could explain that,
+    and apart they would outvote all others."""
+    votes, w = _votes(patterns), counts / max(counts.sum(), 1e-9)
+    alone = w @ votes
+    spread = np.sqrt(alone * (1 - alone))
+    phi = ((votes * w[:, None]).T @ votes - np.outer(alone, alone)) / np.maximum(np.outer(spread, spread), 1e-12)
+    n = votes.shape[1]
+    return _joined([(phi[a, b], a, b) for a in range(n) for b in range(a) if phi[a, b] > least], [[k] for k in range(n)], most)
+
+
+def correlated_blocks(patterns: list[str], counts: np.ndarray, posterior: np.ndarray, blocks: list[list[int]], least: float = CORRELATED, most: int = 4) -> list[list[int]]:
+    """Blocks joined where voters go together beyond the product of what each does in a class."""
+    votes = _votes(patterns)
     n = votes.shape[1]
     surplus = np.zeros((n, n))
     for weight in (counts * posterior, counts * (1 - posterior)):
@@ -140,13 +166,7 @@ def correlated_blocks(patterns: list[str], counts: np.ndarray, posterior: np.nda
             w = weight / weight.sum()
             alone = w @ votes
             surplus = np.maximum(surplus, np.abs((votes * w[:, None]).T @ votes - np.outer(alone, alone)))
-    blocks = [[k] for k in range(n)]
-    pairs = sorted(((surplus[a, b], a, b) for a in range(n) for b in range(a) if surplus[a, b] > least), reverse=True)
-    for _, a, b in pairs:
-        one, other = next(x for x in blocks if a in x), next(x for x in blocks if b in x)
-        if one is not other and len(one) + len(other) <= most:
-            blocks = [x for x in blocks if x is not one and x is not other] + [sorted(one + other)]
-    return sorted(blocks)
+    return _joined([(surplus[a, b], a, b) for a in range(n) for b in range(a) if surplus[a, b] > least], blocks, most)
 
 
 def fit_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, size: int, ridge: float = 1.0, steps: int = 25) -> tuple[float, np.ndarray]:
@@ -236,14 +256,14 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = np.array([r["n"] for r in tally], float)
     marked = np.array([[r["no"], r["yes"]] for r in tally], float).reshape(-1, 2)
     start = np.array([0.9 if "1" in p else 0.02 for p in patterns])
-    blocks = [[k] for k in range(len(names))]
-    model, posterior = LabelModel(blocks), start
+    posterior, blocks = start, []
     if patterns:
-        posterior = model.fit(patterns, counts, marked, start)
-        blocks = correlated_blocks(patterns, counts, posterior)
+        blocks = redundant_blocks(patterns, counts)
+        posterior = LabelModel(blocks).fit(patterns, counts, marked, start)
+        blocks = correlated_blocks(patterns, counts, posterior, blocks)
         model = LabelModel(blocks)
         posterior = model.fit(patterns, counts, marked, posterior)
-    votes = np.array([[c == "1" for c in p] for p in patterns], float).reshape(-1, len(names))
+    votes = _votes(patterns).reshape(-1, len(names))
     weighed = lambda w: (w @ votes / max(w.sum(), 1e-9)).tolist()
     accuracies = {n: (a, b) for n, a, b in zip(names, weighed(counts * posterior), weighed(counts * (1 - posterior)))}
 
@@ -268,7 +288,10 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     target = np.array([r["p"] for r in rows])
     guess = target >= 0.5
     weight = np.where(guess, 1.0, min(4.0, max(1.0, share.get(0, 1) / max(1, share.get(1, 1)))))
-    intercept, beta = fit_linear([r["on"] for r in rows], target, weight, len(vocabulary)) if rows else (-3.0, np.array([3.0 * any(w in x.split() for x in LEXICONS.values()) for w in vocabulary]))
+    if yes and no:
+        intercept, beta = fit_linear([r["on"] for r in rows], target, weight, len(vocabulary))
+    else:  # nothing to learn from: any word of the lexicons decides
+        intercept, beta = -2.0, np.full(len(vocabulary), 3.0)
     return Model(intercept, {w: float(b) for w, b in zip(vocabulary, beta)}, names, accuracies, [[names[k] for k in b] for b in blocks if len(b) > 1])
 
 

@@ -65,10 +65,10 @@ def test_label_model_recovers_accuracies():
     texts, counts = np.unique(["".join("01"[int(v)] for v in r) for r in votes], return_counts=True)
     start = np.array([0.8 if "1" in t else 0.1 for t in texts])
     known = np.zeros((len(texts), 2))
-    single = tx.LabelModel([[k] for k in range(5)])
-    post = single.fit(list(texts), counts.astype(float), known, start)
-    blocks = tx.correlated_blocks(list(texts), counts.astype(float), post)
-    assert [0, 4] in blocks and len(blocks) == 4
+    blocks = tx.redundant_blocks(list(texts), counts.astype(float))
+    assert blocks == [[0, 4], [1], [2], [3]]
+    post = tx.LabelModel(blocks).fit(list(texts), counts.astype(float), known, start)
+    assert tx.correlated_blocks(list(texts), counts.astype(float), post, blocks) == blocks
     model = tx.LabelModel(blocks)
     post = model.fit(list(texts), counts.astype(float), known, post)
     truth = {t: y[[("".join("01"[int(v)] for v in r)) == t for r in votes[:5000]] + [False] * 15000].mean() for t in ("00000", "11111")}
