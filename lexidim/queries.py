@@ -52,11 +52,12 @@ def grouped_sql(n: str) -> str:
 
 # ---- quantities
 
-PART_TEXT = F.concat(F.lit("tensão de "), F.col("p_size").cast("string"), F.lit(" MPa na peça "), F.lower("p_brand"))
+def part_text():
+    return F.concat(F.lit("tensão de "), F.col("p_size").cast("string"), F.lit(" MPa na peça "), F.lower("p_brand")).alias("text")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", PART_TEXT.alias("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", part_text())
 
 
 @query("SELECT p_partkey, 10 AS q_start, CAST(length(CAST(p_size AS VARCHAR)) + 14 AS INTEGER) AS q_end, p_size || ' MPa' AS content FROM part")
@@ -488,7 +489,7 @@ def stream_regions(spark, sf_dir):
     """The parts as a file stream, to the end of what there is."""
     source = table(spark, sf_dir, "part")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/part.parquet*")
-    texts = stream.select("p_partkey", PART_TEXT.alias("text"))
+    texts = stream.select("p_partkey", part_text())
     found = st.region_stream(texts, ENGINE).where("type = 'QTY'").select("p_partkey", "tag")
     name = f"stream_regions_{abs(hash(sf_dir)) % 10**8}"
     run = found.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
