@@ -3,9 +3,9 @@
 1. Every text becomes a set of hashed word n-grams; equal sets are one class, held by a 128-bit
    key. A sketch of fixed size counts the n-grams of all documents and gives them one global
    order, rare ones first.
-2. Two sets that link share an n-gram among the first few of each in that order (the prefix).
-   Classes whose prefixes share an n-gram are gathered: each class has one home, the most shared
-   n-gram of its prefix, and homes that meet under any prefix n-gram are held against each other.
+2. Two sets that link share SHARED n-grams among the first few of each in that order (the
+   prefix). Classes whose prefixes do are gathered: each class has one home, the most shared
+   n-gram of its prefix, and homes that share that many are held against each other.
    As a class has one home, no two classes are compared twice. Homes that meet and are few make
    one block; others are cut into blocks of BLOCK classes by hash, so a hot group becomes many
    items of work of bounded size.
@@ -40,6 +40,8 @@ from lexidim.llm.common import SLICE_ROWS, checkpointed, read_table, worker_cach
 #: Counters of the sketch that orders n-grams, and the parts in which tasks send them.
 SKETCH, SKETCH_PARTS = 1 << 20, 64
 FRAGMENTS = 4
+#: N-grams that the prefixes of two sets must share; prefixes are longer by one less than that.
+SHARED = 5
 #: Classes of a block; an item of work holds two blocks.
 BLOCK = 512
 #: Columns of the 0/1 matrices that are multiplied at a time.
@@ -172,25 +174,29 @@ def global_order(sketch: np.ndarray, fragments: int = FRAGMENTS) -> tuple[np.nda
 
 
 def prefix_tokens(docs: DataFrame, n: int, num: int, den: int, rank, sketch_one, id_col: str, text_col: str) -> DataFrame:
-    """(_token, _c1) of the prefixes; n-grams alone in their slot can't be shared and are left out."""
+    """(_token, _c1, _need) of the prefixes. Sets that link share at least _need n-grams of them:
+    SHARED, or as many as a small set must have in common with any other. N-grams alone in their
+    slot can't be shared and are left out."""
 
     def run(source):
         place, lone = rank.value, sketch_one.value
         for ids, texts in _texts(source):
-            tokens, owners = [], []
+            tokens, owners, needs = [], [], []
             for i, s in zip(ids, shingle_sets(texts, n)):
                 if i is None or not len(s):
                     continue
                 slot = (s & U(SKETCH - 1)).astype(np.int64)
-                size = len(s) + (-len(s) * num // den) + 1
+                least = -(-len(s) * num // den)  # in common with any set that links
+                size = min(len(s), len(s) - least + SHARED)
                 order = place[slot].astype(U) << U(32) | s >> U(32)
                 first = (order <= np.partition(order, size - 1)[size - 1]) & ~lone[slot]  # ties too
                 tokens.append(s[first])
                 owners.append(np.full(len(tokens[-1]), class_key(s)[0], np.int64))
+                needs.append(np.full(len(tokens[-1]), min(SHARED, least), np.int32))
             if tokens:
-                yield pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))
+                yield pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(needs))
 
-    return _arrow_map(docs.select(id_col, text_col), "_token LONG, _c1 LONG", run)
+    return _arrow_map(docs.select(id_col, text_col), "_token LONG, _c1 LONG, _need INT", run)
 
 
 def shipped_sets(docs: DataFrame, n: int, rank, cuts: np.ndarray, text_col: str) -> DataFrame:
@@ -381,16 +387,23 @@ def items_of(prefixes: DataFrame, sizes: DataFrame, block: int) -> tuple[DataFra
     Homes that meet, directly or through others, and have no more than a block's classes together,
     are one block: a class then goes to one item only. Larger clusters keep their homes apart.
     """
-    homes = prefixes.join(sizes, "_token").groupBy("_c1").agg(F.max(F.struct("_size", "_token"))["_token"].alias("_home"))
+    homes = prefixes.join(sizes, "_token").groupBy("_c1").agg(F.max(F.struct("_size", "_token"))["_token"].alias("_home"), F.min("_need").alias("_need"))
     homes = checkpointed(homes)
     counts = homes.groupBy("_home").agg(F.count("*").alias("_n"))
-    met = prefixes.join(homes, "_c1").select("_token", "_home").distinct()
+    # homes, and a home with itself, meet if they share as many n-grams as two of their sets must
+    met = prefixes.join(homes.select("_c1", "_home"), "_c1").groupBy("_token", "_home").agg(F.count("*").alias("_m"), F.min("_need").alias("_need"))
+    need = homes.groupBy("_home").agg(F.min("_need").alias("_least"))
+    sides = [met.select("_token", F.col("_home").alias(f"_h{k}"), F.col("_m").alias(f"_m{k}")) for k in (1, 2)]
     pairs = (
-        met.select("_token", F.col("_home").alias("_h1"))
-        .join(met.select("_token", F.col("_home").alias("_h2")), "_token")
-        .where("_h1 <= _h2").select("_h1", "_h2").distinct()
+        sides[0].join(sides[1], "_token").where("_h1 < _h2 OR (_h1 = _h2 AND _m1 > 1)")
+        .groupBy("_h1", "_h2").agg(F.count("*").alias("_shared"))
+        .join(need.select(F.col("_home").alias("_h1"), F.col("_least").alias("_l1")), "_h1")
+        .join(need.select(F.col("_home").alias("_h2"), F.col("_least").alias("_l2")), "_h2")
+        .where(F.col("_shared") >= F.least("_l1", "_l2")).select("_h1", "_h2")
     )
     pairs = checkpointed(pairs)
+    used = pairs.select(F.col("_h1").alias("_home")).unionByName(pairs.select(F.col("_h2").alias("_home"))).distinct()
+    counts, homes = counts.join(used, "_home", "left_semi"), homes.join(used, "_home", "left_semi").select("_c1", "_home")
     roots = components(pairs.select(F.col("_h1").alias("_a"), F.col("_h2").alias("_b")))
     clusters = counts.join(roots, counts["_home"] == roots["_node"], "left").select("_home", "_n", F.coalesce("_root", "_home").alias("_cluster"))
     whole = clusters.groupBy("_cluster").agg(F.sum("_n").alias("_all"))
@@ -426,6 +439,9 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, id_col: str = "
     # n-grams in the prefixes of two classes or more, without gathering an n-gram's classes
     several = all_prefixes.groupBy("_token").agg(F.min("_c1").alias("_low"), F.max("_c1").alias("_high")).where("_low < _high").select("_token")
     prefixes = checkpointed(all_prefixes.join(several, "_token", "left_semi").distinct())
+    # a set with fewer shared n-grams than a link needs has none
+    enough = prefixes.groupBy("_c1").agg(F.count("*").alias("_m"), F.min("_need").alias("_least")).where("_m >= _least").select("_c1")
+    prefixes = checkpointed(prefixes.join(enough, "_c1", "left_semi"))
     sizes = prefixes.groupBy("_token").agg(F.count("*").alias("_size"))
     members, items = items_of(prefixes, sizes, block)
     members = checkpointed(members)
