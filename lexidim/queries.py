@@ -475,6 +475,24 @@ def case_compile(spark, sf_dir):
     return lines.select("id", F.get_json_object("line", "$.arms.marked").alias("marked"), F.size(F.from_json(F.get_json_object("line", "$.answers"), "ARRAY<STRUCT<name: STRING>>")).alias("n_answers"))
 
 
+TOLD = {k: en.activation_prompt(k).rstrip().replace("'", "''") for k in ("en", "pt-br")}
+MARKED = "cota de [QTY value=5 unit=mm dim=[0,1,0,0,0,0,0]]"
+
+
+@query(f"""WITH {CASES_SQL}, w AS (SELECT *, CASE lang WHEN 'en' THEN '{TOLD['en']}' ELSE '{TOLD['pt-br']}' END AS told FROM v WHERE errors = 0 AND quality = 1)
+SELECT id, title, lang AS discipline, lang AS language, source AS source_id, CASE WHEN toxic = 1 THEN lang || ',toxic' ELSE lang END AS tags, source AS norms, CAST(n AS VARCHAR) AS n_answers, 'validated' AS review_status,
+  'cota de 5 mm' AS plain, told || chr(10) || chr(10) || '{MARKED}' AS prompted, told || chr(10) || chr(10) || 'cota de 5 mm' AS control,
+  'system:' || told || ';user:{MARKED}' AS messages, 'system:' || told || ';user:cota de 5 mm' AS control_messages FROM w""")
+def case_arms(spark, sf_dir):
+    """The metadata and the other arms of case_compile's lines."""
+    lines = cs.compiled(cs.validated(doc_cases(spark, sf_dir), REFERENCES, RISKY, OTHER), ENGINE)
+    at = lambda path: F.get_json_object("line", f"$.{path}")
+    listed = lambda path: F.array_join(F.from_json(at(path), "ARRAY<STRING>"), ",").alias(path)
+    said = lambda path: F.array_join(F.transform(F.from_json(at(f"arms.{path}"), "ARRAY<STRUCT<role: STRING, content: STRING>>"), lambda m: F.concat_ws(":", m["role"], m["content"])), ";").alias(path)
+    fields = [at(f).alias(f) for f in ("title", "discipline", "language", "source_id", "n_answers", "review_status")]
+    return lines.select("id", *fields, listed("tags"), listed("norms"), *(at(f"arms.{a}").alias(a) for a in ("plain", "prompted", "control")), said("messages"), said("control_messages"))
+
+
 @query("SELECT count(*) AS n_compiled, sha256(string_agg(sha256(n_name), chr(10) ORDER BY lpad(CAST(n_nationkey AS VARCHAR), 3, '0'))) AS checksum FROM nation")
 def checksum(spark, sf_dir):
     lines = table(spark, sf_dir, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("id"), F.col("n_name").alias("line"))

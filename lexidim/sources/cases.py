@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexidim.plans.engine import Engine
+from lexidim.plans.engine import PROMPTS, Engine, activation_prompt
 
 CASE = """
 id STRING, title STRING, discipline STRING, language STRING, source_id STRING, tags ARRAY<STRING>, prompt STRING,
@@ -67,21 +67,37 @@ def embedded(cases: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def compiled(checked: DataFrame, engine: Engine, language: str = "pt-br", require_validated: bool = True) -> DataFrame:
-    """id and line: valid cases as JSON with the plain, the marked and the two prompted arms."""
+    """id and line: valid cases as JSON with their metadata and four arms: the plain prompt, the marked
+    one, and instructions before the marked (prompted) and before the plain one (control); the last two
+    also as messages. Instructions are in the case's language if there are any, else in `language`."""
     ready = F.size("errors") == 0
     if require_validated:
         ready &= F.size("warnings") == 0
-    made = engine.for_llm(checked.where(ready), "prompt_text" if "prompt_text" in checked.columns else "prompt", language)
-    arms = F.struct(F.col("prompt").alias("prompted"), F.col("preprocessed").alias("marked"), "messages")
-    return made.select("id", F.to_json(F.struct("id", "title", "tags", "answers", arms.alias("arms"))).alias("line"))
+    plain = F.col("prompt_text" if "prompt_text" in checked.columns else "prompt")
+    told = F.lit(activation_prompt(language, engine.prompts).rstrip())
+    for known in {**PROMPTS, **(engine.prompts or {})}:
+        told = F.when(F.col("language") == known, F.lit(activation_prompt(known, engine.prompts).rstrip())).otherwise(told)
+    made = engine.preprocess(checked.where(ready).withColumns({"_plain": plain, "_told": told}), "_plain")
+    usable = F.col("preprocessed") != ""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), F.col(content).alias("content"))
+    prompted = lambda content: F.when(usable, F.concat("_told", F.lit("\n\n"), content))
+    messages = lambda content: F.when(usable, F.array(message("system", "_told"), message("user", content)))
+    arms = F.struct(
+        F.col("_plain").alias("plain"), F.col("preprocessed").alias("marked"), prompted("preprocessed").alias("prompted"), prompted("_plain").alias("control"),
+        messages("preprocessed").alias("messages"), messages("_plain").alias("control_messages"),
+    )
+    line = F.struct("id", "title", "discipline", "language", "source_id", "tags", "norms", "answers", "n_answers", "review_status", arms.alias("arms"))
+    return made.select("id", F.to_json(line, {"ignoreNullFields": "false"}).alias("line"))
 
 
 def manifest(lines: DataFrame, checked: DataFrame) -> DataFrame:
-    """One row: counts, and the checksum of the lines' own checksums in the order of their ids, so
-    that no line is gathered whole."""
+    """One row: counts, the checksum of the lines' own checksums in the order of their ids, so that
+    no line is gathered whole, and the number of compiled cases by tag."""
     marks = F.array_sort(F.collect_list(F.struct("id", F.sha2("line", 256).alias("mark"))))
     total = lines.agg(F.count("*").alias("n_compiled"), F.sha2(F.array_join(F.transform(marks, lambda m: m["mark"]), "\n"), 256).alias("checksum"))
-    return total.crossJoin(report(checked))  # one row by one row
+    tags = lines.select(F.from_json(F.get_json_object("line", "$.tags"), "ARRAY<STRING>").alias("tags"))
+    by_tag = tag_histogram(tags).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "n")))).alias("tags"))
+    return total.crossJoin(report(checked)).crossJoin(by_tag)  # one row by one row
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

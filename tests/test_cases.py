@@ -38,3 +38,22 @@ def test_assets_are_embedded(spark):
     assets = spark.createDataFrame([("a.svg", '<?xml version="1.0"?>\n<svg/>')], "path string, body string")
     got = {r.id: r.prompt for r in cs.embedded(cases, assets).collect()}
     assert got == {"solids-1": "cota de 5 mm\n\n<svg/>", "solids-2": "cota de 5 mm"}
+
+
+def test_lines_hold_every_arm_and_the_metadata(spark):
+    from lexidim.plans.engine import activation_prompt
+
+    cases = spark.createDataFrame([case(1, language="en"), case(2, language="pt-br", tags=["risky"]), case(3, language="fr"), case(4, answers=[], n_answers=0)], cs.CASE)
+    checked, marked = cs.validated(cases, ["r1"], ["risky"], ["ctx"]), "cota de [QTY value=5 unit=mm dim=[0,1,0,0,0,0,0]]"
+    lines = cs.compiled(checked, Engine())
+    made = {r.id: json.loads(r.line) for r in lines.collect()}
+    assert set(made) == {"solids-1", "solids-2", "solids-3"}
+    for i, language in (("solids-1", "en"), ("solids-2", "pt-br"), ("solids-3", "pt-br")):
+        told, arms = activation_prompt(language).rstrip(), made[i]["arms"]
+        assert arms["plain"] == "cota de 5 mm" and arms["marked"] == marked
+        assert arms["prompted"] == f"{told}\n\n{marked}" and arms["control"] == f"{told}\n\ncota de 5 mm"
+        assert arms["messages"] == [{"role": "system", "content": told}, {"role": "user", "content": marked}]
+        assert arms["control_messages"] == [{"role": "system", "content": told}, {"role": "user", "content": "cota de 5 mm"}]
+        assert (made[i]["norms"], made[i]["source_id"], made[i]["discipline"], made[i]["n_answers"]) == (["r1"], "r1", "solids", 4)
+    assert [made[f"solids-{k}"]["language"] for k in (1, 2, 3)] == ["en", "pt-br", "fr"]
+    assert cs.manifest(lines, checked).first().tags == {"ctx": 2, "risky": 3}
