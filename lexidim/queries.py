@@ -204,10 +204,8 @@ def number_variants(spark, sf_dir):
 @query(f"SELECT o_orderkey, CAST({PRICE} AS VARCHAR) AS whole, CAST({PRICE} AS VARCHAR) || '.5' AS half, format('{{:.6g}}', CAST({PRICE} AS DOUBLE) * 1e12 + 0.0) AS large, format('{{:.6g}}', CAST({PRICE} AS DOUBLE) * 1e-12) AS small FROM orders")
 def format_value(spark, sf_dir):
     n = F.col("n").cast("double")
-    whole = nb.col_format_value(n)
-    return orders(spark, sf_dir).select("o_orderkey", whole.alias("whole"), F.regexp_replace(nb.col_format_value(n / 10 + F.lit(0.0)) , r"^.*$", "").alias("x"), nb.col_format_value(n * 1e12).alias("l"), nb.col_format_value(n * 1e-12).alias("small")).select(
-        "o_orderkey", "whole", F.concat("whole", F.lit(".5")).alias("half"), F.when(F.col("l").contains("e"), F.col("l")).otherwise(F.regexp_replace(F.format_string("%.5e", F.col("l").cast("double")), r"\.?0*e", "e")).alias("large"), "small"
-    )
+    made = {"whole": n, "half": n + 0.5, "large": n * 1e12, "small": n * 1e-12}
+    return orders(spark, sf_dir).select("o_orderkey", *(nb.col_format_value(v).alias(k) for k, v in made.items()))
 
 
 @query(f"SELECT o_orderkey, CASE WHEN {PRICE} >= 1000 THEN {grouped_sql(PRICE)} END AS r2l FROM orders")

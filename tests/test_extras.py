@@ -71,3 +71,16 @@ def test_streams(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n_regions for r in spark.table("windows").collect() if r.type == "QTY") == [3, 3, 3]
+
+
+def test_format_value_gives_what_the_operator_gives(spark, tmp_path):
+    from lexidim import queries as core
+    from lexidim.functions import numbers as nb
+
+    prices = [0.0, 7.0, 999.0, 1013.0, 499993.0, 999999.0, 1234567.0, 123456789.0, 987654321012.0]
+    spark.createDataFrame(list(enumerate(prices)), "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r for r in core.format_value(spark, str(tmp_path)).collect()}
+    for k, p in enumerate(prices):
+        want = tuple(nb.format_value(v) for v in (p, p + 0.5, p * 1e12, p * 1e-12))
+        assert (got[k].whole, got[k].half, got[k].large, got[k].small) == want
+    assert (got[6].half, got[2].large) == ("1.23457e+06", "999000000000000")
