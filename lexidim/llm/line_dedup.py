@@ -4,8 +4,9 @@ A run is a table of line keys (two 64-bit hashes), hash-partitioned and sorted b
 number of documents that hold the key and the largest id among them. Each batch of documents adds
 its own run; when a level has FANOUT runs they are compacted into one run of the next level. Runs
 have the same partitioning and order, so joins between them need no exchange. A rule that keeps a
-line by its total over all batches needs all runs first; then the lines are merge-anti-joined with
-the runs (the removed rows, a semi join, are what is carried on, being fewer).
+line by its total over all batches needs all runs first; then each batch's lines are merge-anti-joined
+with the runs of the keys that too few documents hold. What is left are the lines held often; the
+places among them that aren't the last are carried on.
 
 Texts take part in one exchange only, that which brings a document's dropped positions to it.
 
@@ -96,6 +97,11 @@ class LineRuns:
         return lines
 
 
+def held_often(lines: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Lines whose key min_docs documents hold: a merge-anti-join with the keys of the others."""
+    return lines.join(totals.where(F.col("n_docs") < min_docs).select(*KEY).hint("merge"), KEY, "left_anti")
+
+
 def dropped_positions(lines: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """_id, _text, _drop: sorted positions of lines that min_docs documents hold, save in the last."""
     often = totals.where(F.col("n_docs") >= min_docs).select(*KEY, "last")
@@ -118,7 +124,9 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     runs = LineRuns(int(spark.conf.get("spark.sql.shuffle.partitions")))
     for b in range(batches):
         runs.add(lines.where(F.col("_batch") == b).select("_id", *KEY))
-    drops = dropped_positions(lines, runs.totals(), min_docs)
+    totals = runs.totals()
+    often = reduce(DataFrame.unionByName, (held_often(lines.where(F.col("_batch") == b), totals, min_docs) for b in range(batches)))
+    drops = dropped_positions(often, totals, min_docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.withColumn("_row_text", F.xxhash64(text))
     return (

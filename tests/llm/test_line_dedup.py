@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import duckdb
@@ -82,3 +83,13 @@ def test_positions_are_cut_in_order(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in df.select(line_dedup.without(F.col("t"), F.col("p"))).collect()] == ["b\nd", "", ""]
+
+
+def test_each_batch_is_merge_anti_joined_with_the_runs(spark):
+    lines = spark.createDataFrame([(1, 5, 0), (2, 5, 0), (3, 6, 0)], "_id long, _h1 long, _h2 long")
+    runs = line_dedup.LineRuns(2)
+    runs.add(lines)
+    assert sorted(r._id for r in line_dedup.held_often(lines, runs.totals(), 2).collect()) == [1, 2]
+    docs = spark.createDataFrame([(i, "q" * 50) for i in range(6)], "doc_id long, text string")
+    plan = line_dedup.deduplicated(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall(r"SortMergeJoin .*LeftAnti", plan)) == line_dedup.BATCHES
