@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexidim.llm.common import read_table, shared_folder
-from lexidim.llm.decontamination import contaminated
+from lexidim.llm.decontamination import clean_documents
 from lexidim.llm.line_dedup import deduplicated
 from lexidim.llm.packing import packed_documents
 from lexidim.llm.quality_classifier import kept_documents
@@ -34,8 +34,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within the edit budget go."""
-    held = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    return clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

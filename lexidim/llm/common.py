@@ -8,7 +8,8 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -47,6 +48,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def text_mark(id_col: str, text_col: str) -> Column:
+    """What tells rows without an id apart: a hash of their text; 0 where there is an id."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.lit(0).cast("long"))
+
+
+def without_rows(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs less the rows that lost names by id and _mark; without an id by the mark alone."""
+    gone = lost.select(F.col(id_col).alias("_lost_id"), F.col("_mark").alias("_lost_mark")).distinct()
+    marked = docs.withColumn("_own_mark", text_mark(id_col, text_col))
+    same = marked[id_col].eqNullSafe(gone["_lost_id"]) & (marked["_own_mark"] == gone["_lost_mark"])
+    return marked.join(gone, same, "left_anti").select(*docs.columns)
+
+
 def kind_is(kind: str) -> Callable:
     """Predicate of F.filter over spans; a lambda's default argument would be taken as the index."""
     return lambda span: span["kind"] == kind

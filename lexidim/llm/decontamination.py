@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexidim.llm.common import map_batches, read_table, worker_cache
+from lexidim.llm.common import map_batches, read_table, text_mark, without_rows, worker_cache
 
 Q = 8
 #: Edits allowed for each byte of a pattern.
@@ -227,30 +227,41 @@ def _in_block(docs: DataFrame, block: list, item_type: str, rate: float, id_col:
                 del cache[old]
             matcher = cache[key] = Matcher(block, rate)
 
-        def kernel(ids, texts):
-            out = ([], [], [], [], [], [])
+        def kernel(ids, marks, texts):
+            out = ([], [], [], [], [], [], [])
             words = [normal(t) for t in texts]
             for (row, k), (edits, start, end) in matcher.find(words).items():
                 origin = [m.span() for m in WORDS.finditer(texts[row])]
                 first, last = words[row].count(b" ", 0, start + 1), words[row].count(b" ", 0, max(start, end - 1))
-                for col, v in zip(out, (ids[row], matcher.ids[k], origin[min(first, len(origin) - 1)][0], origin[min(last, len(origin) - 1)][1], edits, 1 - edits / len(matcher.patterns[k]))):
+                for col, v in zip(out, (ids[row], marks[row], matcher.ids[k], origin[min(first, len(origin) - 1)][0], origin[min(last, len(origin) - 1)][1], edits, 1 - edits / len(matcher.patterns[k]))):
                     col.append(v)
             return out
 
         return kernel
 
     kind = dict(docs.dtypes)[id_col]
-    return map_batches(docs, [id_col, text_col], f"`{id_col}` {kind}, item_id {item_type}, start LONG, `end` LONG, edits INT, similarity DOUBLE", setup)
+    return map_batches(docs, [id_col, text_mark(id_col, text_col).alias("_mark"), text_col], f"`{id_col}` {kind}, _mark LONG, item_id {item_type}, start LONG, `end` LONG, edits INT, similarity DOUBLE", setup)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, item_id, start, end (code points, whole words), edits, similarity: one row for each
-    document and each item of which it holds an occurrence within the edit budget."""
+def _occurrences(docs: DataFrame, benchmark: DataFrame, rate: float, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
     kind = dict(benchmark.dtypes)[item_col]
     found = [_in_block(docs, b, kind, rate, id_col, text_col) for b in blocks(benchmark, item_col, item_text)]
-    best = Window.partitionBy(id_col, "item_id").orderBy("edits", "start", "end")
+    best = Window.partitionBy(id_col, "_mark", "item_id").orderBy("edits", "start", "end")
     return reduce(DataFrame.unionByName, found).withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """id, item_id, start, end (code points, whole words), edits, similarity: one row for each
+    document and each item of which it holds an occurrence within the edit budget. Rows without an
+    id are one document each text."""
+    return _occurrences(docs, benchmark, rate, id_col, text_col, item_col, item_text).drop("_mark")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no item. Rows with one id go together, rows without an id by their
+    own text."""
+    return without_rows(docs, _occurrences(docs, benchmark, rate, id_col, text_col, item_col, item_text), id_col, text_col)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidim.llm.common import checkpointed, map_batches, read_table
+from lexidim.llm.common import checkpointed, map_batches, read_table, text_mark, without_rows
 
 ROUNDS, NEWTON, RIDGE = 3, 5, 3.0
 #: A view is confident from this calibrated probability on, of either class.
@@ -94,18 +94,18 @@ N_METADATA = len(metadata_view("", None, None, None))
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str) -> DataFrame:
-    """_id, _content and _metadata of every row, as packed doubles."""
+    """_id, _mark (of rows without an id), _content and _metadata of every row, the last two as packed doubles."""
 
     def setup():
-        def kernel(ids, texts, langs, sources, sizes):
+        def kernel(ids, marks, texts, langs, sources, sizes):
             pack = lambda v: np.array([1.0, *v]).tobytes()
-            return [ids, [pack(content_view(t or "")) for t in texts], [pack(metadata_view(t or "", a, b, c)) for t, a, b, c in zip(texts, langs, sources, sizes)]]
+            return [ids, marks, [pack(content_view(t or "")) for t in texts], [pack(metadata_view(t or "", a, b, c)) for t, a, b, c in zip(texts, langs, sources, sizes)]]
 
         return kernel
 
     kind = dict(docs.dtypes)[id_col]
-    columns = [id_col, text_col, F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(size_col).cast("long")]
-    return map_batches(docs, columns, f"_id {kind}, _content BINARY, _metadata BINARY", setup)
+    columns = [id_col, text_mark(id_col, text_col).alias("_mark"), text_col, F.col(lang_col).cast("string"), F.col(source_col).cast("string"), F.col(size_col).cast("long")]
+    return map_batches(docs, columns, f"_id {kind}, _mark LONG, _content BINARY, _metadata BINARY", setup)
 
 
 def sigmoid(z):
@@ -227,30 +227,35 @@ def fitted(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     return Model(*views, combination, True)
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality") -> DataFrame:
-    """_id, score, content_score, metadata_score and kept of every row of docs."""
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str, label_col: str) -> DataFrame:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("_label"))
     held = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("held")), F.lit(HELD_BACK)) == 0
     rows = checkpointed(described(docs, id_col, text_col, lang_col, source_col, size_col).join(known, "_id", "left").withColumn("_held", F.coalesce(held, F.lit(False))))
     model = fitted(rows)
 
     def setup():
-        def kernel(ids, contents, metadatas):
+        def kernel(ids, marks, contents, metadatas):
             c, m = (np.frombuffer(b"".join(x)).reshape(len(x), -1) for x in (contents, metadatas))
             p = model.probability(c, m)
-            return [ids, p, sigmoid(model.content.odds(c)), sigmoid(model.metadata.odds(m))]
+            return [ids, marks, p, sigmoid(model.content.odds(c)), sigmoid(model.metadata.odds(m))]
 
         return kernel
 
     kind = dict(rows.dtypes)["_id"]
-    scores = map_batches(rows, ["_id", "_content", "_metadata"], f"_id {kind}, score DOUBLE, content_score DOUBLE, metadata_score DOUBLE", setup)
+    scores = map_batches(rows, ["_id", "_mark", "_content", "_metadata"], f"_id {kind}, _mark LONG, score DOUBLE, content_score DOUBLE, metadata_score DOUBLE", setup)
     return scores.withColumn("kept", F.col("score") >= THRESHOLD)
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that the classifier keeps. Rows with one id go or stay by their lowest score."""
-    lost = judged(docs, labels, id_col).where("NOT kept AND _id IS NOT NULL").select(F.col("_id").alias(id_col)).distinct()
-    return docs.join(lost, id_col, "left_anti").select(*docs.columns)
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality") -> DataFrame:
+    """_id, score, content_score, metadata_score and kept of every row of docs."""
+    return _scored(docs, labels, id_col, text_col, lang_col, source_col, size_col, label_col).drop("_mark")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality") -> DataFrame:
+    """The rows of docs that the classifier keeps. Rows with one id, and rows of one text without an
+    id, go or stay by their lowest score."""
+    scores = _scored(docs, labels, id_col, text_col, lang_col, source_col, size_col, label_col)
+    return without_rows(docs, scores.where("NOT kept").withColumnRenamed("_id", id_col), id_col, text_col)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,24 @@ def test_run_and_registration(spark, folder):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     out = corpus_pipeline.run(spark, folder[0])
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 100
+
+
+def test_rows_without_an_id_are_judged_by_their_own_text(spark, folder):
+    path, rows, _ = folder
+    items = [r.text for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    rng = random.Random(2)
+    good = ["\n".join(sentence(rng, 25) for _ in range(4)) for _ in range(3)]
+    bad = " ".join(w.upper() + "!!###" for w in sentence(rng, 90).split())
+    texts = [good[0], good[1] + "\n" + items[0], good[2] + "\n" + items[0], bad, None]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    anonymous = spark.createDataFrame([(None, t, "en", "s0", len(t or "")) for t in texts], schema)
+    docs = spark.read.parquet(f"{path}/documents.parquet").unionByName(anonymous)
+    kept = corpus_pipeline.quality_classifier(spark, docs, path)
+    left = sorted(r.text or "" for r in kept.where("doc_id IS NULL").collect())
+    assert left == sorted(t or "" for t in texts if t != bad)
+    assert {r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()} == {r[0] for r in rows if r[0] % 8 or r[0] >= 700}
+    clean = corpus_pipeline.benchmark_decontamination(spark, anonymous, path)
+    assert clean.columns == COLUMNS and sorted(r.text or "" for r in clean.collect()) == sorted(["", good[0], bad])
+    from lexidim.llm.decontamination import contaminated
+
+    assert contaminated(anonymous, spark.read.parquet(f"{path}/benchmark.parquet")).count() == 2
