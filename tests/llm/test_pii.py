@@ -42,6 +42,17 @@ def test_checksums():
     assert pii.confirmed("iban DE89 3704 0044 0532 0130 00.")[-1][0] == "iban"
 
 
+def test_ibans_before_capital_words():
+    ibans = lambda t: [t[s:e] for k, s, e in pii.confirmed(t) if k == "iban"]
+    es, de, at = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201"
+    for after in ("", " EUR 50", " BIC X", " BANK", " BANK OF", "."):
+        for code in (es, de, at, es.replace(" ", "")):
+            assert ibans(f"IBAN {code}{after}") == [code]
+    assert ibans(f"{es} {at} {de}") == [es, at, de] and ibans(f"AB12 CDEF 3456 {es} EUR") == [es]
+    assert ibans("ES91 2100 0418 4502 0005 1333 EUR") == []
+    assert ibans("AB12 CDEF " * 30_000) == []
+
+
 def test_context_and_redaction():
     near, far, low = (pii.scored(t)[0][3] for t in ("mail me a@b.co", "xx a@b.co", "example a@b.co"))
     assert near > far > low
