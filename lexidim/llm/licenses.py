@@ -106,13 +106,13 @@ class Scanner:
         """(label, start, end, edits, notice length) in blank-joined words, disjoint by notice."""
         out = []
         for k, stretches in self.windows(text).items():
-            notice, label, _, pattern = self.notices[k]
-            found = []
-            for low, high in stretches:
-                at = low
-                while at < high and (m := pattern.search(text, at, high)):
+            notice, label, edits, pattern = self.notices[k]
+            found, parts = [], [tuple(s) for s in stretches]
+            while parts:  # the best match of each part, then what lies before and after it
+                low, high = parts.pop()
+                if high - low >= len(notice) - edits and (m := pattern.search(text, low, high)):
                     found.append((sum(m.fuzzy_counts), m.start(), m.end()))
-                    at = max(m.end(), at + 1)
+                    parts += [(low, m.start()), (m.end(), high)]
             taken: list[tuple[int, int]] = []
             for edits, start, end in sorted(found):
                 if all(end <= s or start >= e for s, e in taken):

@@ -57,6 +57,18 @@ def test_edited_notices_are_found(notice, data):
         assert any(distance(n, f" {text} "[start:end]) <= edits for n in licenses.NOTICES if len(n) == size)
 
 
+def test_edited_notices_before_a_better_one_are_found():
+    notice, label = next((n, x) for n, x in licenses.NOTICES.items() if n == "all rights reserved")
+    text = " all right reserved all rights reserved al rights reserved "
+    assert [(s[0], text[s[1] : s[2]].strip(), s[3]) for s in SCAN.fuzzy(text)] == [(label, "all right reserved", 1), (label, notice, 0), (label, "al rights reserved", 1)]
+    long = max(licenses.NOTICES, key=len)
+    edited = long.replace("e", "", 2)
+    twice = [s for s in SCAN.fuzzy(f" {edited} {long} ") if s[4] == len(long)]
+    assert [s[3] for s in twice] == [2, 0]
+    many = SCAN.fuzzy(" " + "all right reserved " * 300 + "all rights reserved ")
+    assert len([s for s in many if s[0] == label]) == 301
+
+
 def test_spans_point_into_the_text():
     text = "Ünder x. Licensed  under THE Apache-Licence!"
     (span,) = [s for s in SCAN(text)[2] if s["label"] == "apache-2"]
