@@ -439,6 +439,7 @@ def doc_cases(spark, sf_dir):
         F.concat(F.col("lang"), F.lit("-"), (F.col("doc_id") % 500).cast("string")).alias("id"), F.col("doc_id").cast("string").alias("title"), F.col("lang").alias("discipline"), F.col("lang").alias("language"),
         F.col("source").alias("source_id"), F.array_compact(F.array("lang", F.when(F.col("toxic") == 1, "toxic"))).alias("tags"), F.lit("cota de 5 mm").alias("prompt"),
         F.array("source").alias("norms"), answers.alias("answers"), F.size(answers).alias("n_answers"), F.when(F.col("quality") == 1, "validated").alias("review_status"),
+        F.lit(None).cast("array<struct<path: string, inline: boolean, type: string>>").alias("assets"), F.lit(False).alias("has_figure"),
     )
 
 
@@ -452,6 +453,17 @@ def case_validate(spark, sf_dir):
     return cs.validated(doc_cases(spark, sf_dir), REFERENCES, RISKY, OTHER).select("id", "title", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
 
 
+@query(f"""WITH {CASES_SQL} SELECT id, title, concat_ws(';', CASE WHEN quality <> 1 THEN 'not validated' END,
+  CASE WHEN CAST(title AS BIGINT) % 2 = 0 AND CAST(title AS BIGINT) % 5 < 3 THEN 'figure without svg or png asset' END) AS warnings FROM v""")
+def case_figures(spark, sf_dir):
+    """case_validate's warnings, with a figure in every other case and assets of each kind."""
+    n = F.col("title").cast("long")
+    kind = F.element_at(F.array(*map(F.lit, ("pdf", "table_csv", "", "svg", "png"))), (n % 5 + 1).cast("int"))
+    asset = F.struct(F.lit("a").alias("path"), F.lit(False).alias("inline"), F.nullif(kind, F.lit("")).alias("type"))
+    cases = doc_cases(spark, sf_dir).withColumns({"has_figure": n % 2 == 0, "assets": F.array(asset)})
+    return cs.validated(cases, REFERENCES, RISKY, OTHER).select("id", "title", F.array_join("warnings", ";").alias("warnings"))
+
+
 @query(f"WITH {CASES_SQL} SELECT count(*) AS n_cases, count(*) FILTER (WHERE errors = 0) AS n_valid, count(*) FILTER (WHERE errors > 0) AS n_invalid FROM v")
 def case_report(spark, sf_dir):
     return cs.report(cs.validated(doc_cases(spark, sf_dir), REFERENCES, RISKY, OTHER))

@@ -9,10 +9,13 @@ from lexidim.plans.engine import PROMPTS, Engine, activation_prompt
 
 CASE = """
 id STRING, title STRING, discipline STRING, language STRING, source_id STRING, tags ARRAY<STRING>, prompt STRING,
-norms ARRAY<STRING>, assets ARRAY<STRUCT<path: STRING, inline: BOOLEAN>>,
-answers ARRAY<STRUCT<name: STRING, value: DOUBLE, unit: STRING, tolerance: DOUBLE>>, n_answers INT, review_status STRING
+norms ARRAY<STRING>, assets ARRAY<STRUCT<path: STRING, inline: BOOLEAN, type: STRING>>,
+answers ARRAY<STRUCT<name: STRING, value: DOUBLE, unit: STRING, tolerance: DOUBLE>>, n_answers INT, review_status STRING,
+has_figure BOOLEAN
 """
 LEAST_ANSWERS = 4
+FIGURES = ("svg", "png")
+NOT_VALIDATED = "not validated"
 
 
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -45,8 +48,12 @@ def validated(cases: DataFrame, references: list[str], high_risk: list[str], con
     """cases with errors and warnings; the second and later cases of an id are errors."""
     again = F.row_number().over(Window.partitionBy("id").orderBy("title", "prompt")) > 1
     errors = F.concat(problems(references, high_risk, contextual), F.when(again, F.array(F.lit("id twice"))).otherwise(F.array().cast("array<string>")))
-    warnings = F.filter(F.array(F.when(F.coalesce("review_status", F.lit("")) != "validated", F.lit("not validated"))), lambda x: x.isNotNull())
-    return cases.withColumns({"errors": errors, "warnings": warnings})
+    drawn = F.coalesce(F.exists("assets", lambda a: F.coalesce(a["type"].isin(*FIGURES), F.lit(False))), F.lit(False))
+    warnings = [
+        F.when(F.coalesce("review_status", F.lit("")) != "validated", F.lit(NOT_VALIDATED)),
+        F.when(F.coalesce("has_figure", F.lit(False)) & ~drawn, F.lit("figure without svg or png asset")),
+    ]
+    return cases.withColumns({"errors": errors, "warnings": F.filter(F.array(*warnings), lambda x: x.isNotNull())})
 
 
 def report(checked: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def compiled(checked: DataFrame, engine: Engine, language: str = "pt-br", requir
     also as messages. Instructions are in the case's language if there are any, else in `language`."""
     ready = F.size("errors") == 0
     if require_validated:
-        ready &= F.size("warnings") == 0
+        ready &= ~F.array_contains("warnings", NOT_VALIDATED)  # the other warning holds no case back
     plain = F.col("prompt_text" if "prompt_text" in checked.columns else "prompt")
     told = F.lit(activation_prompt(language, engine.prompts).rstrip())
     for known in {**PROMPTS, **(engine.prompts or {})}:
@@ -86,7 +93,7 @@ def compiled(checked: DataFrame, engine: Engine, language: str = "pt-br", requir
         F.col("_plain").alias("plain"), F.col("preprocessed").alias("marked"), prompted("preprocessed").alias("prompted"), prompted("_plain").alias("control"),
         messages("preprocessed").alias("messages"), messages("_plain").alias("control_messages"),
     )
-    line = F.struct("id", "title", "discipline", "language", "source_id", "tags", "norms", "answers", "n_answers", "review_status", arms.alias("arms"))
+    line = F.struct("id", "title", "discipline", "language", "source_id", "tags", "norms", "answers", "n_answers", "review_status", "has_figure", arms.alias("arms"))
     return made.select("id", F.to_json(line, {"ignoreNullFields": "false"}).alias("line"))
 
 

@@ -57,3 +57,14 @@ def test_lines_hold_every_arm_and_the_metadata(spark):
         assert (made[i]["norms"], made[i]["source_id"], made[i]["discipline"], made[i]["n_answers"]) == (["r1"], "r1", "solids", 4)
     assert [made[f"solids-{k}"]["language"] for k in (1, 2, 3)] == ["en", "pt-br", "fr"]
     assert cs.manifest(lines, checked).first().tags == {"ctx": 2, "risky": 3}
+
+
+def test_a_figure_without_a_drawing_is_a_warning(spark):
+    asset = lambda kind: [{"path": "a", "inline": False, "type": kind}]
+    rows = [case(1, has_figure=True, assets=asset("pdf")), case(2, has_figure=True, assets=asset("png")), case(3, has_figure=True, assets=asset("pdf") + asset("svg")), case(4, has_figure=True, assets=None)]
+    rows += [case(5, has_figure=False, assets=[]), case(6, assets=None), case(7, has_figure=True, assets=asset(None), review_status="draft")]
+    checked = cs.validated(spark.createDataFrame(rows, cs.CASE), ["r1"], ["risky"], ["ctx"])
+    lost = "figure without svg or png asset"
+    assert {r.id[-1]: r.warnings for r in checked.collect()} == {"1": [lost], "2": [], "3": [], "4": [lost], "5": [], "6": [], "7": ["not validated", lost]}
+    made = {r.id[-1]: json.loads(r.line) for r in cs.compiled(checked, Engine()).collect()}
+    assert sorted(made) == ["1", "2", "3", "4", "5", "6"] and made["1"]["has_figure"] is True
