@@ -264,11 +264,11 @@ def prefix_tokens(docs: DataFrame, n: int, num: int, den: int, rank, sketch_one,
         place, lone = rank.value, sketch_one.value
         given: set[int] = set()
         for batch in source:
-            known = batch.column(0).is_valid().to_pylist()
+            has_id = batch.column(0).is_valid().to_pylist()
             for at, sets in sets_in(batch.column(1), n):
                 tokens, owners, sizes = [], [], []
                 for k, s in enumerate(sets, at.start):
-                    if not known[k] or not len(s) or (c1 := class_key(s)[0]) in given:
+                    if not has_id[k] or not len(s) or (c1 := class_key(s)[0]) in given:
                         continue
                     if len(given) < GIVEN:
                         given.add(c1)
