@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written and read again as the next one's input.
+
+Defined results: rows without an id are judged by their own text in every stage that drops rows;
+equal rows go or stay together, but of near duplicates, equal rows among them, one row stays; rows
+without text or words pass the classifier as it scores them, lose no line, have no near duplicate
+and hold no benchmark item, and are packed as empty documents; empty tables give no rows; without
+labels the classifier keeps all. Further columns are carried to the last stage's input.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidim.llm.common import read_table, shared_folder
+from lexidim.folders import removed, shared_folder
+from lexidim.llm.common import read_table
 from lexidim.llm.decontamination import clean_documents
 from lexidim.llm.line_dedup import deduplicated
 from lexidim.llm.packing import packed_documents
@@ -55,10 +63,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's folder goes once the next one is written; the last one's stays,
+    as the result is read from it."""
     docs = read_table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import regex
 
 from lexidim import lexicons as lx
@@ -14,38 +16,62 @@ _AMOUNT = regex.compile(rf"(?P<a>{lx.NUMBER})(?:\s*-\s*(?P<b>{lx.NUMBER}))?(?:{l
 _CONSTANTS = {s: (u, v) for s, _, u, v in lx.CONSTANTS}
 
 
-def one_quantity(value: float | None, uncertainty: float | None, unit: str, region: Region, mode: str) -> str:
-    terms = parse(unit)
-    si = combined(terms)
+class Quantity(NamedTuple):
+    """A parsed quantity: what is given, its terms, and where all atoms are known its SI form."""
+
+    raw: str
+    value: float | None
+    uncertainty: float | None
+    unit: str
+    terms: list[tuple[str, int]]
+    dim: tuple[int, ...] | None = None
+    factor: float | None = None
+    si_unit: str | None = None
+    si_value: float | None = None
+    si_uncertainty: float | None = None
+
+
+def parsed_quantity(raw: str, value: float | None, uncertainty: float | None, unit: str, atoms: dict | None = None) -> Quantity:
+    terms = parse(unit, atoms)
+    si = combined(terms, atoms)
+    if not si:
+        return Quantity(raw, value, uncertainty, unit, terms)
+    scaled = lambda x: None if x is None else x * si[1]
+    return Quantity(raw, value, uncertainty, unit, terms, si[0], si[1], si_unit(si[0]), scaled(value), scaled(uncertainty))
+
+
+def quantities(content: str, atoms: dict | None = None) -> list[Quantity]:
+    """The quantities that a text states: one, a unit by itself, or both ends of a range."""
+    m = _AMOUNT.fullmatch(content.strip())
+    if not m or regex.fullmatch(r"[\p{L}%‰°(].*", content.strip()):
+        return [parsed_quantity(content, None, None, content.strip(), atoms)]
+    spread = number_value(m["u"]) if m["u"] else None
+    return [parsed_quantity(content, number_value(m[k]), spread, m["unit"].strip(), atoms) for k in ("a", "b") if m[k]]
+
+
+def one_quantity(q: Quantity, region: Region, mode: str) -> str:
     if mode == "B":
         parts = []
-        if value is not None:
-            parts.append(f"value={format_value(value)}")
-            if grouped(value):
-                parts.append(f'r2l="{grouped(value)}"')
-        parts.append(f"unit={unit}")
-        if si:
-            parts.append("dim=[" + ",".join(map(str, si[0])) + "]")
-        if uncertainty is not None:
-            parts.append(f"unc={format_value(uncertainty)}")
+        if q.value is not None:
+            parts.append(f"value={format_value(q.value)}")
+            if grouped(q.value):
+                parts.append(f'r2l="{grouped(q.value)}"')
+        parts.append(f"unit={q.unit}")
+        if q.dim:
+            parts.append("dim=[" + ",".join(map(str, q.dim)) + "]")
+        if q.uncertainty is not None:
+            parts.append(f"unc={format_value(q.uncertainty)}")
         if region.ambig:
             parts += [f'ambig="{region.ambig}"', f'alternatives="{"|".join(region.alternatives)}"']
         return f"[QTY {' '.join(parts)}]"
-    scale = si[1] if si else 1.0
-    name = (si_unit(si[0]) if si else "") or "·".join(s if p == 1 else f"{s}^{p}" for s, p in terms)
-    amount = "<VAL/>" if value is None else f"<VAL>{format_value(value * scale)}</VAL>"
-    spread = "<UNC/>" if uncertainty is None else f"<UNC>{format_value(uncertainty * scale)}</UNC>"
-    return f"<QTY>{amount}<DIM>{name}</DIM>{spread}</QTY>"
+    value, spread = (q.si_value, q.si_uncertainty) if q.dim else (q.value, q.uncertainty)
+    name = q.si_unit or "·".join(s if p == 1 else f"{s}^{p}" for s, p in q.terms)
+    amount = "<VAL/>" if value is None else f"<VAL>{format_value(value)}</VAL>"
+    return f"<QTY>{amount}<DIM>{name}</DIM>{'<UNC/>' if spread is None else f'<UNC>{format_value(spread)}</UNC>'}</QTY>"
 
 
-def quantity(content: str, region: Region, mode: str) -> str:
-    m = _AMOUNT.fullmatch(content)
-    if not m or regex.fullmatch(r"[\p{L}%‰°(].*", content):
-        return one_quantity(None, None, content.strip(), region, mode)
-    spread = number_value(m["u"]) if m["u"] else None
-    unit = m["unit"].strip()
-    values = [number_value(m[k]) for k in ("a", "b") if m[k]]
-    return "-".join(one_quantity(v, spread, unit, region, mode) for v in values)
+def quantity(content: str, region: Region, mode: str, atoms: dict | None = None) -> str:
+    return "-".join(one_quantity(q, region, mode) for q in quantities(content, atoms))
 
 
 def number(content: str, mode: str) -> str:
@@ -56,12 +82,12 @@ def number(content: str, mode: str) -> str:
     return f'[NUM value={format_value(value)}{r2l} locale={locale} repr={kind} original="{content}"]'
 
 
-def tag(region: Region, text: str, mode: str = "B") -> tuple[str, str | None]:
+def tag(region: Region, text: str, mode: str = "B", atoms: dict | None = None) -> tuple[str, str | None]:
     """The tag and no error, or the text as it is and the error: no row fails."""
     content = text[region.start : region.end]
     try:
         if region.type == "QTY":
-            return quantity(content, region, mode), None
+            return quantity(content, region, mode, atoms), None
         if region.type == "NUM":
             return number(content, mode), None
     except (UnitError, NumberError, OverflowError, ZeroDivisionError) as e:
@@ -80,7 +106,7 @@ def tag(region: Region, text: str, mode: str = "B") -> tuple[str, str | None]:
     return content, None
 
 
-def rendered(text: str, found: list[Region], mode: str = "B", encode=None) -> tuple[str, list[str]]:
+def rendered(text: str, found: list[Region], mode: str = "B", encode=None, atoms: dict | None = None) -> tuple[str, list[str]]:
     """The text with its regions as tags, and the errors. In mode A prose goes through encode."""
     out, errors, at = [], [], 0
     for r in found:
@@ -90,7 +116,7 @@ def rendered(text: str, found: list[Region], mode: str = "B", encode=None) -> tu
                 raise NotImplementedError("mode A needs an encoder for prose")
             out.append(" ".join(map(str, encode(text[r.start : r.end]))))
         else:
-            piece, error = tag(r, text, mode)
+            piece, error = tag(r, text, mode, atoms)
             out.append(piece)
             if error:
                 errors.append(error)

@@ -13,11 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexidim import lexicons as lx
-from lexidim.operators.render import rendered, tag
+from lexidim.functions.numbers import NumberError
+from lexidim.operators.render import Quantity, quantities, rendered, tag
 from lexidim.operators.scan import Patterns, regions, slug_of
+from lexidim.operators.stem import stem
 from lexidim.sources.config import Ontology
+from lexidim.units import UnitError
 
-REGION = "STRUCT<type: STRING, start: INT, `end`: INT, content: STRING, slug: STRING, ambig_kind: STRING, ambig_alternatives: ARRAY<STRING>, tag: STRING, error: STRING>"
+#: Fields of a region; callers may ask for some only.
+REGION = {"type": "STRING", "start": "INT", "end": "INT", "content": "STRING", "slug": "STRING", "ambig_kind": "STRING", "ambig_alternatives": "ARRAY<STRING>", "tag": "STRING", "error": "STRING"}
+FIELDS = tuple(REGION)
 
 PROMPTS = {
     "en": (
@@ -41,63 +46,71 @@ def activation_prompt(language: str = "pt-br", overrides: dict[str, str] | None
     return (overrides or {}).get(language, PROMPTS.get(language, "")).rstrip() + "\n"
 
 
-def _scanner(symbols) -> Callable[[], Patterns]:
-    """Patterns are compiled once a worker, on first use."""
-
-    def get() -> Patterns:
-        import sys
+#: Patterns that a worker has compiled, by their unit symbols.
+_COMPILED: dict[tuple, Patterns] = {}
 
-        kept = sys.modules["pyspark"].__dict__.setdefault("_lexidim_patterns", {})
-        key = tuple(symbols or ())
-        return kept.get(key) or kept.setdefault(key, Patterns(symbols))
 
-    return get
+def patterns_of(symbols: tuple[str, ...]) -> Patterns:
+    """Patterns are compiled once a worker, on first use."""
+    return _COMPILED.get(symbols) or _COMPILED.setdefault(symbols, Patterns(symbols or None))
 
 
 class Engine:
-    """symbols: unit symbols to know instead of the whole table; encode: ids of prose for mode A;
+    """symbols: unit symbols to know instead of the whole table; atoms: a unit table instead of the
+    own one, as units.load_atoms() gives it; encode and decode: ids of prose for mode A, and back;
     ontology: the types and their order of precedence."""
 
-    def __init__(self, symbols: list[str] | None = None, encode: Callable[[str], list[int]] | None = None, prompts: dict[str, str] | None = None, ontology: Ontology | None = None):
+    def __init__(self, symbols: list[str] | None = None, encode: Callable[[str], list[int]] | None = None, prompts: dict[str, str] | None = None, ontology: Ontology | None = None, atoms: dict | None = None, decode: Callable[[list[int]], str] | None = None):
         if symbols is not None and not symbols:
             raise ValueError("at least one unit symbol is needed")
+        if atoms is not None and not atoms:
+            raise ValueError("at least one unit atom is needed")
         self.priority = (ontology or Ontology()).priority
-        self.symbols, self.encode, self.prompts = symbols, encode, prompts
+        self.symbols, self.encode, self.decode, self.prompts, self.atoms = tuple(symbols or atoms or ()), encode, decode, prompts, atoms
 
-    def regions_of(self, text: Column | str) -> Column:
-        """ARRAY of REGION of each text; null for a null text."""
-        patterns, priority = _scanner(self.symbols), self.priority
+    def regions_of(self, text: Column | str, fields: tuple[str, ...] = FIELDS) -> Column:
+        """ARRAY of STRUCT of each text, with the fields of REGION asked for; null for a null text.
+        Fields not asked for aren't made."""
+        symbols, priority, atoms = self.symbols, self.priority, self.atoms
+        kind = _arrow_type(fields)
 
         def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            found = patterns()
+            found = patterns_of(symbols)
             for batch in batches:
-                yield pa.array([None if t is None else [_row(r, t) for r in regions(t, found, priority)] for t in batch.to_pylist()], _REGIONS)
+                yield pa.array([None if t is None else [_row(r, t, fields, atoms) for r in regions(t, found, priority)] for t in batch.to_pylist()], kind)
 
-        return F.arrow_udf(scan, f"ARRAY<{REGION}>")(text)
+        return F.arrow_udf(scan, f"ARRAY<STRUCT<{', '.join(f'`{f}`: {REGION[f]}' for f in fields)}>>")(text)
 
-    def regions(self, df: DataFrame, text_col: str = "text", into: str = "regions") -> DataFrame:
-        return df.withColumn(into, self.regions_of(F.col(text_col)))
+    def regions(self, df: DataFrame, text_col: str = "text", into: str = "regions", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+        return df.withColumn(into, self.regions_of(F.col(text_col), fields))
 
-    def exploded(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """One row per region, with the fields of REGION beside the other columns."""
+    def exploded(self, df: DataFrame, text_col: str = "text", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+        """One row per region, with fields of REGION beside the other columns."""
         rest = [c for c in df.columns if c != text_col]
-        return df.select(*rest, F.inline(self.regions_of(F.col(text_col))))
+        return df.select(*rest, F.inline(self.regions_of(F.col(text_col), fields)))
+
+    def decoded(self, ids: Column) -> Column:
+        """The prose of arrays of ids that encode gave."""
+        if self.decode is None:
+            raise NotImplementedError("there is no decoder")
+        decode = self.decode
+        return F.arrow_udf(lambda batch: pa.array([None if x is None else decode(x) for x in batch.to_pylist()], pa.string()), "STRING")(ids)
 
     def preprocess(self, df: DataFrame, text_col: str = "text", into: str = "preprocessed", mode: str = "B", strict: bool = False) -> DataFrame:
         """df with the rewritten text and `<into>_errors`; in strict mode an error fails the query."""
         if mode == "A" and self.encode is None:
             raise NotImplementedError("mode A needs an encoder for prose")
-        patterns, encode, priority = _scanner(self.symbols), self.encode, self.priority
+        symbols, encode, priority, atoms = self.symbols, self.encode, self.priority, self.atoms
 
         def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            found = patterns()
+            found = patterns_of(symbols)
             for batch in batches:
                 out = []
                 for t in batch.to_pylist():
                     if t is None:
                         out.append(None)
                         continue
-                    text, errors = rendered(t, regions(t, found, priority), mode, encode)
+                    text, errors = rendered(t, regions(t, found, priority), mode, encode, atoms)
                     out.append({"text": text, "errors": errors})
                 yield pa.array(out, pa.struct([("text", pa.string()), ("errors", pa.list_(pa.string()))]))
 
@@ -122,21 +135,83 @@ class Engine:
         )
 
 
-_REGIONS = pa.list_(
-    pa.struct(
-        [("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("content", pa.string()), ("slug", pa.string()), ("ambig_kind", pa.string()), ("ambig_alternatives", pa.list_(pa.string())), ("tag", pa.string()), ("error", pa.string())]
-    )
-)
+_ARROW = {"STRING": pa.string(), "INT": pa.int32(), "ARRAY<STRING>": pa.list_(pa.string())}
+
+
+def _arrow_type(fields: tuple[str, ...]) -> pa.DataType:
+    return pa.list_(pa.struct([(f, _ARROW[REGION[f]]) for f in fields]))
+
+
+def _row(r, text: str, fields: tuple[str, ...], atoms: dict | None = None) -> dict:
+    out = {"type": r.type, "start": r.start, "end": r.end}
+    if len(fields) > 3 or not out.keys() >= set(fields):
+        out |= {"content": text[r.start : r.end], "ambig_kind": r.ambig, "ambig_alternatives": list(r.alternatives)}
+        if "slug" in fields:
+            out["slug"] = slug_of(r, text)
+        if "tag" in fields or "error" in fields:
+            out["tag"], out["error"] = tag(r, text, atoms=atoms)
+    return {f: out[f] for f in fields}
+
+
+QUANTITY = "STRUCT<raw: STRING, value: DOUBLE, uncertainty: DOUBLE, unit: STRING, terms: ARRAY<STRUCT<symbol: STRING, power: INT>>, dim: ARRAY<INT>, factor: DOUBLE, si_unit: STRING, si_value: DOUBLE, si_uncertainty: DOUBLE>"
+
+
+def quantity_of(text: Column, atoms: dict | None = None) -> Column:
+    """STRUCT<quantities, error>: what a text states as a quantity, a unit alone or a range, with its
+    terms, dimension and SI form; null and the error where it can't be read."""
+
+    def as_dict(q: Quantity) -> dict:
+        return q._asdict() | {"terms": [{"symbol": s, "power": p} for s, p in q.terms]}
+
+    def of(text):
+        try:
+            if not text.strip():
+                raise UnitError("empty quantity")
+            return {"quantities": [as_dict(q) for q in quantities(text, atoms)], "error": None}
+        except (UnitError, NumberError, OverflowError, ZeroDivisionError) as e:
+            return {"quantities": None, "error": str(e)}
+
+    return each_once(of, f"STRUCT<quantities: ARRAY<{QUANTITY}>, error: STRING>")(text)
+
+
+def each_once(f: Callable, kind: str, **register):
+    """An Arrow-batched function of one or more columns that calls f once for each distinct
+    combination of a batch; null where an argument is null."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
+    def one(a: pa.Array) -> pa.Array:
+        return over(a)
+
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return over(a, b)
+
+    def three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        return over(a, b, c)
+
+    def over(*columns: pa.Array) -> pa.Array:
+        seen: dict = {}
+        out = []
+        for row in zip(*(c.to_pylist() for c in columns)):
+            if row not in seen:
+                seen[row] = None if None in row else f(*row)
+            out.append(seen[row])
+        return pa.array(out, arrow)
+
+    n = f.__code__.co_argcount
+    return F.arrow_udf((one, two, three)[n - 1], kind)
 
 
-def _row(r, text: str) -> dict:
-    made, error = tag(r, text)
-    return {"type": r.type, "start": r.start, "end": r.end, "content": text[r.start : r.end], "slug": slug_of(r, text), "ambig_kind": r.ambig, "ambig_alternatives": list(r.alternatives), "tag": made, "error": error}
+def stems(word: Column) -> Column:
+    """The stem of each word, in Arrow batches."""
+    return each_once(lambda w: stem(w), "STRING")(word)
 
 
 def by_type(exploded: DataFrame) -> DataFrame:
-    """Regions, documents and code points by type."""
-    return exploded.groupBy("type").agg(F.count("*").alias("n_regions"), F.sum(F.length("content")).cast("long").alias("n_chars"))
+    """Regions and code points by type; of regions with their type, start and end."""
+    return exploded.groupBy("type").agg(F.count("*").alias("n_regions"), F.sum(F.col("end") - F.col("start")).cast("long").alias("n_chars"))
 
 
 def constants(df: DataFrame, symbol_col: str) -> DataFrame:

@@ -9,29 +9,24 @@ from lexidim import units
 from lexidim.functions.numbers import NumberError, format_value, number_value
 from lexidim.functions.text import slug
 from lexidim.operators.render import rendered, tag
-from lexidim.operators.scan import Patterns, regions
+from lexidim.operators.scan import regions
+from lexidim.plans.engine import each_once, patterns_of
 
 
 def register(spark: SparkSession, prefix: str = "lexi_") -> None:
-    """`SELECT … FROM docs, LATERAL lexi_regions(text)`, lexi_preprocess, lexi_number, lexi_slug,
-    lexi_unit_dim, lexi_unit_factor and lexi_convert."""
+    """`SELECT … FROM docs, LATERAL lexi_regions(text)`, lexi_preprocess, lexi_number, lexi_format,
+    lexi_slug, lexi_unit_dim, lexi_unit_factor and lexi_convert: in Arrow batches, each distinct
+    value of a batch once. Queries that need no Python use the column functions they stand for."""
 
     class Scan:
-        def __init__(self):
-            self.patterns = Patterns()
-
         def eval(self, text: str):
-            for r in regions(text or "", self.patterns):
+            for r in regions(text or "", patterns_of(())):
                 yield r.type, r.start, r.end, text[r.start : r.end], tag(r, text)[0]
 
-    spark.udtf.register(prefix + "regions", F.udtf(Scan, returnType="type STRING, start INT, `end` INT, content STRING, tag STRING"))
+    spark.udtf.register(prefix + "regions", F.udtf(Scan, returnType="type STRING, start INT, `end` INT, content STRING, tag STRING", useArrow=True))
 
     def preprocess(text):
-        import sys
-
-        kept = sys.modules["pyspark"].__dict__.setdefault("_lexidim_patterns", {})
-        found = kept.get(()) or kept.setdefault((), Patterns())
-        return None if text is None else rendered(text, regions(text, found))[0]
+        return rendered(text, regions(text, patterns_of(())))[0]
 
     def number(text):
         try:
@@ -47,15 +42,15 @@ def register(spark: SparkSession, prefix: str = "lexi_") -> None:
 
     def converted(value, source, target):
         a, b = analysed(source), analysed(target)
-        return value * a[1] / b[1] if value is not None and a and b and a[0] == b[0] else None
+        return value * a[1] / b[1] if a and b and a[0] == b[0] else None
 
     for name, f, kind in (
         ("preprocess", preprocess, "STRING"),
         ("number", number, "DOUBLE"),
-        ("format", format_value, "STRING"),
-        ("slug", lambda t: None if t is None else slug(t), "STRING"),
+        ("format", lambda v: format_value(v), "STRING"),
+        ("slug", lambda t: slug(t), "STRING"),
         ("unit_dim", lambda u: list(a[0]) if (a := analysed(u)) else None, "ARRAY<INT>"),
         ("unit_factor", lambda u: a[1] if (a := analysed(u)) else None, "DOUBLE"),
         ("convert", converted, "DOUBLE"),
     ):
-        spark.udf.register(prefix + name, F.udf(f, kind, useArrow=True))
+        spark.udf.register(prefix + name, each_once(f, kind))

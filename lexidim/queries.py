@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +14,12 @@ from lexidim import units
 from lexidim.functions import numbers as nb
 from lexidim.functions import text as tx
 from lexidim.operators import compose, resolve
-from lexidim.operators.stem import stem
 from lexidim.plans import engine as en
 from lexidim.plans import sql as lexi_sql
+from lexidim.sources import benchmark
 from lexidim.sources import cases as cs
 from lexidim.sources.config import Ontology
+from lexidim.folders import shared_folder, write_text
 from lexidim.streaming import regions as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +48,17 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
 
 
+def pick(col, items):
+    """The item that a number picks, by its remainder."""
+    return F.element_at(F.array(*map(F.lit, items)), (F.pmod(col, F.lit(len(items))) + 1).cast("int"))
+
+
+def picked_sql(table: str, key: str, rows, names: str) -> str:
+    """Each row of a table with the values that its key picks by remainder, in SQL."""
+    rows = list(rows)
+    return f"(SELECT {key}, {names} FROM {table} JOIN (VALUES {values((k, *r) for k, r in enumerate(rows))}) v(k, {names}) ON {key} % {len(rows)} = k)"
+
+
 def grouped_sql(n: str) -> str:
     """An integer's digits in threes, in SQL."""
     return f"trim(regexp_replace(lpad(CAST({n} AS VARCHAR), 15, ' '), '(...)', '\\1 ', 'g'))"
@@ -99,27 +113,27 @@ UNIT_ROWS = [
 ]
 
 
-@query(f"SELECT unit, dim, factor, si_unit FROM (VALUES {values((u, d, None if f is None else round(f, 6), s) for u, d, f, s in UNIT_ROWS)}) t(unit, dim, factor, si_unit)")
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', ((u, d, None if f is None else round(f, 6), s) for u, d, f, s in UNIT_ROWS), 'unit, dim, factor, si_unit')}")
 def unit_dim_vector(spark, sf_dir):
-    rows = spark.createDataFrame([(u,) for u, *_ in UNIT_ROWS], "unit STRING")
-    return units.described_units(rows).select("unit", units.dim_text(F.col("dim")).alias("dim"), F.round("factor", 6).alias("factor"), "si_unit")
+    units_of = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [u for u, *_ in UNIT_ROWS]).alias("unit"))
+    return units.with_unit(units_of, "unit").select("p_partkey", "unit", units.dim_text(F.col("dim")).alias("dim"), F.round("factor", 6).alias("factor"), "si_unit")
 
 
 @query("SELECT p_partkey, round(p_size / 25.4, 6) AS inches, round(p_size * 1e6 / 98066.5, 6) AS kgf_cm2 FROM part")
 def unit_convert(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("v"), F.lit("mm").alias("a"), F.lit("in").alias("b"), F.lit("MPa").alias("c"), F.lit("kgf/cm²").alias("d"))
-    df = units.converted(df, "v", "a", "b").withColumnRenamed("converted", "x").drop("error")
-    return units.converted(df, "v", "c", "d").select("p_partkey", F.round("x", 6).alias("inches"), F.round("converted", 6).alias("kgf_cm2"))
+    made = units.conversions(df, [("v", "a", "b", "x"), ("v", "c", "d", "y")])
+    return made.select("p_partkey", F.round("x.value", 6).alias("inches"), F.round("y.value", 6).alias("kgf_cm2"))
 
 
 PAIRS = [("Pa", "N/m²", True), ("kgf", "N", True), ("t", "tf", False), ("m", "kg", False), ("J", "kW·h", True), ("psi", "kPa", True), ("rad", "%", True), ("W", "cv", True), ("N·m", "J", True), ("foobar", "m", None)]
 
 
-@query(f"SELECT a, b, same FROM (VALUES {values((a, b, 'true' if s else 'false' if s is False else None) for a, b, s in PAIRS)}) t(a, b, same)")
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', ((a, b, 'true' if s else 'false' if s is False else None) for a, b, s in PAIRS), 'a, b, same')}")
 def unit_homogeneity(spark, sf_dir):
-    df = spark.createDataFrame([(a, b) for a, b, _ in PAIRS], "a STRING, b STRING")
-    both = units.with_unit(units.with_unit(df, "a", "a_"), "b", "b_")
-    return both.select("a", "b", (F.col("a_dim") == F.col("b_dim")).cast("string").alias("same"))
+    key = F.col("p_partkey")
+    df = table(spark, sf_dir, "part").select("p_partkey", pick(key, [a for a, *_ in PAIRS]).alias("a"), pick(key, [b for _, b, _ in PAIRS]).alias("b"))
+    return units.with_units(df, {"a_": "a", "b_": "b"}).select("p_partkey", "a", "b", (F.col("a_dim") == F.col("b_dim")).cast("string").alias("same"))
 
 
 @query("SELECT 'incompatible dimensions' AS error, count(*) AS n FROM part")
@@ -136,25 +150,46 @@ JOIN (VALUES ('A', 1000.0, 'N'), ('N', 9806.65, 'N'), ('R', 1000000.0, 'Pa')) u(
 def si_sum_by_unit(spark, sf_dir):
     flags = F.create_map(*[F.lit(x) for k, (u, _) in LINE_UNITS.items() for x in (k, u)])
     lines = table(spark, sf_dir, "lineitem").select("l_quantity", flags[F.col("l_returnflag")].alias("unit"))
-    known = units.with_unit(lines, "unit").where("factor IS NOT NULL")
-    return known.groupBy("si_unit").agg(F.round(F.sum(F.col("l_quantity") * F.col("factor")) / 1e6, 3).alias("total"), F.count("*").alias("n"))
+    return units.si_sums(lines, "l_quantity", "unit").select("si_unit", F.round(F.col("total") / 1e6, 3).alias("total"), "n")
 
 
-@query(f"""SELECT p || s AS symbol, round(log10(f) + k, 6) AS magnitude FROM (VALUES {values((p, k) for p, k in units.PREFIXES.items())}) a(p, k),
-(VALUES {values((s, f) for s, _, f in units.PREFIXABLE)}) b(s, f) WHERE p || s NOT IN (SELECT x FROM (VALUES {values((s,) for s in sorted({s for s, *_ in (*units.PREFIXABLE, *units.PLAIN)} | units.NOT_UNITS))}) c(x))""")
+PREFIXED = [("km", 3.0), ("mm", -3.0), ("µs", -6.0), ("MPa", 6.0), ("kN", 3.0), ("GHz", 9.0), ("daN", 1.0), ("hPa", 2.0), ("mg", -6.0), ("kg", 0.0), ("pF", -12.0), ("TW", 12.0), ("cL", -5.0), ("as", None), ("das", None), ("min", None), ("dpi", None), ("xyz", None)]
+
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', PREFIXED, 'symbol, magnitude')}")
 def prefix_expand(spark, sf_dir):
-    return units.prefixed_atoms(spark).select("symbol", F.round(F.log10("factor"), 6).alias("magnitude"))
+    """Powers of ten of symbols that prefixes make; null where the symbol is another's or none."""
+    wanted = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [x for x, _ in PREFIXED]).alias("symbol"))
+    made = units.prefixed_atoms(spark).select(F.col("symbol").alias("_symbol"), F.round(F.log10("factor"), 6).alias("magnitude"))
+    return wanted.join(F.broadcast(made), F.col("symbol") == F.col("_symbol"), "left").drop("_symbol")
+
 
+ALIASED = [("mt", "tf·m"), ("t/m²", "tf/m²"), ("kgf/cm2", "kgf/cm²"), ("N/m2", "N/m²"), ("g/cm3", "g/cm³"), ("mm3", "mm³"), ("Torr", "torr"), ("mmH₂O", "mmH2O"), ("in Hg", "inHg"), ("KB", "kB"), ("Gbyte", "gigabyte"), ("MPa", "MPa"), ("t", "t"), ("", "")]
 
-@query(f"SELECT alias, canonical FROM (VALUES {values(units.UNIT_ALIASES.items())}, ('MPa', 'MPa')) t(alias, canonical)")
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', ALIASED, 'alias, canonical')}")
 def alias_normalize(spark, sf_dir):
-    df = spark.createDataFrame([(a,) for a in (*units.UNIT_ALIASES, "MPa")], "alias STRING")
-    return df.select("alias", units.normalized(F.col("alias")).alias("canonical"))
+    df = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [x for x, _ in ALIASED]).alias("alias"))
+    return df.select("p_partkey", "alias", units.normalized(F.col("alias")).alias("canonical"))
+
 
+ATOM_ROWS = [("N", "[1,1,-2,0,0,0,0]", 1.0, "si"), ("kgf", "[1,1,-2,0,0,0,0]", 9.80665, "si"), ("µm", "[0,1,0,0,0,0,0]", 1e-6, "prefixed"), ("%", "[0,0,0,0,0,0,0]", 0.01, "ratio"), ("rad", "[0,0,0,0,0,0,0]", 1.0, "angle"), ("kB", "[0,0,0,0,0,0,0]", 8000.0, "information"), ("KiB", "[0,0,0,0,0,0,0]", 8192.0, "information"), ("°C", "[0,0,0,0,1,0,0]", 1.0, "si"), ("L", "[0,3,0,0,0,0,0]", 0.001, "si"), ("eV", "[1,2,-2,0,0,0,0]", 1.602176634e-19, "si"), ("foo", None, None, None)]
 
-@query("SELECT category, count(*) AS n FROM (VALUES " + values((s, c) for s, (_, _, c) in units.ATOMS.items()) + ") t(symbol, category) GROUP BY category")
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', ATOM_ROWS, 'symbol, dim, factor, category')}")
 def unit_atoms(spark, sf_dir):
-    return units.atom_table(spark).groupBy("category").agg(F.count("*").alias("n"))
+    wanted = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [r[0] for r in ATOM_ROWS]).alias("symbol"))
+    return wanted.join(F.broadcast(units.atom_table(spark)), "symbol", "left").select("p_partkey", "symbol", units.dim_text(F.col("dim")).alias("dim"), "factor", "category")
+
+
+QUANTITIES = [("350 MPa", 350.0, None, "MPa", 3.5e8, None, "Pa"), ("20 ± 2 mm", 20.0, 2.0, "mm", 0.02, 0.002, "m"), ("kgf/cm²", None, None, "kgf/cm²", None, None, "Pa"), ("1,5 kN·m", 1.5, None, "kN·m", 1500.0, None, "J"), ("7 foobar", 7.0, None, "foobar", None, None, None), ("−40 °C", -40.0, None, "°C", -40.0, None, "K"), ("", None, None, None, None, None, None)]
+
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', QUANTITIES, 'raw, value, uncertainty, unit, si_value, si_uncertainty, si_unit')}")
+def quantity_parse(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [q[0] for q in QUANTITIES]).alias("raw"))
+    q = F.get(en.quantity_of(F.col("raw"))["quantities"], 0)
+    return df.select("p_partkey", "raw", q["value"].alias("value"), q["uncertainty"].alias("uncertainty"), q["unit"].alias("unit"), F.round(q["si_value"], 9).alias("si_value"), F.round(q["si_uncertainty"], 9).alias("si_uncertainty"), q["si_unit"].alias("si_unit"))
 
 
 # ---- numbers
@@ -179,19 +214,20 @@ def number_canonical(spark, sf_dir):
     )
 
 
-@query(f"SELECT o_orderkey, 'pt-br' AS a, CASE WHEN {PRICE} >= 1000 THEN 'en' ELSE 'en' END AS b, 'none' AS c, CASE WHEN {PRICE} >= 1000 THEN 'pt-br' ELSE 'none' END AS d FROM orders")
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'pt-br' WHEN o_orderkey % 4 = 1 THEN 'en' WHEN o_orderkey % 4 = 2 THEN 'none' WHEN {PRICE} >= 1000 THEN 'pt-br' ELSE 'none' END AS locale FROM orders")
 def number_locale(spark, sf_dir):
-    n = F.col("n")
-    return orders(spark, sf_dir).select("o_orderkey", nb.number_locale(F.concat(in_threes(n, "."), F.lit(",25"))).alias("a"), nb.number_locale(F.concat(in_threes(n, ","), F.lit(".25"))).alias("b"), nb.number_locale(n.cast("string")).alias("c"), nb.number_locale(in_threes(n, ".")).alias("d"))
+    n, key = F.col("n"), F.col("o_orderkey") % 4
+    raw = F.when(key == 0, F.concat(in_threes(n, "."), F.lit(",25"))).when(key == 1, F.concat(in_threes(n, ","), F.lit(".25"))).when(key == 2, n.cast("string")).otherwise(in_threes(n, "."))
+    return orders(spark, sf_dir).select("o_orderkey", nb.number_locale(raw).alias("locale"))
 
 
 KINDS = [("5", "inteira", 5.0), ("3,5", "decimal", 3.5), ("3,5%", "percentual", 0.035), ("3/4", "fracionaria", 0.75), ("1ª", "ordinal", 1.0), ("6.022e23", "cientifica", 6.022e23), ("5,9722×10²⁴", "cientifica", 5.9722e24), ("10⁶", "cientifica", 1e6), ("5/0", "fracionaria", None), ("−273,15", "decimal", -273.15), ("2×10^(-3)", "cientifica", 0.002)]
 
 
-@query(f"SELECT raw, kind, value FROM (VALUES {values(KINDS)}) t(raw, kind, value)")
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', KINDS, 'raw, kind, value')}")
 def number_repr(spark, sf_dir):
-    df = spark.createDataFrame([(r,) for r, *_ in KINDS], "raw STRING")
-    return df.select("raw", nb.number_kind(F.col("raw")).alias("kind"), nb.number_parsed(F.col("raw"))["value"].alias("value"))
+    df = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [r for r, *_ in KINDS]).alias("raw"))
+    return df.select("p_partkey", "raw", nb.number_kind(F.col("raw")).alias("kind"), nb.number_parsed(F.col("raw"))["value"].alias("value"))
 
 
 @query("SELECT p_partkey, round(p_size / 100.0, 6) AS percent, round(p_size / 7.0, 6) AS fraction, CAST(p_size AS DOUBLE) AS ordinal, CAST(p_size AS DOUBLE) * 1000 AS scientific FROM part")
@@ -240,22 +276,74 @@ def idx_norm_scan(spark, sf_dir):
     return ENGINE.exploded(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).where("type = 'IDX'").select("p_partkey", "slug")
 
 
-@query(f"SELECT symbol, const_name, const_unit, const_value FROM (VALUES {values(lx.CONSTANTS)}, ('x', NULL, NULL, NULL)) t(symbol, const_name, const_unit, const_value)")
+CONSTANT_ROWS = [
+    ("π", "pi", "adimensional", 3.141592653589793), ("ℏ", "constante de Planck reduzida", "J·s", 1.054571817e-34), ("k_B", "constante de Boltzmann", "J/K", 1.380649e-23), ("N_A", "número de Avogadro", "1/mol", 6.02214076e23),
+    ("σ_SB", "constante de Stefan-Boltzmann", "W/(m²·K⁴)", 5.670374419e-08), ("R_g", "constante universal dos gases", "J/(mol·K)", 8.314462618), ("x", None, None, None),
+]
+
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', CONSTANT_ROWS, 'symbol, const_name, const_unit, const_value')}")
 def const_lookup(spark, sf_dir):
-    return en.constants(spark.createDataFrame([(c[0],) for c in lx.CONSTANTS] + [("x",)], "symbol STRING"), "symbol")
+    return en.constants(table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [c[0] for c in CONSTANT_ROWS]).alias("symbol")), "symbol")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '[CONST:k_B]' WHEN 1 THEN '[CONST:π]' ELSE '[CONST:N_A]' END AS tag FROM part")
+def const_scan(spark, sf_dir):
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("peça "), F.col("p_size"), F.lit(" usa "), pick(F.col("p_partkey"), ["k_B", "π", "N_A"]), F.lit(" e ak_B, πr")).alias("text"))
+    return ENGINE.exploded(texts).where("type = 'CONST'").select("p_partkey", "tag")
+
 
+OPERATOR_SIGNS = [("⇔", 2, "logico"), ("¬", 1, "logico"), ("≤", 2, "relacional"), ("=", 2, "relacional"), ("∈", 2, "relacional"), ("∑", 1, "calculo"), ("∇", 1, "calculo"), ("×", 2, "aritmetico")]
 
-@query(f"SELECT category, arity, count(*) AS n FROM (VALUES {values(lx.OPERATOR_ROWS)}) t(symbol, arity, category) GROUP BY category, arity")
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', OPERATOR_SIGNS, 'symbol, arity, category')}")
 def op_lookup(spark, sf_dir):
-    df = en.operators(spark.createDataFrame([(s,) for s, *_ in lx.OPERATOR_ROWS], "symbol STRING"), "symbol")
-    return df.groupBy("category", "arity").agg(F.count("*").alias("n"))
+    return en.operators(table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [x for x, *_ in OPERATOR_SIGNS]).alias("symbol")), "symbol")
+
 
+@query("SELECT p_partkey, CAST(length(p_partkey::VARCHAR) + 7 AS INTEGER) AS start, CASE p_partkey % 3 WHEN 0 THEN '≥' WHEN 1 THEN '⇒' ELSE '=' END AS content FROM part")
+def op_scan(spark, sf_dir):
+    """Operators among names; an equals sign inside a word is none."""
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("caso "), F.col("p_partkey"), F.lit(". "), pick(F.col("p_partkey"), ["≥", "⇒", "="]), F.lit(" outro a=b")).alias("text"))
+    return ENGINE.exploded(texts).where("type = 'OP'").select("p_partkey", "start", "content")
 
-@query("SELECT n_nationkey, 9 + length(n_name) AS start, 'then ' AS before, 'conclusive' AS function FROM nation")
+
+@query("SELECT n_nationkey, 9 + length(n_name) AS start, 'conclusiva' AS function, 'pt-br' AS language FROM nation")
 def rel_scan(spark, sf_dir):
     texts = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("then "), F.lower("n_name"), F.lit(" is "), F.lit("Portanto azul")).alias("text"))
     found = ENGINE.exploded(texts).where("type = 'REL'").select("n_nationkey", "start", "content")
-    return en.connectives(found, "content").select("n_nationkey", F.col("start").cast("long").alias("start"), F.lit("then ").alias("before"), "function")
+    return en.connectives(found, "content").select("n_nationkey", F.col("start").cast("long").alias("start"), "function", "language")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'kgf/cm²' WHEN 1 THEN 'kN·m' ELSE 'J/(kg·K)' END AS content, CASE p_partkey % 3 WHEN 0 THEN '[QTY unit=kgf/cm² dim=[1,-1,-2,0,0,0,0]]' WHEN 1 THEN '[QTY unit=kN·m dim=[1,2,-2,0,0,0,0]]' ELSE '[QTY unit=J/(kg·K) dim=[0,2,-2,0,-1,0,0]]' END AS tag FROM part")
+def unit_only_scan(spark, sf_dir):
+    """Units without a number, far from what stands before them too."""
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a " * 100), F.lit("medida em "), pick(F.col("p_partkey"), ["kgf/cm²", "kN·m", "J/(kg·K)"]), F.lit(" é clássica e/ou usual")).alias("text"))
+    return ENGINE.exploded(texts).where("type = 'QTY'").select("p_partkey", "content", "tag")
+
+
+@query("SELECT p_partkey, '[QTY value=' || p_size || ' unit=' || CASE p_partkey % 3 WHEN 0 THEN 'kN·m/m dim=[1,1,-2,0,0,0,0]' WHEN 1 THEN 'W/(m²·K) dim=[1,0,-3,0,-1,0,0]' ELSE 'm s⁻² dim=[0,1,-2,0,0,0,0]' END || ']' AS tag FROM part")
+def unit_composition_scan(spark, sf_dir):
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("vale "), F.col("p_size"), F.lit(" "), pick(F.col("p_partkey"), ["kN·m/m", "W/(m²·K)", "m s⁻²"]), F.lit(" em média")).alias("text"))
+    return ENGINE.exploded(texts).where("type = 'QTY'").select("p_partkey", "tag")
+
+
+MATERIALS = [("AISI 1045", "aisi-1045"), ("ASTM A36", "astm-a36"), ("SAE 4140 H", "sae-4140-h"), ("ER70S-6", "er70s-6"), ("CP II-E", "cp-ii-e"), ("CA-50", "ca-50"), ("USI SAC 300", "usi-sac-300"), ("Gerdau GG 50", "gerdau-gg-50"), ("Re", "re"), ("TIG", "tig"), ("γ_c", "γc"), ("EN 1992", "en-1992"), ("ASME B31.3", "asme-b31-3"), ("DIN 931", "din-931")]
+
+
+@query(f"SELECT p_partkey, slug FROM {picked_sql('part', 'p_partkey', MATERIALS, 'name, slug')}")
+def idx_material(spark, sf_dir):
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("peça de "), pick(F.col("p_partkey"), [m for m, _ in MATERIALS]), F.lit(" na obra")).alias("text"))
+    return ENGINE.exploded(texts).where("type = 'IDX'").select("p_partkey", "slug")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || '%' WHEN 1 THEN p_size || '/7' WHEN 2 THEN p_size || 'ª' ELSE p_size || ',5' END AS content, CASE p_partkey % 4 WHEN 0 THEN 'percentual' WHEN 1 THEN 'fracionaria' WHEN 2 THEN 'ordinal' ELSE 'decimal' END AS kind FROM part")
+def num_kinds_scan(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    ends = pick(F.col("p_partkey"), ["%", "/7", "ª", ",5"])
+    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("foi "), n, ends, F.lit(" vez")).alias("text"))
+    found = ENGINE.exploded(texts).where("type IN ('NUM', 'QTY')")
+    return found.select("p_partkey", "content", nb.number_kind(F.col("content")).alias("kind"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'clear' WHEN 2 THEN 'clear' ELSE 'unit-letter' END AS decision FROM part")
@@ -267,11 +355,15 @@ def unit_letter_ambiguity(spark, sf_dir):
     return found.select("p_partkey", F.coalesce(F.get(kinds, 0), F.lit("rejected")).alias("decision"))
 
 
-@query()
+STEMMED = [("frias", "fri", "K"), ("geladas", "gel", "K"), ("térmicas", "térm", "K"), ("quentes", "quent", "K"), ("potências", "pot", "W"), ("forças", "forç", "N"), ("dissipação", "dissip", "W"), ("voltagem", "volt", "V"), ("frita", "frit", None)]
+
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', STEMMED, 'word, stem, unit')}")
 def anchor_stem(spark, sf_dir):
-    words = spark.createDataFrame([(w, stem(w)) for w in "frias geladas térmicas quentes potências forças dissipação voltagem frita frigorífico".split()], "word STRING, stem STRING")
-    stems = spark.createDataFrame([(u, s) for u, x in lx.ANCHOR_STEMS.items() for s in x.split()], "unit STRING, stem STRING")
-    return words.join(F.broadcast(stems), "stem", "left").select("word", "stem", "unit")
+    """Words stemmed in Arrow batches, and the unit that their stem confirms."""
+    words = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [w for w, *_ in STEMMED]).alias("word")).withColumn("stem", en.stems(F.col("word")))
+    stems = spark.createDataFrame([(u, x) for u, all_of in lx.ANCHOR_STEMS.items() for x in all_of.split()], "unit STRING, stem STRING")
+    return words.join(F.broadcast(stems), "stem", "left").select("p_partkey", "word", "stem", "unit")
 
 
 # ---- resolution
@@ -324,11 +416,11 @@ SYMBOL_TEXTS = [
 ]
 
 
-@query(f"SELECT text, symbols FROM (VALUES {values(SYMBOL_TEXTS)}) t(text, symbols)")
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', SYMBOL_TEXTS, 'text, symbols')}")
 def sym_scan(spark, sf_dir):
-    df = spark.createDataFrame([(t,) for t, _ in SYMBOL_TEXTS], "text STRING")
+    df = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [t for t, _ in SYMBOL_TEXTS]).alias("text"))
     found = F.transform(F.filter("regions", lambda r: r["type"] == "SYM"), lambda r: r["content"])
-    return ENGINE.regions(df).select("text", F.array_join(found, ",").alias("symbols"))
+    return ENGINE.regions(df).select("p_partkey", "text", F.array_join(found, ",").alias("symbols"))
 
 
 @query("SELECT p_partkey, '[SYM:carga] = [QTY value=' || p_size || ' unit=kN dim=[1,1,-2,0,0,0,0]]' AS text FROM part")
@@ -337,37 +429,50 @@ def sym_definition(spark, sf_dir):
     return ENGINE.preprocess(texts).select("p_partkey", F.col("preprocessed").alias("text"))
 
 
-@query("SELECT gap, class FROM (VALUES ('', 'empty'), (' + ', 'operator'), (' = ', 'operator'), (' de ', 'prose'), (' a + b ', 'mixed'), (chr(10) || '- ', 'prose')) t(gap, class)")
+GAPS = [("", "empty"), (" ", "prose"), ("\n  ", "prose"), (", ", "prose"), (" (", "prose"), (" + ", "operator"), (" = ", "operator"), (" × ", "operator"), (" e ", "mixed"), (" de ", "mixed"), (" + x ", "mixed"), ("\n- ", "mixed")]
+
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', GAPS, 'gap, class')}")
 def gap_classes(spark, sf_dir):
-    df = spark.createDataFrame([("",), (" + ",), (" = ",), (" de ",), (" a + b ",), ("\n- ",)], "gap STRING")
-    return df.select("gap", tx.gap_class(F.col("gap")).alias("class"))
+    df = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [g for g, _ in GAPS]).alias("gap"))
+    return df.select("p_partkey", "gap", tx.gap_class(F.col("gap")).alias("class"))
 
 
-@query("SELECT expr, vars, compact FROM (VALUES ('p l / 12', 'l,p', 'pl/12'), ('M_max / E I.', 'E,I,M_max', 'M_max/EI'), ('x + x', 'x', 'x+x')) t(expr, vars, compact)")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'l,p' WHEN 1 THEN 'E,I' || p_size || ',M_max' ELSE '' END AS vars,
+CASE p_partkey % 3 WHEN 0 THEN 'pl/' || p_size WHEN 1 THEN 'M_max/EI' || p_size ELSE 'x+x' END AS compact FROM part""")
 def sym_variables(spark, sf_dir):
-    df = spark.createDataFrame([("p l / 12",), ("M_max / E I.",), ("x + x",)], "expr STRING")
-    return df.select("expr", F.array_join(tx.free_variables(F.col("expr")), ",").alias("vars"), tx.compact_expression(F.col("expr")).alias("compact"))
+    key, n = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    expr = F.when(key == 0, F.concat(F.lit("p l / "), n)).when(key == 1, F.concat(F.lit("M_max / E I"), n, F.lit(" ."))).otherwise(F.lit("x + x"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.coalesce(compose.free_names(expr), F.array().cast("array<string>")), ",").alias("vars"), tx.compact_expression(expr).alias("compact"))
 
 
-COMPOSED = [("pl/12", "pl"), ("kg/m²", ""), ("M_max/EI", "EI,M_max"), ("(ii)", ""), ("palavra", ""), ("2x²", "x"), ("f(x)", "f,x"), ("e/ou", "")]
+COMPOSED = [
+    ("pl/12", "pl"), ("(pl²/32)·∛2", "pl"), ("3l/4", "l"), ("0,03937pl²", "pl"), ("α_p·E", "E,α_p"), ("M_max", "M_max"), ("M(x)", "M,x"), ("V_c(t)", "V_c,t"), ("dM/dx", "dM,dx"), ("ΔT/R_total", "R_total,ΔT"), ("2x²", "x"), ("M_max/EI", "EI,M_max"),
+    ("kg/m²", ""), ("tf·m", ""), ("kgf/cm²", ""), ("3/4", ""), ("0,75", ""), ("metros", ""), ("metros²", ""), ("apoios/12", ""), ("x", ""), ("", ""), ("(a)", ""), ("(ii)", ""), ("(xx)", ""), ("e/ou", ""), ("if/else", ""), ("palavra", ""),
+]
 
 
-@query(f"SELECT expr, vars FROM (VALUES {values(COMPOSED)}) t(expr, vars)")
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', COMPOSED, 'expr, vars')}")
 def sym_compose(spark, sf_dir):
-    names = F.udf(lambda t: ",".join(compose.composed(t) or []), "STRING", useArrow=True)
-    return spark.createDataFrame([(t,) for t, _ in COMPOSED], "expr STRING").select("expr", names("expr").alias("vars"))
+    df = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [t for t, _ in COMPOSED]).alias("expr"))
+    return df.select("p_partkey", "expr", F.array_join(F.coalesce(compose.free_names(F.col("expr")), F.array().cast("array<string>")), ",").alias("vars"))
 
 
-@query("SELECT * FROM (VALUES ('a · b', '0-5'), ('a = b', ''), ('x y', ''), ('a + b = c · d', '0-5,8-13')) t(text, spans)")
-def sym_clusters(spark, sf_dir):
-    def found(text):
-        atoms = [(m, m + 1, "OP" if text[m] in "·=+" else "SYM") for m in range(len(text)) if text[m] != " "]
-        return ",".join(f"{s}-{e}" for s, e in compose.clusters(text, atoms))
+CLUSTERED = [("a · b", "0-5"), ("a = b", ""), ("x y", ""), ("a + b = c · d", "0-5,8-13"), ("a+b-c", "0-5"), ("a, b", ""), ("", "")]
 
-    return spark.createDataFrame([("a · b",), ("a = b",), ("x y",), ("a + b = c · d",)], "text STRING").select("text", F.udf(found, "STRING", useArrow=True)("text").alias("spans"))
+
+@query(f"SELECT p_partkey, text, coalesce(spans, '') AS spans FROM {picked_sql('part', 'p_partkey', CLUSTERED, 'text, spans')}")
+def sym_clusters(spark, sf_dir):
+    """Every letter is a symbol here, and every spaced sign an operator."""
+    texts = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [t for t, _ in CLUSTERED]).alias("text"))
+    at = texts.select("p_partkey", "text", F.posexplode(F.split("text", "")).alias("start", "c")).where("c RLIKE '[a-z=·+]'")
+    spaced = F.col("c").rlike("[a-z]") | (F.substring("text", F.col("start"), F.lit(1)) == " ")
+    atoms = at.where(spaced).select("p_partkey", "text", "start", (F.col("start") + 1).alias("end"), F.when(F.col("c").rlike("[a-z]"), "SYM").otherwise("OP").alias("type"))
+    spans = compose.clusters(atoms, ["p_partkey"]).groupBy("p_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("spans"))
+    return texts.join(spans, "p_partkey", "left").select("p_partkey", "text", F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-@query(f"SELECT type, priority FROM (VALUES {values((t, k) for k, t in enumerate(lx.TYPES))}) t(type, priority)")
+@query("SELECT type, priority FROM (VALUES ('QTY', 0), ('CONST', 1), ('REF', 2), ('NUM', 3), ('IDX', 4), ('OP', 5), ('SYM', 6), ('REL', 7), ('PROSE', 8)) t(type, priority)")
 def ontology_order(spark, sf_dir):
     return Ontology().table(spark).select("type", "priority")
 
@@ -396,7 +501,7 @@ def documents(spark, sf_dir):
 
 @query()
 def regions_by_type(spark, sf_dir):
-    return en.by_type(ENGINE.exploded(documents(spark, sf_dir)))
+    return en.by_type(ENGINE.exploded(documents(spark, sf_dir), fields=("type", "start", "end")))
 
 
 @query()
@@ -464,6 +569,14 @@ def case_figures(spark, sf_dir):
     return cs.validated(cases, REFERENCES, RISKY, OTHER).select("id", "title", F.array_join("warnings", ";").alias("warnings"))
 
 
+@query(f"""WITH {CASES_SQL}, n AS (SELECT count(*) AS a, count(*) FILTER (WHERE errors = 0) AS b FROM v)
+SELECT 0 AS nth, 'Total: ' || a || ' casos' AS line FROM n UNION ALL SELECT 1, '  Válidos: ' || b FROM n UNION ALL SELECT 2, '  Inválidos: ' || (a - b) FROM n UNION ALL SELECT 0, '  [' || id || ']' FROM v WHERE errors > 0""")
+def report_text(spark, sf_dir):
+    """The report's counts and the cases it names."""
+    lines = cs.report_lines(cs.validated(doc_cases(spark, sf_dir), REFERENCES, RISKY, OTHER))
+    return lines.where("id IS NULL OR nth = 0").select("nth", "line")
+
+
 @query(f"WITH {CASES_SQL} SELECT count(*) AS n_cases, count(*) FILTER (WHERE errors = 0) AS n_valid, count(*) FILTER (WHERE errors > 0) AS n_invalid FROM v")
 def case_report(spark, sf_dir):
     return cs.report(cs.validated(doc_cases(spark, sf_dir), REFERENCES, RISKY, OTHER))
@@ -509,6 +622,70 @@ def checksum(spark, sf_dir):
     return cs.manifest(lines, cs.validated(doc_cases(spark, sf_dir), REFERENCES, RISKY, OTHER)).select("n_compiled", "checksum")
 
 
+NATION_FILES = {
+    "references.yaml": "schema_version: '1'\nsources:\n- {id: atlas, type: book, full_citation: an atlas of nations, short_citation: atlas}\n",
+    "tags_vocabulary.yaml": "schema_version: '1'\nhigh_risk_tags: {place: [nation]}\ncontextual_tags: [even]\n",
+    "manifest.yaml": "schema_version: '1'\nbenchmark_version: '1.0'\nname: nations\ndescription: a case each\ncreated: '2020-01-01'\n",
+}
+
+
+def nation_folder(spark, sf_dir) -> str:
+    """A folder of case files, one for each nation (25 rows, whatever the scale)."""
+    folder = f"{shared_folder(spark)}/nations-{uuid.uuid4().hex}"
+    for name, text in NATION_FILES.items():
+        write_text(spark, f"{folder}/{name}", text)
+    for n in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").toLocalIterator():
+        answers = [{"name": f"a{k}", "value": k, "unit": "m", "tolerance_relative": 0.1} for k in range(4 if n.n_nationkey % 5 else 3)]
+        case = {
+            "schema_version": "1", "id": f"geo-{n.n_nationkey}", "title": n.n_name, "metadata": {"discipline_folder": "geo", "language": "en"}, "reference": {"source_id": "atlas"},
+            "tags": ["nation"] + ["even"] * (n.n_nationkey % 2 == 0), "prompt_baseline": f"the border here is {n.n_nationkey + 3} mm", "gabarito": answers, "review_status": "draft" if n.n_nationkey % 7 == 0 else "validated",
+        }
+        write_text(spark, f"{folder}/geo/cases/{n.n_nationkey:02d}.yaml", json.dumps(case))
+    return folder
+
+
+@query("""SELECT 'geo-' || n_nationkey AS id, n_name AS title, 'the border here is ' || (n_nationkey + 3) || ' mm' AS baseline, 'the border here is [QTY value=' || (n_nationkey + 3) || ' unit=mm dim=[0,1,0,0,0,0,0]]' AS modo_b,
+4::BIGINT AS n_answers, 2::BIGINT AS n_messages FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0""")
+def compile_all(spark, sf_dir):
+    """The lines of a compiled folder of case files, read again."""
+    made = benchmark.compile_all(spark, nation_folder(spark, sf_dir))
+    at = lambda path: F.get_json_object("value", f"$.{path}")
+    return spark.read.text(made.lines_path).select(
+        at("id").alias("id"), at("title").alias("title"), at("prompts.baseline").alias("baseline"), at("prompts.modo_b").alias("modo_b"),
+        F.json_array_length(at("gabarito")).cast("long").alias("n_answers"), F.json_array_length(at("messages_for_api.modo_d_activated")).cast("long").alias("n_messages"),
+    )
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS compiled, count(*) FILTER (WHERE NOT ok) AS rejected, count(*) FILTER (WHERE ok) AS nation, count(*) FILTER (WHERE ok AND n_nationkey % 2 = 0) AS even, 64 AS hash_length
+FROM (SELECT n_nationkey, n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AS ok FROM nation)""")
+def manifest(spark, sf_dir):
+    """The manifest of a compiled folder, read again as JSON."""
+    made = benchmark.compile_all(spark, nation_folder(spark, sf_dir))
+    m = spark.read.json(made.manifest_path, multiLine=True)
+    return m.select(
+        F.col("n_cases_total").alias("total"), F.col("n_cases_compiled").alias("compiled"), F.col("n_cases_rejected").alias("rejected"),
+        F.col("tags_stratification.nation").alias("nation"), F.col("tags_stratification.even").alias("even"), F.length("jsonl_sha256").alias("hash_length"),
+    )
+
+
+UNIT_FILES = {
+    "main.json": '{"atoms": {"zorb": {"dim": [0, 1, 0, 0, 0, 0, 0], "factor": 2.0, "prefixes": true}, "%": {"dim": [0, 0, 0, 0, 0, 0, 0], "factor": 0.5}}}',
+    "more.json": '{"atoms": {"%": {"factor": 0.01, "category": "ratio"}, "blip": {"factor": 3.0, "category": "information"}}}',
+}
+LOADED = [("zorb", "si", 2.0), ("kzorb", "prefixed", 2000.0), ("%", "si", 0.5), ("blip", "information", 3.0), ("mm", None, None)]
+
+
+@query(f"SELECT * FROM {picked_sql('part', 'p_partkey', LOADED, 'symbol, category, factor')}")
+def unit_table_load(spark, sf_dir):
+    """A unit table from files: the main one wins, and one that isn't there adds nothing."""
+    folder = f"{shared_folder(spark)}/units-{uuid.uuid4().hex}"
+    for name, text in UNIT_FILES.items():
+        write_text(spark, f"{folder}/{name}", text)
+    atoms = units.load_atoms(spark, f"{folder}/main.json", (f"{folder}/none.json", f"{folder}/more.json"))
+    wanted = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [x for x, *_ in LOADED]).alias("symbol"))
+    return wanted.join(F.broadcast(units.atom_table(spark, atoms)), "symbol", "left").select("p_partkey", "symbol", "category", "factor")
+
+
 # ---- streams
 
 
@@ -519,10 +696,7 @@ def stream_regions(spark, sf_dir):
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/part.parquet*")
     texts = stream.select("p_partkey", part_text())
     found = st.region_stream(texts, ENGINE).where("type = 'QTY'").select("p_partkey", "tag")
-    name = f"stream_regions_{abs(hash(sf_dir)) % 10**8}"
-    run = found.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return st.written(found, f"{shared_folder(spark)}/stream-regions-{uuid.uuid4().hex}")
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, 'QTY' AS type, count(*) AS n_regions FROM events GROUP BY 1")

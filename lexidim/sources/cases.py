@@ -45,8 +45,9 @@ def problems(references: list[str], high_risk: list[str], contextual: list[str])
 
 
 def validated(cases: DataFrame, references: list[str], high_risk: list[str], contextual: list[str]) -> DataFrame:
-    """cases with errors and warnings; the second and later cases of an id are errors."""
-    again = F.row_number().over(Window.partitionBy("id").orderBy("title", "prompt")) > 1
+    """cases with errors and warnings; the second and later cases of an id are errors, in the order
+    of their files if they have any, then of title and prompt."""
+    again = F.row_number().over(Window.partitionBy("id").orderBy(*(["file"] if "file" in cases.columns else []), "title", "prompt")) > 1
     errors = F.concat(problems(references, high_risk, contextual), F.when(again, F.array(F.lit("id twice"))).otherwise(F.array().cast("array<string>")))
     drawn = F.coalesce(F.exists("assets", lambda a: F.coalesce(a["type"].isin(*FIGURES), F.lit(False))), F.lit(False))
     warnings = [
@@ -56,6 +57,30 @@ def validated(cases: DataFrame, references: list[str], high_risk: list[str], con
     return cases.withColumns({"errors": errors, "warnings": F.filter(F.array(*warnings), lambda x: x.isNotNull())})
 
 
+def strict(checked: DataFrame) -> DataFrame:
+    """checked, but a case with errors fails the query."""
+    failed = F.raise_error(F.concat(F.lit("case "), F.coalesce("id", F.lit("?")), F.lit(" is invalid: "), F.array_join("errors", "; "))).cast("string")
+    return checked.withColumn("id", F.when(F.size("errors") > 0, failed).otherwise(F.col("id")))
+
+
+def report_lines(checked: DataFrame) -> DataFrame:
+    """(id, nth, line) of the report: counts first (id null), then of each invalid case its id, errors
+    and warnings."""
+    counts = report(checked).select(F.lit(None).cast("string").alias("id"), F.posexplode(F.array(
+        F.concat(F.lit("Total: "), "n_cases", F.lit(" casos")), F.concat(F.lit("  Válidos: "), "n_valid"), F.concat(F.lit("  Inválidos: "), "n_invalid")
+    )).alias("nth", "line"))
+    marked = lambda kind: F.transform(F.col(f"{kind}s"), lambda x: F.concat(F.lit(f"    {'ERR' if kind == 'error' else 'WARN'}: "), x))
+    of_case = F.concat(F.array(F.concat(F.lit("  ["), "id", F.lit("]"))), marked("error"), marked("warning"))
+    return counts.unionByName(checked.where(F.size("errors") > 0).select("id", F.posexplode(of_case).alias("nth", "line")))
+
+
+def report_text(checked: DataFrame) -> str:
+    """The report as one text, for a person to read."""
+    lines = report_lines(checked).orderBy(F.col("id").asc_nulls_first(), "nth").collect()
+    head, rest = [r.line for r in lines if r.id is None], [r.line for r in lines if r.id is not None]
+    return "\n".join(head + (["", "Casos com erro:", *rest] if rest else []))
+
+
 def report(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count("*").alias("n_cases"), F.count_if(F.size("errors") == 0).alias("n_valid"), F.count_if(F.size("errors") > 0).alias("n_invalid"))
 

@@ -55,9 +55,9 @@ def load_ontology(text: str) -> Ontology:
     return Ontology(str(data["version"]), {t: tuple((v or {}).get("composed_of", ())) for t, v in data["types"].items()}, tuple(data["order"]))
 
 
-def read_yaml(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+def read_yaml(spark: SparkSession, path: str, schema: str, with_json: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows of YAML files, one document each, and (file, error) of those that don't parse. Files are
-    read and parsed by the executors, sorted by name."""
+    read and parsed by the executors, sorted by name. with_json keeps each as JSON in `_json`."""
     import json
 
     def to_json(text):
@@ -71,5 +71,5 @@ def read_yaml(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
 
     parsed = F.udf(to_json, "STRUCT<json: STRING, error: STRING>", useArrow=True)
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), parsed("value").alias("p"))
-    rows = files.select("file", "p.error", F.from_json("p.json", schema, {"mode": "PERMISSIVE"}).alias("row"))
-    return rows.where("error IS NULL").select("file", "row.*").orderBy("file"), rows.where("error IS NOT NULL").select("file", "error")
+    rows = files.select("file", "p.error", F.col("p.json").alias("_json"), F.from_json("p.json", schema, {"mode": "PERMISSIVE"}).alias("row"))
+    return rows.where("error IS NULL").select("file", "row.*", *(["_json"] if with_json else [])).orderBy("file"), rows.where("error IS NOT NULL").select("file", "error")

@@ -18,3 +18,11 @@ def counts_by_window(texts: DataFrame, engine: Engine, time_col: str, text_col:
     if id_col:
         events = events.dropDuplicatesWithinWatermark([id_col])
     return engine.exploded(events, text_col).groupBy(F.window(time_col, window), "type").agg(F.count("*").alias("n_regions")).select(F.col("window.start").alias("window_start"), "type", "n_regions")
+
+
+def written(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives up to the end of what there is, written as Parquet beside its checkpoint in
+    a folder that driver and executors share; a run that was stopped goes on from there."""
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -6,6 +6,7 @@ they are parsed once and joined back; composition and conversion are plain expre
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,14 +126,14 @@ class UnitError(ValueError):
 POWER = re.compile(r"\^?([⁻⁺]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+|[-−]?\d+)")
 
 
-def parse(unit: str | None) -> list[tuple[str, int]]:
+def parse(unit: str | None, atoms: dict | None = None, aliases: dict[str, str] = UNIT_ALIASES) -> list[tuple[str, int]]:
     """(symbol, power) terms. A division inverts the next factor only, a group as a whole; a blank
     before a symbol or a group multiplies."""
     text = (unit or "").strip()
     if not text:
         raise UnitError("empty unit")
-    text = UNIT_ALIASES.get(text, text)
-    table = ATOMS
+    text = aliases.get(text, text)
+    table = ATOMS if atoms is None else atoms
     if text in table:
         return [(text, 1)]
     at, n = 0, len(text)
@@ -191,13 +192,14 @@ def parse(unit: str | None) -> list[tuple[str, int]]:
     return terms
 
 
-def combined(terms) -> tuple[tuple[int, ...], float] | None:
+def combined(terms, atoms: dict | None = None) -> tuple[tuple[int, ...], float] | None:
     """Dimension and factor, or None if an atom is unknown."""
+    table = ATOMS if atoms is None else atoms
     dim, factor = list(ZERO), 1.0
     for symbol, power in terms:
-        if symbol not in ATOMS:
+        if symbol not in table:
             return None
-        d, f, _ = ATOMS[symbol]
+        d, f, _ = table[symbol]
         dim = [a + b * power for a, b in zip(dim, d)]
         factor *= f**power
     return (tuple(dim), factor) if terms else None
@@ -219,12 +221,57 @@ def convert(value: float, source: str, target: str) -> float:
     return value * a[1] / b[1]
 
 
+# ---- tables from files
+
+#: SI unit of each category of auxiliary atoms, all of dimension zero.
+AUXILIARY_UNITS = {"ratio": "1", "logarithmic_ratio": "1", "angle": "rad", "solid_angle": "sr", "information": "bit", "visualization": "pixel", "visual_density": "pixel/m", "color_depth": "bit/pixel", "info_other": "1"}
+
+
+def read_atoms(spark: SparkSession, path: str) -> dict:
+    """The entries of a unit table's JSON file, at any place that Spark reads; none if it isn't there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        (row,) = spark.read.text(path, wholetext=True).collect()  # one configuration file
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return {}
+        raise
+    return json.loads(row.value).get("atoms", {})
+
+
+def load_atoms(spark: SparkSession, main: str, auxiliaries: tuple[str, ...] = ()) -> dict[str, tuple[tuple[int, ...], float, str]]:
+    """Atoms of a main file (dim, factor, optionally prefixes: true) and of auxiliary files (factor,
+    category; dimension zero). The main file must be there and wins over auxiliaries, of which later
+    ones win over earlier; SI prefixes make more of those that take them, where no symbol is given."""
+    own = read_atoms(spark, main)
+    if not own:
+        raise FileNotFoundError(f"no unit table at {main}")
+    out: dict[str, tuple] = {}
+    for path in auxiliaries:
+        out |= {s: (ZERO, float(e["factor"]), e.get("category", "other")) for s, e in read_atoms(spark, path).items()}
+    out |= {s: (tuple(e["dim"]), float(e["factor"]), e.get("category", "si")) for s, e in own.items()}
+    for s, e in own.items():
+        for p, n in PREFIXES.items() if e.get("prefixes") else ():
+            out.setdefault(p + s, (tuple(e["dim"]), float(e["factor"]) * 10.0**n, "prefixed"))
+    return out
+
+
+def load_aliases(spark: SparkSession, path: str) -> dict[str, str]:
+    """Whole unit strings that stand for others, from a JSON file; the file must be there."""
+    (row,) = spark.read.text(path, wholetext=True).collect()  # one configuration file
+    found = json.loads(row.value)["string_aliases"]
+    if bad := sorted(a for a, c in found.items() if not a or not c):
+        raise ValueError(f"empty aliases {bad}")
+    return found
+
+
 # ---- as DataFrames
 
 
-def atom_table(spark: SparkSession) -> DataFrame:
+def atom_table(spark: SparkSession, atoms: dict | None = None) -> DataFrame:
     """symbol, dim, factor, category: a few thousand rows at most, whatever the corpus."""
-    return spark.createDataFrame([(s, list(d), f, c) for s, (d, f, c) in ATOMS.items()], "symbol STRING, dim ARRAY<INT>, factor DOUBLE, category STRING")
+    return spark.createDataFrame([(s, list(d), f, c) for s, (d, f, c) in (atoms or ATOMS).items()], "symbol STRING, dim ARRAY<INT>, factor DOUBLE, category STRING")
 
 
 def prefixed_atoms(spark: SparkSession) -> DataFrame:
@@ -286,20 +333,58 @@ def dim_text(dim: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(dim.cast("array<string>"), ","), F.lit("]"))
 
 
+#: Distinct unit strings that are looked up as a small table; beyond that they are joined as they come.
+FEW_UNITS = 10_000
+LOOKUP = "unit STRING, dim ARRAY<INT>, factor DOUBLE, si_unit STRING, error STRING"
+
+
+def unit_lookup(df: DataFrame, unit_cols: list[str]) -> DataFrame:
+    """LOOKUP of the distinct strings of some columns: as a local table if there are few, so that
+    joins with it need no exchange."""
+    strings = df.select(F.explode(F.array(*unit_cols)).alias("unit"))
+    known = described_units(strings).select("unit", "dim", "factor", "si_unit", "error")
+    some = known.limit(FEW_UNITS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(some, LOOKUP)) if len(some) <= FEW_UNITS else known
+
+
+def with_units(df: DataFrame, unit_cols: dict[str, str]) -> DataFrame:
+    """df with dim, factor, si_unit and error of unit columns, named by the key of each."""
+    known = unit_lookup(df, list(unit_cols.values()))
+    for prefix, unit_col in unit_cols.items():
+        own = known.select(F.col("unit").alias("_unit"), *(F.col(c).alias(prefix + c) for c in ("dim", "factor", "si_unit", "error")))
+        df = df.join(own, df[unit_col].eqNullSafe(own["_unit"]), "left").drop("_unit")
+    return df
+
+
 def with_unit(df: DataFrame, unit_col: str, prefix: str = "") -> DataFrame:
     """df with dim, factor, si_unit and error of its unit column."""
-    known = described_units(df, unit_col).drop("terms")
-    known = known.select(F.col("unit").alias("_unit"), *(F.col(c).alias(prefix + c) for c in ("dim", "factor", "si_unit", "error")))
-    return df.join(known, df[unit_col].eqNullSafe(known["_unit"]), "left").drop("_unit")
+    return with_units(df, {prefix: unit_col})
+
+
+def conversions(df: DataFrame, wanted: list[tuple[str, str, str, str]]) -> DataFrame:
+    """df with a struct (value, error) for each (value column, from column, to column, name):
+    incompatible or unknown units give null and the error. All units are looked up at once."""
+    both = with_units(df, {f"_{side}{k}_": w[1 + side] for k, w in enumerate(wanted) for side in (0, 1)})
+    made = {}
+    for k, (value_col, _, _, name) in enumerate(wanted):
+        a, b = f"_0{k}_", f"_1{k}_"
+        same = F.col(a + "dim") == F.col(b + "dim")
+        value = F.when(same, F.col(value_col) * F.col(a + "factor") / F.col(b + "factor"))
+        made[name] = F.struct(value.alias("value"), F.coalesce(a + "error", b + "error", F.when(~same, F.lit("incompatible dimensions"))).alias("error"))
+    return both.select(*df.columns, *(c.alias(n) for n, c in made.items()))
 
 
 def converted(df: DataFrame, value_col: str, from_col: str, to_col: str) -> DataFrame:
     """df with `converted` and `error`; incompatible or unknown units give null and the error."""
-    both = with_unit(with_unit(df, from_col, "_from_"), to_col, "_to_")
-    same = F.col("_from_dim") == F.col("_to_dim")
-    error = F.coalesce("_from_error", "_to_error", F.when(~same, F.lit("incompatible dimensions")))
-    value = F.when(same, F.col(value_col) * F.col("_from_factor") / F.col("_to_factor"))
-    return both.select(*df.columns, value.alias("converted"), error.alias("error"))
+    made = conversions(df, [(value_col, from_col, to_col, "_made")])
+    return made.withColumns({"converted": F.col("_made.value"), "error": F.col("_made.error")}).drop("_made")
+
+
+def si_sums(df: DataFrame, value_col: str, unit_col: str) -> DataFrame:
+    """si_unit, total and n of the values of known units: summed by unit, then looked up."""
+    by_unit = df.groupBy(F.col(unit_col).alias("unit")).agg(F.sum(value_col).alias("_sum"), F.count("*").alias("_n"))
+    known = with_unit(by_unit, "unit").where("factor IS NOT NULL")
+    return known.groupBy("si_unit").agg(F.sum(F.col("_sum") * F.col("factor")).alias("total"), F.sum("_n").alias("n"))
 
 
 def audited(spark: SparkSession, expected: DataFrame, tolerance: float = 1e-6) -> DataFrame:

@@ -2,30 +2,46 @@ import pytest
 
 from lexidim.lexicons import TYPES
 from lexidim.operators import compose
-from lexidim.operators.scan import Patterns
 from lexidim.plans import sql as lexi_sql
 from lexidim.plans.engine import Engine
 from lexidim.sources import config
 from lexidim.streaming import regions as st
 
 
-@pytest.mark.parametrize("text,names", [("pl/12", ["pl"]), ("M_max/EI", ["EI", "M_max"]), ("kg/m²", None), ("(ii)", None), ("palavra/outra", None), ("2x²", ["x"]), ("a", None), ("e/ou", None)])
-def test_composed(text, names):
-    assert compose.composed(text) == names
+COMPOSED = [
+    ("pl/12", ["pl"]), ("(pl²/32)·∛2", ["pl"]), ("3l/4", ["l"]), ("0,03937pl²", ["pl"]), ("α_p·E", ["E", "α_p"]), ("σ_pa/E", ["E", "σ_pa"]), ("M_max", ["M_max"]), ("M(x)", ["M", "x"]), ("V_c(t)", ["V_c", "t"]), ("dM/dx", ["dM", "dx"]), ("ΔT/R_total", ["R_total", "ΔT"]),
+    ("M_max/EI", ["EI", "M_max"]), ("2x²", ["x"]), ("kg/m²", None), ("tf·m", None), ("tf/m", None), ("kgf/cm²", None), ("3/4", None), ("0,75", None), ("metros", None), ("comprimento", None), ("apoio", None), ("x", None), ("p", None), ("", None),
+    ("(a)", None), ("(b)", None), ("(i)", None), ("(ii)", None), ("(iii)", None), ("(xx)", None), ("(aa)", None), ("palavra/outra", None), ("a", None), ("e/ou", None), ("apoios/12", None), ("metros²", None),
+]
 
 
-def test_expressions_and_tags():
-    found = compose.expressions("use $x^2+1$ e 3l ou M(x) na viga", Patterns())
+def test_composed(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t, _ in COMPOSED], "t string")
+    assert [(r.t, r.n) for r in df.select("t", compose.free_names(F.col("t")).alias("n")).collect()] == COMPOSED
+    assert [(t, compose._names(t) or None) for t, _ in COMPOSED] == COMPOSED
+
+
+def test_expressions_and_tags(spark):
+    from pyspark.sql import functions as F
+
+    found = compose.expressions("use $x^2+1$ e 3l ou M(x) na viga")
     assert [n for *_, n in found] == [["x"], ["l"], ["M", "x"]]
-    assert compose.expressions("M(x)", Patterns(), [(0, 4)]) == []
-    assert compose.tagged("$p l/12$") == "[SYM:pl/12]" and compose.tagged("palavra") == "palavra"
+    assert compose.expressions("M(x)", [(0, 4)]) == [(0, 4, ["M", "x"])]  # an argument takes in what it holds
+    assert compose.expressions("a²/b 5 x²/y", [(5, 6)]) == [(0, 4, ["a", "b"]), (7, 11, ["x", "y"])]
+    text = "pl/12+3l/4"
+    assert compose.expressions(text, [(5, 6)]) == [(0, 5, ["pl"]), (6, 10, ["l"])]  # parted, not lost
+    assert [text[s:e] for text in ["vale = -x²+1 hoje", "soma σ_x + σ_y aqui"] for s, e, _ in compose.expressions(text)] == ["-x²+1", "σ_x + σ_y"]
+    rows = spark.createDataFrame([("$p l/12$",), ("palavra",), ("a = b",)], "t string").select(compose.tagged(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == ["[SYM:pl/12]", "palavra", "[SYM:a = b]"]
 
 
-def test_clusters():
-    text = "x · y = z"
-    atoms = [(0, 1, "SYM"), (2, 3, "OP"), (4, 5, "SYM"), (6, 7, "OP"), (8, 9, "SYM")]
-    assert compose.clusters(text, atoms) == [(0, 5)]
-    assert compose.clusters("5 m · 3 m", [(0, 3, "QTY"), (4, 5, "OP"), (6, 9, "QTY")]) == []
+def test_clusters(spark):
+    rows = [(1, "x · y = z", 0, 1, "SYM"), (1, "x · y = z", 2, 3, "OP"), (1, "x · y = z", 4, 5, "SYM"), (1, "x · y = z", 6, 7, "OP"), (1, "x · y = z", 8, 9, "SYM")]
+    rows += [(2, "5 m · 3 m", 0, 3, "QTY"), (2, "5 m · 3 m", 4, 5, "OP"), (2, "5 m · 3 m", 6, 9, "QTY"), (3, "a+b", 0, 1, "SYM"), (3, "a+b", 2, 3, "SYM"), (4, "a", 0, 1, "SYM")]
+    atoms = spark.createDataFrame(rows, "k int, text string, start int, `end` int, type string")
+    assert sorted(map(tuple, compose.clusters(atoms, ["k"]).collect())) == [(1, 0, 5), (3, 0, 3)]
 
 
 ONTOLOGY = "version: '1.2'\ntypes:\n" + "".join(f"  {t}: {{composed_of: [{'QTY' if t == 'CONST' else ''}]}}\n" for t in TYPES) + "order: [" + ", ".join(TYPES) + "]\n"
@@ -84,3 +100,49 @@ def test_format_value_gives_what_the_operator_gives(spark, tmp_path):
         want = tuple(nb.format_value(v) for v in (p, p + 0.5, p * 1e12, p * 1e-12))
         assert (got[k].whole, got[k].half, got[k].large, got[k].small) == want
     assert (got[6].half, got[2].large) == ("1.23457e+06", "999000000000000")
+
+
+def test_nothing_far_away_is_lost():
+    """Context and units are read however far they reach."""
+    from lexidim.operators import scan as sc
+
+    found = lambda t: [(r.type, t[r.start : r.end]) for r in sc.regions(t, sc.Patterns())]
+    unit = " ".join(["kN"] * 40) + "·m"
+    assert ("QTY", unit) in found("medida " + unit)
+    assert ("QTY", "5 W") not in found("tópico" + " " * 300 + "5 W liga")
+    assert ("SYM", "razao") in found("0" * 60 + " = razao")
+    assert sc.balanced("a(b[c)d]e)f") == "a(b[c)d]e" and sc.balanced("(a[b)c]") == "(a[b)c]" and sc.balanced(")x") == "x" and sc.balanced("") == ""
+
+
+def test_unit_files(spark, tmp_path):
+    import json
+
+    from lexidim import units
+
+    (tmp_path / "main.json").write_text(json.dumps({"atoms": {"zorb": {"dim": [0, 1, 0, 0, 0, 0, 0], "factor": 2.0, "prefixes": True}, "%": {"dim": [0] * 7, "factor": 0.5}}}))
+    (tmp_path / "more.json").write_text(json.dumps({"atoms": {"%": {"factor": 0.01, "category": "ratio"}, "blip": {"factor": 3.0, "category": "information"}}}))
+    (tmp_path / "alias.json").write_text(json.dumps({"string_aliases": {"zz": "zorb"}}))
+    atoms = units.load_atoms(spark, f"{tmp_path}/main.json", (f"{tmp_path}/none.json", f"{tmp_path}/more.json"))
+    assert atoms["%"] == ((0,) * 7, 0.5, "si") and atoms["blip"] == ((0,) * 7, 3.0, "information") and atoms["kzorb"][1] == 2000.0
+    with pytest.raises(FileNotFoundError):
+        units.load_atoms(spark, f"{tmp_path}/none.json")
+    assert units.load_aliases(spark, f"{tmp_path}/alias.json") == {"zz": "zorb"}
+    row = Engine(atoms=atoms).preprocess(spark.createDataFrame([("5 zorb e 3 kg",)], "text string")).first()
+    assert row.preprocessed.startswith("[QTY value=5 unit=zorb dim=[0,1,0,0,0,0,0]] e [NUM value=3")
+    both = Engine(encode=lambda p: [ord(c) for c in p], decode=lambda ids: "".join(map(chr, ids)))
+    from pyspark.sql import functions as F
+
+    assert spark.createDataFrame([([97, 98],)], "ids array<int>").select(both.decoded(F.col("ids")).alias("t")).first().t == "ab"
+
+
+def test_quantity_struct(spark):
+    from pyspark.sql import functions as F
+
+    from lexidim.plans.engine import quantity_of
+
+    df = spark.createDataFrame([("350 ± 10 MPa",), ("5-20 mA",), ("kgf/cm²",), ("?",), (None,)], "t string")
+    rows = [r.q for r in df.select(quantity_of(F.col("t")).alias("q")).collect()]
+    (q,) = rows[0].quantities
+    assert (q.value, q.uncertainty, q.unit, q.dim, q.factor, q.si_unit, q.si_value, q.si_uncertainty) == (350.0, 10.0, "MPa", [1, -1, -2, 0, 0, 0, 0], 1e6, "Pa", 3.5e8, 1e7)
+    assert [x.value for x in rows[1].quantities] == [5.0, 20.0] and rows[2].quantities[0].value is None
+    assert rows[3].quantities is None and rows[3].error and rows[4] is None
