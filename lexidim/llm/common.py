@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import sys
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,39 +10,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lexidim.folders import shared_folder
+
+#: Whether a query's exchange files go as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of a batch that a kernel holds as Python objects at a time.
 SLICE_ROWS = 512
+#: Bytes of such a batch's columns, beyond which fewer rows are held at a time.
+SLICE_BYTES = 4 << 20
+#: Rows of a table that is broadcast after a count.
+SMALL_ROWS = 20_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where neither that setting nor a checkpoint folder exists (tests, one machine) is a
-    temporary folder taken.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexidim-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and cut its lineage there.
 
-    Exchange files behind the cut are of no more use. Spark removes them once its driver has
-    collected the plans that held them, which a driver with much free memory may put off for
-    long; so it is asked to.
+    Exchange files behind the cut are of no more use; Spark removes them as the query ends.
     """
-    shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a query of its own takes the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else joins deal it out."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def text_mark(id_col: str, text_col: str) -> Column:
@@ -66,9 +64,12 @@ def kind_is(kind: str) -> Callable:
     return lambda span: span["kind"] == kind
 
 
+_KEPT: dict = {}
+
+
 def worker_cache() -> dict:
     """What a Python worker keeps from task to task; functions that travel by value keep nothing."""
-    return sys.modules["pyspark"].__dict__.setdefault("_lexidim_worker_cache", {})
+    return _KEPT
 
 
 def map_batches(df: DataFrame, columns: list, schema: str, setup: Callable[[], Callable]) -> DataFrame:
@@ -83,11 +84,19 @@ def map_batches(df: DataFrame, columns: list, schema: str, setup: Callable[[], C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = setup()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 out = kernel(*(c.to_pylist() for c in part.columns))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, type=f.type) for v, f in zip(out, arrow)], schema=arrow
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow)], schema=arrow)
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch by at most SLICE_ROWS rows and about SLICE_BYTES bytes, or single rows that are larger."""
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, SLICE_ROWS)
+        while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            part = part.slice(0, max(1, part.num_rows // 2))
+        at += part.num_rows
+        yield part
