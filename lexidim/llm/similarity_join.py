@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lexidim.llm.common import SLICE_ROWS, checkpointed, read_table, worker_cache
+from lexidim.llm.common import SLICE_ROWS, broadcast_if_small, checkpointed, read_table, worker_cache
 
 #: Counters of the sketch that orders n-grams, and the parts in which tasks send them.
 SKETCH, SKETCH_PARTS = 1 << 20, 64
@@ -533,7 +533,8 @@ def links_of(sets: DataFrame, members: DataFrame, items: DataFrame, num: int, de
     """Stars (_a, _b) of what links within the items. members: (_c1, _block)."""
     sides = [items.select(F.col(f"_{x}").alias("_block"), "_p", "_q", F.lit(k).alias("_side")) for k, x in enumerate("pq")]
     places = members.join(sides[0].unionByName(sides[1].where("_p <> _q")), "_block")
-    shipped = sets.join(places.select("_c1", "_side", F.col("_p")["h"].alias("_h1"), F.col("_p")["b"].alias("_b1"), F.col("_q")["h"].alias("_h2"), F.col("_q")["b"].alias("_b2")), "_c1")
+    places = checkpointed(places.select("_c1", "_side", F.col("_p")["h"].alias("_h1"), F.col("_p")["b"].alias("_b1"), F.col("_q")["h"].alias("_h2"), F.col("_q")["b"].alias("_b2")))
+    shipped = sets.join(broadcast_if_small(places), "_c1")
     return checkpointed(summed_links(fragment_overlaps(shipped), num, den))
 
 
@@ -546,6 +547,7 @@ def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
 def large_links(sets: DataFrame, members: DataFrame, links: DataFrame, pairs: DataFrame, placed: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Links between the blocks of large homes, given those within each. members: (_c1, _home,
     _w, _cluster, _block) of the large homes."""
+    sets = checkpointed(sets.join(members.select("_c1"), "_c1", "left_semi"))
     # one class of the largest group of each block, the groups' own ones
     most = F.max(F.struct("_m", "_root"))["_root"].alias("_c1")
     heads = grouped(members, links).groupBy("_cluster", "_block", "_root").agg(F.count("*").alias("_m")).groupBy("_cluster", "_block").agg(most).select("_cluster", "_c1").distinct()
