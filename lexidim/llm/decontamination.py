@@ -12,8 +12,8 @@ and held against all documents. Documents aren't shuffled.
 
 Defined results: null and wordless texts match nothing and, as items, are not looked for; a null
 id stays null; every row of the documents is searched whole; an item that stands in a document
-several times is reported once, at the place with the fewest edits, then the first; items with the
-same id count as one; other columns of either table are left alone.
+several times is reported once, at the place with the fewest edits, then the first; rows with the
+same id are one document, rows without an id one each text; items with the same id count as one; other columns of either table are left alone.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ Q = 8
 EDIT_RATE = 0.1
 #: Bytes of the longest pattern, and of the patterns in a block.
 PATTERN, BLOCK = 512, 1 << 20
-#: Bytes of text whose q-grams are looked up at a time.
-STRETCH = 1 << 21
+#: Bytes of text whose q-grams are looked up at a time, and shared q-grams that are held at a time.
+STRETCH, HITS = 1 << 20, 1 << 20
 SLOT_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,8 +125,9 @@ class Matcher:
         owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.empty(0, np.int64)
         order = np.argsort(code, kind="stable")
-        self.codes, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
+        self.codes, which = np.unique(code[order], return_inverse=True)
         self.owner, self.place = owner[order], place[order]
+        self.by_code = which.astype(np.int64) * len(codes) + self.owner  # rises
         self.there = np.zeros(1 << SLOT_BITS, bool)
         self.there[slots(self.codes)] = True
 
@@ -138,15 +139,34 @@ class Matcher:
             return
         which = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
         same = self.codes[which] == code[at]
-        at, which = at[same], which[same]
-        many = self.many[which]
+        yield from self._bands(at[same], which[same], len(data), (0, len(self.patterns)), (-PATTERN, len(data)))
+
+    def _bands(self, at: np.ndarray, which: np.ndarray, size: int, patterns: tuple[int, int], firsts: tuple[int, int]) -> Iterator[tuple[int, int]]:
+        """bands() of a range of patterns with first diagonals in a range. A shared q-gram is held
+        once for each place of each pattern that has it: where that makes more than HITS, the
+        ranges are halved, since neither patterns nor stretches of text share any count."""
+        (p0, p1), (low, high) = patterns, firsts
+        near = slice(*np.searchsorted(at, [low, high + 2 * int(self.half.max()) + PATTERN]))
+        code = which[near].astype(np.int64) * len(self.patterns)
+        first, last = np.searchsorted(self.by_code, [code + p0, code + p1])
+        many = last - first
         total = int(many.sum())
         if not total:
             return
-        entry = np.arange(total) + np.repeat(self.first[which] - (np.cumsum(many) - many), many)
+        if total > HITS and (high - low > 8 * PATTERN or p1 - p0 > 1):
+            if high - low > 8 * PATTERN:
+                middle = (low + high) // 2
+                halves = [(patterns, (low, middle)), (patterns, (middle, high))]
+            else:
+                middle = (p0 + p1) // 2
+                halves = [((p0, middle), firsts), ((middle, p1), firsts)]
+            for half in halves:
+                yield from self._bands(at[near], which[near], size, *half)
+            return
+        entry = np.arange(total) + np.repeat(first - (np.cumsum(many) - many), many)
         pattern, place = self.owner[entry], self.place[entry]
-        span = len(data) + 2 * PATTERN  # more than a pattern has half bands
-        key = pattern * span + (np.repeat(at, many) - place) // self.half[pattern] + PATTERN
+        span = size + 2 * PATTERN  # more than a pattern has half bands
+        key = pattern * span + (np.repeat(at[near], many) - place) // self.half[pattern] + PATTERN
         # cells that can't reach a pattern's count are dropped before the keys are sorted
         cells = 1 << 18
         rough = np.bincount((key * 7919) & (cells - 1), minlength=cells)
@@ -162,7 +182,9 @@ class Matcher:
         shared = n + np.where(beside, np.append(n, 0)[following], 0)
         for k in np.flatnonzero(shared >= self.need[keys // span]):
             p = int(keys[k] // span)
-            yield p, int(keys[k] % span - PATTERN) * int(self.half[p])
+            diagonal = int(keys[k] % span - PATTERN) * int(self.half[p])
+            if low <= diagonal < high:
+                yield p, diagonal
 
     def find(self, texts: list[bytes]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """By (text, pattern): (edits, start, end) in the normalised text."""
@@ -186,7 +208,11 @@ class Matcher:
                     where = (b" " + texts[g] + b" ").find(b" " + self.patterns[k] + b" ")
                     if where >= 0:
                         out[g, k] = (0, where, where + len(self.patterns[k]))
-        for k, diagonal in sorted(self.bands(data), key=lambda b: (b[0], b[1])):
+        seen: dict[bytes, tuple | None] = {}  # of the pattern at hand: texts copy each other
+        of = None
+        for k, diagonal in sorted(self.bands(data)):
+            if k != of:
+                of, seen = k, {}
             pattern, edits, band = self.patterns[k], int(self.edits[k]), 2 * int(self.half[k])
             middle = min(max(0, diagonal + (band + len(pattern)) // 2), len(data) - 1)
             for g in {int(np.searchsorted(ends, x, side="right")) for x in (max(0, diagonal), middle, min(len(data) - 1, diagonal + band + len(pattern)))}:
@@ -195,9 +221,10 @@ class Matcher:
                 text, offset = texts[group[g]], int(ends[g]) - len(texts[group[g]]) - 1
                 low = max(0, diagonal - offset - edits)
                 window = text[low : max(0, diagonal - offset + band + len(pattern) + edits)]
-                whole = window.find(pattern)
-                found = (0, whole, whole + len(pattern)) if whole >= 0 else align(pattern, window, edits) if edits else None
-                if found:
+                if window not in seen:
+                    whole = window.find(pattern)
+                    seen[window] = (0, whole, whole + len(pattern)) if whole >= 0 else align(pattern, window, edits) if edits else None
+                if found := seen[window]:
                     found = (found[0], found[1] + low, found[2] + low)
                     out[group[g], k] = min(out.get((group[g], k), found), found)
 

@@ -71,6 +71,43 @@ def test_matcher_equals_brute_force():
     assert n > 30
 
 
+def test_ranges_are_halved_without_loss():
+    rng = random.Random(9)
+    items = [words(rng, rng.randint(6, 40)) for _ in range(12)] + ["aaaaaaaa " * 30]
+    patterns = [(k, dc.normal(t)) for k, t in enumerate(items)]
+    texts = [dc.normal(words(rng, 60) + " " + edited(rng, items[rng.randrange(13)], rng.randint(0, 6)) + " " + words(rng, 60)) for _ in range(80)] + [dc.normal("aaaaaaaa " * 3000)]
+    m = dc.Matcher(patterns)
+    want = m.find(texts)
+    old, dc.HITS = dc.HITS, 50
+    try:
+        assert m.find(texts) == want and len(want) > 20
+    finally:
+        dc.HITS = old
+
+
+def test_shared_openings_stay_within_memory():
+    """200 items that open alike, against 400 short texts of that opening and some that hold items."""
+    import tracemalloc
+
+    rng = random.Random(10)
+    opening = words(rng, 40)
+    items = [dc.normal(opening + " " + words(rng, 50)) for _ in range(200)]
+    texts = [dc.normal(opening)] * 200 + [dc.normal(words(rng, 3) + " " + opening) for _ in range(200)]
+    texts += [items[k] + b" x y" for k in (3, 50, 199)]
+    m = dc.Matcher(list(enumerate(items)))
+    tracemalloc.start()
+    got = m.find(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    plain = {(400, 3), (401, 50), (402, 199)}
+    assert {k for k, v in got.items() if v[0] == 0} == plain
+    for t in (0, 399, 400):  # the rest of the items is other words, beyond the budget
+        for k in range(0, 200, 40):
+            least = semi(items[k].decode(), texts[t].decode())
+            assert ((t, k) in got) == (least <= dc.budget(len(items[k])))
+
+
 def test_long_items_are_found_by_windows():
     rng = random.Random(6)
     item = words(rng, 400)
@@ -79,6 +116,16 @@ def test_long_items_are_found_by_windows():
     assert m.find([dc.normal(words(rng, 50) + " " + part)]) and not m.find([dc.normal(words(rng, 500))])
 
 
+def test_very_long_text():
+    rng = random.Random(11)
+    item = dc.normal(words(rng, 40))
+    noise = dc.normal(words(rng, 5000))
+    m = dc.Matcher([(0, item)])
+    text = b" ".join([noise] * 120) + b" " + item + b" " + noise
+    (edits, start, end) = m.find([text])[0, 0]
+    assert edits == 0 and text[start:end] == item and len(text) > 2 * dc.STRETCH
+
+
 def test_rows(spark, tmp_path):
     rng = random.Random(7)
     items = [(k, words(rng, 25)) for k in range(6)] + [(6, None), (7, ""), (0, words(rng, 25)), (8, "tiny"), (9, "abc")]
