@@ -5,16 +5,20 @@ text of the training fold. A generative model of two latent classes is fitted to
 vote patterns by expectation maximisation, with the known labels of the fold held fixed: it gives
 each voter's accuracy in either class. Pairs of voters that go together beyond what the classes
 explain are correlated; voters linked so form a block, whose joint patterns are counted instead of
-each vote alone, and the model is fitted again. Its posterior labels train a linear classifier over
-words, which scores all texts.
+each vote alone, and the model is fitted again. A text's posterior under the model, which its votes
+alone decide, is the only label that the linear classifier over words is trained on; what words it
+uses is chosen by the posteriors too. It scores all texts.
 
-Labels are read only in the fold whose crc32 of the id as text leaves a remainder mod 5. The label
+Labels are read only in the fold whose crc32 of the id as text leaves a remainder mod 5: to draw
+words for the induced voters, and to estimate the label model. Both the words and the classifier
+come from bounded samples of labelled rows; the label model counts all rows of the fold. The label
 table, language, source and id are no inputs of a score.
 
 Defined results: a null text counts as empty; an empty text has the score of no evidence; a null
 id is in the training fold, has no label and stays null; ids labelled twice take the larger label,
-labels that are null none; without labels of both kinds the lexicons alone decide; every row of
-the input gives one row; other columns of either table are left alone.
+labels that are null none; equal rows count once in a sample; without labels of both kinds the
+lexicons alone decide; every row of the input gives one row; texts of any length are read whole;
+other columns of either table are left alone.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ from pyspark.sql import functions as F
 from lexidim.llm.common import checkpointed, map_batches, read_table
 
 FOLDS = 5
-#: Labelled rows that words are drawn from, and rows that train the classifier: at most so many of
-#: either class, those with the smallest hashes.
+#: Labelled rows that words of voters are drawn from, and labelled rows that train the classifier: at
+#: most so many of either class, those with the smallest hashes.
 LABELLED_SAMPLE, TRAINING_SAMPLE = 4000, 3000
-#: Words and stems that the classifier may use, and those that induced voters may use.
+#: Words and stems that the classifier uses besides the lexicons', the best by posterior, and those
+#: that induced voters use, the best by label: sizes of the models, whatever the corpus.
 VOCABULARY, INDUCED, INDUCED_VOTERS = 800, 240, 4
 #: Lengths of stems; a stem is a longer word's beginning, written with STEM after it.
 STEMS, STEM = (4, 5, 6), "-"
@@ -210,10 +215,18 @@ def _words_by_label(rows: DataFrame) -> DataFrame:
 
 def _sampled(rows: DataFrame, label: str, most: int) -> DataFrame:
     """At most `most` rows of either class, those with the smallest hashes: a bounded fitting sample."""
-    first = [rows.where(f"{label} = {y}").orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (1, 0)]
+    first = [rows.where(f"{label} = {y}").orderBy(F.xxhash64("_id", "_row"), "_id", "_row").limit(most) for y in (1, 0)]
     return first[0].unionByName(first[1])
 
 
+def _pointed_words(table: DataFrame, yes: int, no: int, most: int) -> list:
+    """The words that tell `yes` texts from `no` others best, with their log ratio of rates (lift)."""
+    rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
+    lift = F.log(rate("yes", yes) / rate("no", no))
+    gain = (rate("yes", yes) - rate("no", no)) * lift
+    return table.withColumn("gain", gain).withColumn("lift", lift).orderBy(F.desc("gain"), "word").limit(most).collect() if yes and no else []
+
+
 class Model:
     """A fitted classifier and the label model that taught it."""
 
@@ -227,29 +240,26 @@ class Model:
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_toxic"))
-    train = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).where(remainder("_id") != 0)
+    train = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).where(remainder("_id") != 0).withColumn("_row", F.xxhash64("_text"))
+    of_sample = lambda sample: train.join(F.broadcast(sample), ["_id", "_row"]).dropDuplicates(["_id", "_row"])  # noqa: E731  bounded rows
+    sizes = lambda sample, label: {r[label]: r["n"] for r in sample.groupBy(label).agg(F.count("*").alias("n")).collect()}
 
     # words that the training labels point to, from a bounded sample of labelled rows
-    sample = checkpointed(_sampled(train.select("_id").distinct().join(known, "_id"), "_toxic", LABELLED_SAMPLE))
-    chosen = train.join(F.broadcast(sample), "_id")
-    sizes = {r["_toxic"]: r["n"] for r in sample.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    yes, no = sizes.get(1, 0), sizes.get(0, 0)
-    table = _words_by_label(chosen)
-    rate = lambda c, n: (F.col(c) + 0.5) / (n + 1.0)
-    lift = F.log(rate("yes", yes) / rate("no", no))
-    gain = (rate("yes", yes) - rate("no", no)) * lift
-    best = table.withColumn("gain", gain).withColumn("lift", lift).orderBy(F.desc("gain"), "word").limit(VOCABULARY).collect() if yes and no else []
-    pointed = [r["word"] for r in best if r["lift"] > 2 and r["yes"] >= max(3, 0.004 * yes)][:INDUCED]
+    sample = checkpointed(_sampled(train.select("_id", "_row").join(known, "_id").distinct(), "_toxic", LABELLED_SAMPLE))
+    n = sizes(sample, "_toxic")
+    yes, no = n.get(1, 0), n.get(0, 0)
+    by_label = _pointed_words(_words_by_label(of_sample(sample)), yes, no, VOCABULARY)
+    pointed = [r["word"] for r in by_label if r["lift"] > 2 and r["yes"] >= max(3, 0.004 * yes)][:INDUCED]
     induced = [pointed[k::INDUCED_VOTERS] for k in range(INDUCED_VOTERS)]
     names = [*LEXICONS, *(f"induced_{k}" for k in range(INDUCED_VOTERS)), *PATTERNS]
 
     def setup():
         voters = Voters(LEXICONS, PATTERNS, induced)
 
-        return lambda ids, texts: [ids, [voters(t, words_of(t)) for t in texts]]
+        return lambda ids, rows, texts: [ids, rows, [voters(t, words_of(t)) for t in texts]]
 
     kind = dict(docs.dtypes)[id_col]
-    voted = checkpointed(map_batches(train, ["_id", "_text"], f"_id {kind}, _votes STRING", setup).join(known, "_id", "left"))
+    voted = checkpointed(map_batches(train, ["_id", "_row", "_text"], f"_id {kind}, _row LONG, _votes STRING", setup).join(known, "_id", "left"))
     # at most one row for each vote pattern that occurs, whatever the number of texts
     tally = voted.groupBy("_votes").agg(F.count("*").alias("n"), F.count_if(F.col("_toxic") == 0).alias("no"), F.count_if(F.col("_toxic") == 1).alias("yes")).orderBy("_votes").collect()
     patterns = [r["_votes"] for r in tally]
@@ -267,14 +277,14 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weighed = lambda w: (w @ votes / max(w.sum(), 1e-9)).tolist()
     accuracies = {n: (a, b) for n, a, b in zip(names, weighed(counts * posterior), weighed(counts * (1 - posterior)))}
 
-    # the linear classifier, on posterior labels of a bounded sample
+    # the linear classifier, on the posteriors of a bounded sample of labelled rows
     spark = docs.sparkSession
     by_pattern = spark.createDataFrame([(p, float(q), int(q >= 0.5)) for p, q in zip(patterns, posterior)] or [], "_votes STRING, _p DOUBLE, _guess INT")
-    # a row whose label is known has that label's posterior
-    target = F.coalesce(F.col("_toxic").cast("double"), F.col("_p"))
-    judged = voted.where("_id IS NOT NULL").join(by_pattern, "_votes").groupBy("_id").agg(F.max(target).alias("_p"))
-    learning = _sampled(judged.withColumn("_guess", (F.col("_p") >= 0.5).cast("int")), "_guess", TRAINING_SAMPLE)
-    vocabulary = sorted({r["word"] for r in best} | {w for x in LEXICONS.values() for w in x.split()})
+    judged = voted.where("_toxic IS NOT NULL").join(F.broadcast(by_pattern), "_votes").select("_id", "_row", "_p", "_guess").distinct()  # at most 2 ** voters patterns
+    learning = checkpointed(_sampled(judged, "_guess", TRAINING_SAMPLE))
+    n = sizes(learning, "_guess")
+    guessed = _words_by_label(of_sample(learning).withColumnRenamed("_guess", "_toxic"))
+    vocabulary = sorted({r["word"] for r in _pointed_words(guessed, n.get(1, 0), n.get(0, 0), VOCABULARY)} | {w for x in LEXICONS.values() for w in x.split()})
     place = {w: k for k, w in enumerate(vocabulary)}
 
     def features():
@@ -283,12 +293,13 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return kernel
 
-    rows = map_batches(train.join(F.broadcast(learning), "_id"), ["_text", "_p"], "p DOUBLE, on ARRAY<INT>", features).orderBy("p", "on").collect()
-    share = {r["_guess"]: r["n"] for r in judged.groupBy((F.col("_p") >= 0.5).cast("int").alias("_guess")).agg(F.count("*").alias("n")).collect()}
+    rows = map_batches(of_sample(learning), ["_text", "_p"], "p DOUBLE, on ARRAY<INT>", features).orderBy("p", "on").collect()
     target = np.array([r["p"] for r in rows])
-    guess = target >= 0.5
-    weight = np.where(guess, 1.0, min(4.0, max(1.0, share.get(0, 1) / max(1, share.get(1, 1)))))
-    if yes and no:
+    guess = posterior >= 0.5
+    # the sample has at most so many of either class: others weigh so that both count as in the fold
+    share = counts[~guess].sum() / max(1.0, counts[guess].sum()) * n.get(1, 0) / max(1, n.get(0, 0)) if patterns else 1.0
+    weight = np.where(target >= 0.5, 1.0, min(4.0, max(1.0, share)))
+    if yes and no and n.get(1) and n.get(0):
         intercept, beta = fit_linear([r["on"] for r in rows], target, weight, len(vocabulary))
     else:  # nothing to learn from: any word of the lexicons decides
         intercept, beta = -2.0, np.full(len(vocabulary), 3.0)
