@@ -1,19 +1,22 @@
 """Quality by co-training: a text-content view and a page-metadata view teach each other.
 
-Each view is a logistic regression over a few statistics. In every round each view is fitted to the
-labelled rows and to the unlabelled rows of which the other view was confident in the round
-before, with the other view's label; pseudo-labelled rows together weigh no more than labelled
-ones. Some labelled rows are held back to calibrate each view and the combination of both, which
-scores all documents.
+Each view is a logistic regression over a few statistics: the content view's are counted in the
+text, the metadata view has the language, the source and the stated size only. In every round each
+view is fitted to the labelled rows and to the unlabelled rows of which the other view was
+confident in the round before, with the other view's label; pseudo-labelled rows together weigh no
+more than labelled ones. Some labelled rows are held back to calibrate each view and the
+combination of both, which scores all documents.
 
 Fitting is distributed: a Newton step needs the sums of the gradients and products of the
-statistics over all rows, a few hundred numbers whatever the input, which tasks add up before the
-exchange. No row is sampled and no label reaches the driver.
+statistics, a few hundred numbers whatever the input, which tasks add up before the exchange. What
+only labelled rows decide (the first round, calibration, combination) reads those alone; the other
+rounds read the rest once a step. No row is sampled and no label reaches the driver.
 
 Defined results: a null text counts as empty; null languages, sources and lengths are values of
 their own; a null id has no label and stays null; of an id labelled several times the mean decides,
 1 from a half up; null labels are none; without labels of both kinds no text is rejected (score
-0.5); every row of the input gives one row; other columns are left alone.
+0.5); every row of the input gives one row; texts of any length are read whole; other columns are
+left alone.
 """
 
 from __future__ import annotations
@@ -39,14 +42,14 @@ VIEW_ODDS = 4.0
 HELD_BACK = 5
 #: Score below which a document is rejected.
 THRESHOLD = 0.5
-#: Slots of the hashed source and language.
-SOURCE_SLOTS, LANG_SLOTS = 16, 4
+#: Slots of the hashed source, language, and both together, and classes of the size's binary log.
+SOURCE_SLOTS, LANG_SLOTS, BOTH_SLOTS, SIZES = 16, 8, 32, 20
 SYMBOLS = b"#*$%&|<>@^~\\{}[]=_/"
 KEEP = {name: bytes(b for b in range(256) if b not in chars) for name, chars in {"symbols": SYMBOLS, "capitals": bytes(range(65, 91)), "digits": b"0123456789", "points": b".,;:", "marks": b"!?"}.items()}
 
 
 def content_view(text: str) -> list[float]:
-    """What the words say: make-up of characters, repetition and variety."""
+    """What the text says: make-up of characters, repetition and variety of words, and its lines."""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     n, size = len(words), max(1, len(data))
@@ -55,6 +58,9 @@ def content_view(text: str) -> list[float]:
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     run = sum(a == b for a, b in zip(words, words[1:]))
+    lines = data.split(b"\n")
+    m, sizes = len(lines), [len(x) for x in lines]
+    full = sum(x.rstrip()[-1:] in (b".", b"!", b"?", b'"') for x in lines)
     return [
         min(3.0, sqrt(share["symbols"]) * 5),
         min(3.0, sqrt(share["capitals"]) * 3),
@@ -66,31 +72,46 @@ def content_view(text: str) -> list[float]:
         sqrt(max(counts.values(), default=0) / (n + 1)) * 2,
         sqrt(run / (n + 1)) * 3,
         log(n + 1) / 6 - 1,
+        log(m) / 3,
+        log(sum(sizes) / m + 1) / 5 - 1,
+        log(max(sizes) + 1) / 6 - 1,
+        full / m,
+        sum(s < 20 for s in sizes) / m,
+        1 - len(set(lines)) / m,
     ]
 
 
-def metadata_view(text: str, lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    """What the page looks like from outside: origin, language, size and layout."""
-    lines = text.split("\n")
-    n, sizes = len(lines), [len(x) for x in lines]
-    full = sum(x.rstrip()[-1:] in (".", "!", "?", '"') for x in lines)
-    origin = [0.0] * (SOURCE_SLOTS + LANG_SLOTS)
-    origin[zlib.crc32((source or "").encode()) % SOURCE_SLOTS] = 1.0
-    origin[SOURCE_SLOTS + zlib.crc32((lang or "").encode()) % LANG_SLOTS] = 1.0
-    return [
-        log((n_chars or 0) + 1) / 8 - 1,
-        log(n) / 3,
-        log(sum(sizes) / n + 1) / 5 - 1,
-        log(max(sizes) + 1) / 6 - 1,
-        full / n,
-        sum(s < 20 for s in sizes) / n,
-        1 - len(set(lines)) / n,
-        *origin,
-    ]
+def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+    """What is known of a page besides its text: the log of its stated size, and the numbers of its
+    slots by source, language, both and size."""
+    own, tongue, size = (source or "").encode("utf-8", "surrogatepass"), (lang or "").encode("utf-8", "surrogatepass"), max(0, n_chars or 0)
+    slots = [zlib.crc32(own) % SOURCE_SLOTS, zlib.crc32(tongue) % LANG_SLOTS, zlib.crc32(own + b"\0" + tongue) % BOTH_SLOTS, min(SIZES - 1, size.bit_length())]
+    return [log(size + 1) / 8 - 1, *slots]
+
+
+SLOTS = (SOURCE_SLOTS, LANG_SLOTS, BOTH_SLOTS, SIZES)
+
+
+def content_matrix(packed: list[bytes]) -> np.ndarray:
+    """A row [1, statistics] for each packed content view."""
+    x = np.frombuffer(b"".join(packed)).reshape(len(packed), N_CONTENT)
+    return np.hstack([np.ones((len(x), 1)), x])
+
+
+def metadata_matrix(packed: list[bytes]) -> np.ndarray:
+    """A row [1, size, size squared, 0 or 1 for each slot] for each packed metadata view."""
+    x = np.frombuffer(b"".join(packed)).reshape(len(packed), 1 + len(SLOTS))
+    out = np.zeros((len(x), N_METADATA + 1))
+    out[:, 0], out[:, 1], out[:, 2] = 1, x[:, 0], x[:, 0] ** 2
+    at = 3
+    for k, n in enumerate(SLOTS, 1):
+        out[np.arange(len(x)), at + x[:, k].astype(int)] = 1
+        at += n
+    return out
 
 
 N_CONTENT = len(content_view(""))
-N_METADATA = len(metadata_view("", None, None, None))
+N_METADATA = 2 + sum(SLOTS)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str) -> DataFrame:
@@ -98,8 +119,8 @@ def described(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source
 
     def setup():
         def kernel(ids, marks, texts, langs, sources, sizes):
-            pack = lambda v: np.array([1.0, *v]).tobytes()
-            return [ids, marks, [pack(content_view(t or "")) for t in texts], [pack(metadata_view(t or "", a, b, c)) for t, a, b, c in zip(texts, langs, sources, sizes)]]
+            pack = lambda v: np.array(v, float).tobytes()
+            return [ids, marks, [pack(content_view(t or "")) for t in texts], [pack(metadata_view(*row)) for row in zip(langs, sources, sizes)]]
 
         return kernel
 
@@ -122,10 +143,6 @@ class View:
         return np.clip(self.slope * (x @ self.weights) + self.offset, -VIEW_ODDS, VIEW_ODDS)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1)
-
-
 def summed(rows: DataFrame, size: int, terms) -> np.ndarray:
     """Sum over all rows of terms(content, metadata, label, held back), arrays of `size` numbers."""
 
@@ -134,7 +151,7 @@ def summed(rows: DataFrame, size: int, terms) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 label = np.array([-1 if v is None else v for v in b.column(2).to_pylist()])
-                total += terms(_matrix(b.column(0)), _matrix(b.column(1)), label, np.array(b.column(3).to_pylist()))
+                total += terms(content_matrix(b.column(0).to_pylist()), metadata_matrix(b.column(1).to_pylist()), label, np.array(b.column(3).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], names=["k", "v"])
 
     parts = rows.select("_content", "_metadata", "_label", "_held").mapInArrow(run, "k INT, v DOUBLE")
@@ -144,19 +161,23 @@ def summed(rows: DataFrame, size: int, terms) -> np.ndarray:
     return out
 
 
-def _newton(rows: DataFrame, width: int, start: np.ndarray, steps: int, ridge: float, inputs) -> np.ndarray:
-    """Logistic regression. inputs(content, metadata, label, held) -> x, target, weight."""
+def _newton(parts: list[tuple], width: int, start: np.ndarray, steps: int, ridge: float) -> np.ndarray:
+    """Logistic regression on parts (rows, inputs, most): inputs(content, metadata, label, held)
+    gives x, target and weight; most, where given, is what the part may weigh in all."""
     beta = start.copy()
     penalty = np.full(width, ridge)
     penalty[0] = 1e-3
     for _ in range(steps):
+        sums = np.zeros(width + width * width)
+        for rows, inputs, most in parts:
 
-        def terms(content, metadata, label, held, beta=beta):
-            x, y, w = inputs(content, metadata, label, held)
-            p = sigmoid(x @ beta)
-            return np.concatenate([x.T @ (w * (p - y)), ((x * (w * p * (1 - p))[:, None]).T @ x).reshape(-1)])
+            def terms(content, metadata, label, held, beta=beta, inputs=inputs):
+                x, y, w = inputs(content, metadata, label, held)
+                p = sigmoid(x @ beta)
+                return np.concatenate([[w.sum()], x.T @ (w * (p - y)), ((x * (w * p * (1 - p))[:, None]).T @ x).reshape(-1)])
 
-        sums = summed(rows, width + width * width, terms)
+            weight, *own = summed(rows, 1 + len(sums), terms)
+            sums += np.array(own) * (1.0 if most is None else min(1.0, most / max(weight, 1.0)))
         gradient = sums[:width] + penalty * beta
         hessian = sums[width:].reshape(width, width) + np.diag(penalty)
         move = np.linalg.solve(hessian, gradient)
@@ -181,7 +202,8 @@ class Model:
 
 def fitted(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     """rows: _content, _metadata, _label (1, 0 or null) and _held."""
-    n = summed(rows, 4, lambda c, m, y, h: np.array([((y == 1) & ~h).sum(), ((y == 0) & ~h).sum(), ((y == 1) & h).sum(), ((y == 0) & h).sum()], float))
+    known, rest = checkpointed(rows.where("_label IS NOT NULL")), rows.where("_label IS NULL")
+    n = summed(known, 4, lambda c, m, y, h: np.array([((y == 1) & ~h).sum(), ((y == 0) & ~h).sum(), ((y == 1) & h).sum(), ((y == 0) & h).sum()], float))
     views = [View(N_CONTENT), View(N_METADATA)]
     if not (n[0] and n[1]):
         return Model(*views, np.array([0.0, 1.0, 0.0]), False)
@@ -190,40 +212,31 @@ def fitted(rows: DataFrame, rounds: int = ROUNDS) -> Model:
     for k in range(rounds):
         before = [copy(v) for v in views]
         for own, view in enumerate(views):
-            other = before[1 - own]
-
-            def confident(content, metadata, label, other=other, own=own, k=k):
-                if k == 0:
-                    return np.zeros(len(label), int)
-                z = other.odds(metadata if own == 0 else content)
-                return np.where(label >= 0, 0, np.where(z >= high, 1, np.where(z <= -high, -1, 0)))
 
-            share = 0.0
-            if k:
-                pseudo = summed(rows, 1, lambda c, m, y, h, f=confident: np.array([float((f(c, m, y) != 0).sum())]))[0]
-                share = min(1.0, labelled / max(pseudo, 1.0))
+            def taught(content, metadata, label, held, own=own):
+                return (content, metadata)[own], label.astype(float), (~held).astype(float)
 
-            def inputs(content, metadata, label, held, own=own, share=share, f=confident):
-                x, guess = (content, metadata)[own], f(content, metadata, label)
-                y = np.where(label >= 0, label, guess > 0).astype(float)
-                return x, y, np.where(label >= 0, (~held).astype(float), np.where(guess != 0, share, 0.0))
+            def guessed(content, metadata, label, held, own=own, other=before[1 - own]):
+                z = other.odds((metadata, content)[own])
+                return (content, metadata)[own], (z > 0).astype(float), (np.abs(z) >= high).astype(float)
 
-            view.weights = _newton(rows, len(view.weights), view.weights, NEWTON if k == 0 else 2, RIDGE, inputs)
+            parts = [(known, taught, None)] + ([(rest, guessed, labelled)] if k else [])
+            view.weights = _newton(parts, len(view.weights), view.weights, 2 if k else NEWTON, RIDGE)
             view.slope, view.offset = 1.0, 0.0
             if calibrate:
 
                 def platt(content, metadata, label, held, view=view, own=own):
                     z = np.clip((content, metadata)[own] @ view.weights, -12, 12)
-                    return np.stack([np.ones(len(z)), z], 1), np.maximum(label, 0).astype(float), (held & (label >= 0)).astype(float)
+                    return np.stack([np.ones(len(z)), z], 1), label.astype(float), held.astype(float)
 
-                offset, slope = _newton(rows, 2, np.array([0.0, 1.0]), 4, 1.0, platt)
+                offset, slope = _newton([(known, platt, None)], 2, np.array([0.0, 1.0]), 4, 1.0)
                 view.slope, view.offset = float(max(slope, 0.05)), float(offset)
 
     def both(content, metadata, label, held):
         z = [v.odds(x) for v, x in zip(views, (content, metadata))]
-        return np.stack([np.ones(len(label)), *z], 1), np.maximum(label, 0).astype(float), ((held | (not calibrate)) & (label >= 0)).astype(float)
+        return np.stack([np.ones(len(label)), *z], 1), label.astype(float), (held | (not calibrate)).astype(float)
 
-    combination = _newton(rows, 3, np.array([0.0, 1.0, 0.0]), 5, 1.0, both)
+    combination = _newton([(known, both, None)], 3, np.array([0.0, 1.0, 0.0]), 5, 1.0)
     return Model(*views, combination, True)
 
 
@@ -235,7 +248,7 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
 
     def setup():
         def kernel(ids, marks, contents, metadatas):
-            c, m = (np.frombuffer(b"".join(x)).reshape(len(x), -1) for x in (contents, metadatas))
+            c, m = content_matrix(contents), metadata_matrix(metadatas)
             p = model.probability(c, m)
             return [ids, marks, p, sigmoid(model.content.odds(c)), sigmoid(model.metadata.odds(m))]
 

@@ -59,7 +59,7 @@ def test_newton_equals_plain_regression(spark):
     from pyspark.sql import functions as F
 
     table = table.withColumn("_held", F.lit(False))
-    got = qc._newton(table, qc.N_CONTENT + 1, np.zeros(qc.N_CONTENT + 1), 6, qc.RIDGE, lambda c, m, y, h: (c, y.astype(float), np.ones(len(y))))
+    got = qc._newton([(table, lambda c, m, y, h: (c, y.astype(float), np.ones(len(y))), None)], qc.N_CONTENT + 1, np.zeros(qc.N_CONTENT + 1), 6, qc.RIDGE)
     x = np.array([[1.0, *qc.content_view(r[1])] for r in rows])
     y = np.array([q for _, q in truth], float)
     beta, ridge = np.zeros(x.shape[1]), np.array([1e-3] + [qc.RIDGE] * (x.shape[1] - 1))
@@ -68,3 +68,15 @@ def test_newton_equals_plain_regression(spark):
         move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * beta)
         beta -= move * min(1.0, 5 / (np.abs(move).max() + 1e-9))
     assert np.allclose(got, beta, atol=1e-6)
+
+
+def test_metadata_matrix():
+    rows = [("en", "web", 1000), (None, None, None), ("de", "web", -5), ("en", "web", 1 << 40)]
+    x = qc.metadata_matrix([np.array(qc.metadata_view(*r), float).tobytes() for r in rows])
+    assert x.shape == (4, qc.N_METADATA + 1) and (x[:, 3:].sum(axis=1) == 4).all() and (x[:, 0] == 1).all()
+    assert (x[0, 3:19] == x[2, 3:19]).all() and (x[0] != x[1]).any() and x[3, -1] == 1
+
+
+def test_very_long_text():
+    good = qc.content_view("the quick brown fox jumps over lazy dogs. " * 250_000)
+    assert len(good) == qc.N_CONTENT and all(np.isfinite(good))
