@@ -1,20 +1,26 @@
 """Quality rules: robust multivariate outliers by the minimum covariance determinant.
 
 Each text gives a vector of transformed statistics. Per stratum (language and source) the mean and
-covariance of the H share of rows that lie closest together are estimated over all rows by
-concentration steps: a step takes every row's Mahalanobis distance under the last estimate, sums
-counts, values and products in narrow classes of distance (tasks combine them before the
-exchange, so a hot stratum costs no more than any other), and takes the classes up to the H share,
-the last one in part. FLOORS are added to the variances, so that statistics which hardly vary in
-most texts don't turn every small difference into an outlier. Rows farther than CUTOFF are
-rejected.
+covariance of the H share of rows with the least determinant of the covariance are sought over all
+rows by concentration steps from several starts: a step takes every row's Mahalanobis distance
+under each start's last estimate, sums counts, values and products in narrow classes of distance
+(tasks combine them before the exchange, so a hot stratum costs no more than any other), and takes
+the classes up to the H share, the last one in part. Steps go on until no determinant falls by more
+than SETTLED, and of a stratum's starts the one with the least determinant is taken. FLOORS are
+added to the variances (the determinant is that of the regularised covariance), so that statistics
+which hardly vary in most texts don't turn every small difference into an outlier.
+
+A row is rejected if its squared distance is beyond CUTOFF times the chi-square quantile QUANTILE
+of as many degrees as there are statistics. For normal data 1 would do; text statistics have longer
+tails, which the factor leaves room for.
 
 Strata with fewer than MIN_ROWS rows are pooled with the other small ones of their language, and
 where those pools are small too, with each other.
 
 Defined results: a null text has no words; a text that fails the base rules isn't kept and takes
 no part in the estimates; null languages and sources are strata like any other; a null id stays
-null; every row of the input gives one row; other columns of the input are left alone.
+null; every row of the input gives one row; texts of any length are read whole; other columns of
+the input are left alone.
 """
 
 from __future__ import annotations
@@ -27,15 +33,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidim.llm.common import checkpointed, map_batches, read_table
+from lexidim.llm.common import broadcast_if_small, checkpointed, map_batches, read_table
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: Share of rows that the estimate rests on, and the concentration steps.
-H, STEPS = 0.75, 4
+#: Share of rows that the estimate rests on, the most steps, and the fall of the logarithm of a
+#: determinant at which a start stands still.
+H, STEPS, SETTLED = 0.75, 30, 1e-3
 MIN_ROWS = 60
-#: Squared Mahalanobis distance beyond which a text is rejected.
-CUTOFF = 120.0
+#: Quantile of the chi-square distribution, and how many times as far a rejected text is.
+QUANTILE, CUTOFF = 0.99, 7.14
 #: Classes of distance to each doubling.
 CLASSES = 12
 #: Statistics, and the least standard deviation that each is taken to have.
@@ -116,7 +123,8 @@ def with_stratum(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n"))
     pooled = counts.groupBy("_lang").agg(F.sum(F.when(F.col("_n") < MIN_ROWS, F.col("_n"))).alias("_m"))
     own = F.when(F.col("_n") >= MIN_ROWS, F.concat_ws("\x1f", "_lang", "_source")).when(F.col("_m") >= MIN_ROWS, F.col("_lang")).otherwise(F.lit(""))
-    return rows.join(counts.join(pooled, "_lang").select("_lang", "_source", own.alias("_own")), ["_lang", "_source"])
+    strata = checkpointed(counts.join(pooled, "_lang").select("_lang", "_source", own.alias("_own")))
+    return rows.join(broadcast_if_small(strata), ["_lang", "_source"])
 
 
 def distance(center: str = "_mean", inverse: str = "_inverse") -> Column:
@@ -128,7 +136,8 @@ def distance(center: str = "_mean", inverse: str = "_inverse") -> Column:
 
 
 def next_estimate(classes: pd.DataFrame, h: float = H) -> pd.DataFrame:
-    """Mean and inverse covariance of the h share of closest rows of one stratum."""
+    """Mean, inverse covariance and log determinant of the h share of closest rows of one stratum
+    under one start."""
     p = len(NAMES)
     classes = classes.sort_values("_class")
     n = classes["_n"].to_numpy(float)
@@ -142,46 +151,77 @@ def next_estimate(classes: pd.DataFrame, h: float = H) -> pd.DataFrame:
             cov[a, b] = cov[b, a] = (classes[f"_p{a}_{b}"] * share).sum() / weight - mean[a] * mean[b]
     # the closest rows vary less than all do; for normal data, by this factor
     cov = (cov + cov.T) / 2 * consistency(h, p) + np.diag([f * f for f in FLOORS.values()])
-    return pd.DataFrame({"_own": [classes["_own"].iloc[0]], "_mean": [mean.tolist()], "_inverse": [np.linalg.inv(cov).reshape(-1).tolist()]})
+    own, start = classes["_own"].iloc[0], classes["_start"].iloc[0]
+    return pd.DataFrame({"_own": [own], "_start": [start], "_mean": [mean.tolist()], "_inverse": [np.linalg.inv(cov).reshape(-1).tolist()], "_det": [float(np.linalg.slogdet(cov)[1])]})
+
+
+def chi_square(x: float, k: int) -> float:
+    """Distribution function for an even number k of degrees."""
+    return 1 - exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(k // 2))
+
+
+def chi_square_quantile(q: float, k: int) -> float:
+    low, high = 0.0, 500.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, k) < q else (low, mid)
+    return low
 
 
 def consistency(h: float, p: int) -> float:
     """h over the chi-square distribution with p + 2 degrees at the h quantile of that with p."""
-    cdf = lambda x, k: 1 - exp(-x / 2) * sum((x / 2) ** i / factorial(i) for i in range(k // 2))  # noqa: E731  even degrees
     p += p % 2
-    low, high = 0.0, 200.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if cdf(mid, p) < h else (low, mid)
-    return h / cdf(low, p + 2)
+    return h / chi_square(chi_square_quantile(h, p), p + 2)
+
 
+ESTIMATE = "_own STRING, _start INT, _mean ARRAY<DOUBLE>, _inverse ARRAY<DOUBLE>, _det DOUBLE"
 
-ESTIMATE = "_own STRING, _mean ARRAY<DOUBLE>, _inverse ARRAY<DOUBLE>"
+
+def starts(good: DataFrame) -> DataFrame:
+    """First estimates of each stratum: medians and quartile ranges; means and variances; medians
+    and the ranges of the middle tenths; medians and the floors alone."""
+    p = len(NAMES)
+    quantiles = [F.percentile_approx(f"_{c}", [0.25, 0.45, 0.5, 0.55, 0.75], 1000).alias(f"_q{k}") for k, c in enumerate(NAMES)]
+    moments = [f(f"_{c}").alias(f"_{x}{k}") for k, c in enumerate(NAMES) for x, f in (("m", F.avg), ("v", F.var_pop))]
+    of = good.groupBy("_own").agg(*quantiles, *moments)
+    floor = [F.lit(f * f) for f in FLOORS.values()]
+    at = lambda k, i: F.col(f"_q{k}")[i]
+    median, mean = F.array(*(at(k, 2) for k in range(p))), F.array(*(F.col(f"_m{k}") for k in range(p)))
+    spreads = [
+        (median, [F.pow((at(k, 4) - at(k, 0)) / 1.349, 2) for k in range(p)]),
+        (mean, [F.col(f"_v{k}") for k in range(p)]),
+        (median, [F.pow((at(k, 3) - at(k, 1)) / 0.2513, 2) for k in range(p)]),
+        (median, [F.lit(0.0)] * p),
+    ]
+    inverse = lambda spread: F.array(*(1 / (spread[a] + floor[a]) if a == b else F.lit(0.0) for a in range(p) for b in range(p)))
+    all_of = F.array(*(F.struct(F.lit(k).alias("_start"), m.alias("_mean"), inverse(v).alias("_inverse")) for k, (m, v) in enumerate(spreads)))
+    return of.select("_own", F.explode(all_of).alias("_s")).select("_own", "_s.*", F.lit(float("inf")).alias("_det"))
 
 
 def estimates(rows: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
-    """(_own, _mean, _inverse) by stratum, over all rows that pass the base rules."""
+    """(_own, _mean, _inverse, _det) by stratum, over all rows that pass the base rules."""
     p = len(NAMES)
-    good = rows.where(~F.col("base_failed"))
-    quartiles = [F.percentile_approx(f"_{c}", [0.25, 0.5, 0.75], 1000).alias(f"_q{k}") for k, c in enumerate(NAMES)]
-    start = good.groupBy("_own").agg(*quartiles)
-    mean = F.array(*(F.col(f"_q{k}")[1] for k in range(p)))
-    scale = [F.pow((F.col(f"_q{k}")[2] - F.col(f"_q{k}")[0]) / 1.349, 2) + F.lit(f * f) for k, f in enumerate(FLOORS.values())]
-    inverse = F.array(*(1 / scale[a] if a == b else F.lit(0.0) for a in range(p) for b in range(p)))
-    now = checkpointed(start.select("_own", mean.alias("_mean"), inverse.alias("_inverse")))
+    good = rows.where(~F.col("base_failed")).select("_own", *(f"_{c}" for c in NAMES))
+    best = moving = checkpointed(starts(good))
+    sums = [F.count("*").alias("_n"), *(F.sum(f"_{c}").alias(f"_s{a}") for a, c in enumerate(NAMES))]
+    sums += [F.sum(F.col(f"_{NAMES[a]}") * F.col(f"_{NAMES[b]}")).alias(f"_p{a}_{b}") for a in range(p) for b in range(a, p)]
     for _ in range(steps):
-        near = good.join(now, "_own").withColumn("_class", F.floor(CLASSES * F.log2(distance() + 1e-6)).cast("int"))
-        sums = [F.count("*").alias("_n"), *(F.sum(f"_{c}").alias(f"_s{a}") for a, c in enumerate(NAMES))]
-        sums += [F.sum(F.col(f"_{NAMES[a]}") * F.col(f"_{NAMES[b]}")).alias(f"_p{a}_{b}") for a in range(p) for b in range(a, p)]
-        now = checkpointed(near.groupBy("_own", "_class").agg(*sums).groupBy("_own").applyInPandas(lambda classes: next_estimate(classes, h), ESTIMATE))
-    return now
+        near = good.join(broadcast_if_small(moving), "_own").withColumn("_class", F.floor(CLASSES * F.log2(distance() + 1e-6)).cast("int"))
+        step = near.groupBy("_own", "_start", "_class").agg(*sums).groupBy("_own", "_start").applyInPandas(lambda classes: next_estimate(classes, h), ESTIMATE)
+        new = checkpointed(step.join(moving.select("_own", "_start", F.col("_det").alias("_was")), ["_own", "_start"]))
+        best = checkpointed(best.unionByName(new.drop("_was")).groupBy("_own", "_start").agg(F.min_by(F.struct("_mean", "_inverse", "_det"), "_det").alias("_e")).select("_own", "_start", "_e.*"))
+        moving = checkpointed(new.where(F.col("_det") < F.col("_was") - SETTLED).drop("_was"))
+        if moving.isEmpty():
+            break
+    return best.groupBy("_own").agg(F.min_by(F.struct("_mean", "_inverse", "_det"), F.struct("_det", "_start")).alias("_e")).select("_own", "_e.*")
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """_id, the base counts, base_failed, distance and kept of every row of docs."""
-    rows = checkpointed(with_stratum(described(docs, id_col, text_col, lang_col, source_col)))
-    far = rows.join(estimates(rows), "_own", "left").withColumn("distance", distance())
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
+    rows = with_stratum(checkpointed(described(docs, id_col, text_col, lang_col, source_col)))
+    far = rows.join(broadcast_if_small(checkpointed(estimates(rows))), "_own", "left").withColumn("distance", distance())
+    limit = cutoff * chi_square_quantile(QUANTILE, len(NAMES))
+    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return far.select("_id", *COUNTS, "base_failed", kept.alias("kept"), F.round("distance", 3).alias("distance"))
 
 
