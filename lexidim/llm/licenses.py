@@ -2,7 +2,8 @@
 
 A notice that may hold k edits is split into k + 1 seeds; by the pigeonhole principle one of them
 stands unedited in every such occurrence. An automaton finds the seeds, and the regex library's
-bounded-error matching verifies the window around each and gives the span and its edits.
+bounded-error matching verifies the window around each and gives the span and its edits. A match
+takes whole words: blanks stand before and after it.
 
 Defined results: a null text counts as empty; a null id stays null; every row of the input gives
 one row; texts are searched whole; of overlapping matches of one notice the one with the fewest
@@ -67,7 +68,7 @@ class Scanner:
         import regex
 
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
-        self.notices = [(n, label, edits_of(n), regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={edits_of(n)}}}")) for n, label in notices.items()]
+        self.notices = [(n, label, edits_of(n), regex.compile(f"(?b)(?<= )(?:{regex.escape(n)}){{e<={edits_of(n)}}}(?= )")) for n, label in notices.items()]
         self.seeds = ahocorasick.Automaton()
         places: dict[str, list] = {}
         for k, (n, *_) in enumerate(self.notices):
@@ -94,7 +95,7 @@ class Scanner:
             for k, at in where:
                 notice, _, edits, _ = self.notices[k]
                 low = max(0, end + 1 - size - at - edits)
-                high = min(len(text), end + 1 + len(notice) - at - size + edits)
+                high = min(len(text), end + 2 + len(notice) - at - size + edits)  # a blank follows
                 had = out.setdefault(k, [])
                 if had and low <= had[-1][1] and low >= had[-1][0]:
                     had[-1][1] = max(high, had[-1][1])

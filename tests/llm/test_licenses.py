@@ -91,3 +91,46 @@ def test_rows(spark, tmp_path):
     assert next(r for r in got if r.doc_id is None).labels == "cc-by-nc"
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert licenses.op4_licenses(spark, f"{tmp_path}/none").count() == 0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+NOTICE = "all rights reserved"
+SMALL = licenses.Scanner({}, {NOTICE: "own", "gnu general public license": "gpl"})
+word_list = st.lists(st.sampled_from(["all rights reserved", "all right reserved", "al rigths reserved", "small rights reserved", "all rights", "reserved", "the", "gnu general public licence", "gnu general public license", "gnu generous public license"]), max_size=7).map(" ".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(word_list)
+def test_fuzzy_spans_equal_brute_force(text):
+    """No occurrence is lost: whatever whole words are within the edits of a notice lie on a span
+    of it; and spans are whole words, disjoint, with their true edits."""
+    _, _, spans = SMALL(text)
+    words = text.split()
+    for notice, label in ((NOTICE, "own"), ("gnu general public license", "gpl")):
+        own = [(s["first_word"], s["last_word"], s["edits"]) for s in spans if s["label"] == label]
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:]))
+        for first, last, edits in own:
+            assert edits == edit_distance(notice, " ".join(words[first : last + 1])) <= licenses.edits_of(notice)
+        for i in range(len(words)):
+            for j in range(i, min(len(words), i + 6)):
+                if edit_distance(notice, " ".join(words[i : j + 1])) <= licenses.edits_of(notice):
+                    assert any(first <= j and last >= i for first, last, _ in own)
+
+
+def test_adjacent_notices_and_word_bounds():
+    spans = licenses.Scanner()("gnu general public licence gnu general public license")[2]
+    assert [(s["first_word"], s["last_word"], s["edits"]) for s in spans] == [(0, 3, 1), (4, 7, 0)]
+    assert all(s["edits"] for s in licenses.Scanner()("small rights reserved")[2])
+
+
+def test_very_long_text():
+    n, places, spans = licenses.Scanner()("some words " * 400_000 + "under the mit license")
+    assert n == 800_004 and places == [("mit", 800_000)] and spans[-1]["first_word"] == 800_000
