@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over documents, each written and read again as the next one's input.
 
-Defined results: rows without an id are judged by their own text in every stage that drops rows;
-equal rows go or stay together, but of near duplicates, equal rows among them, one row stays; rows
-without text or words pass the classifier as it scores them, lose no line, have no near duplicate
+Defined results: rows without an id are judged by their own text by the classifier and against the
+benchmark, and all stay among near duplicates; equal rows go or stay together, but of near
+duplicates, equal rows with an id among them, one row stays; rows without text or words pass the classifier as it scores them, lose no line, have no near duplicate
 and hold no benchmark item, and are packed as empty documents; empty tables give no rows; without
 labels the classifier keeps all. Further columns are carried to the last stage's input.
 """

@@ -1,24 +1,32 @@
 """Span resolution over exploded rows (doc, type, start, end), for spans that come from elsewhere.
 
-Containment is an anti-join on the document with a range condition; overlap components are found by
-a running maximum over a window and resolved one by one, so no fold sees more than one component.
+Containment and overlap are found by running maxima over a window of a document's spans in their
+order, so neither compares all pairs; overlap components are resolved one by one, so no fold sees
+more than one component.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexidim.lexicons import TYPES
+
 
-def without_contained(spans: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Spans that no span of another type in the same document strictly contains."""
-    a, b = spans.alias("a"), spans.alias("b")
-    inside = (
-        (F.col(f"a.{doc}") == F.col(f"b.{doc}")) & (F.col("a.type") != F.col("b.type"))
-        & (F.col("b.start") <= F.col("a.start")) & (F.col("b.end") >= F.col("a.end"))
-        & ((F.col("b.start") < F.col("a.start")) | (F.col("b.end") > F.col("a.end")))
-    )
-    return a.join(b, inside, "left_anti")
+def without_contained(spans: DataFrame, doc: str = "doc_id", types: tuple[str, ...] = TYPES) -> DataFrame:
+    """Spans that no span of another type in the same document strictly contains: none of the others
+    that begin before reaches their end, and none that begin where they do goes beyond it. The
+    furthest end by type, over a window, tells; types are all that occur."""
+    line = Window.partitionBy(doc).orderBy("start")
+    before, beside = line.rangeBetween(Window.unboundedPreceding, -1), line.rangeBetween(0, 0)
+    reach = {}
+    for k, t in enumerate(types):
+        end = F.when(F.col("type") == t, F.col("end"))
+        reach |= {f"_before{k}": F.max(end).over(before), f"_beside{k}": F.max(end).over(beside)}
+    inside = [(F.col("type") != t) & ((F.coalesce(F.col(f"_before{k}") >= F.col("end"), F.lit(False))) | F.coalesce(F.col(f"_beside{k}") > F.col("end"), F.lit(False))) for k, t in enumerate(types)]
+    return spans.withColumns(reach).where(~reduce(lambda a, b: a | b, inside)).drop(*reach)
 
 
 def resolved(spans: DataFrame, priority: dict[str, int], doc: str = "doc_id") -> DataFrame:
@@ -37,11 +45,12 @@ def resolved(spans: DataFrame, priority: dict[str, int], doc: str = "doc_id") ->
 
 
 def gaps(spans: DataFrame, lengths: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, start, end) of what disjoint spans leave of documents of the given length."""
+    """(doc, start, end) of what spans, which may overlap, leave of documents of the given length."""
     ends = lengths.select(doc, F.col("length").alias("start"), F.col("length").alias("end"))
     line = Window.partitionBy(doc).orderBy("start", "end")
+    before = F.coalesce(F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     all_spans = spans.select(doc, "start", "end").unionByName(ends)
-    return all_spans.withColumn("_from", F.coalesce(F.lag("end").over(line), F.lit(0))).where("_from < start").select(doc, F.col("_from").alias("start"), F.col("start").alias("end"))
+    return all_spans.withColumn("_from", before).where("_from < start").select(doc, F.col("_from").alias("start"), F.col("start").alias("end"))
 
 
 def reassembled(pieces: DataFrame, doc: str = "doc_id", text: str = "piece") -> DataFrame:

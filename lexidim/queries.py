@@ -392,14 +392,8 @@ z AS (SELECT doc_id, s, e, sum(CASE WHEN m IS NULL OR m < s THEN 1 ELSE 0 END) O
 i AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM z GROUP BY doc_id, g UNION ALL SELECT DISTINCT doc_id, 200, 200 FROM x),
 r AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS start, s AS "end" FROM i) SELECT * FROM r WHERE start < "end" """)
 def residual_prose(spark, sf_dir):
-    from pyspark.sql import Window
-
     spans = line_spans(spark, sf_dir)
-    line = Window.partitionBy("doc_id").orderBy("start", "end", "type")
-    m = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(m.isNull() | (m < F.col("start")), 1).otherwise(0)
-    merged = spans.withColumn("o", opens).withColumn("g", F.sum("o").over(line.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return resolve.gaps(merged, spans.select("doc_id").distinct().withColumn("length", F.lit(200)))
+    return resolve.gaps(spans, spans.select("doc_id").distinct().withColumn("length", F.lit(200)))
 
 
 @query("SELECT o_custkey, string_agg(o_orderpriority || ';', '' ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey")
