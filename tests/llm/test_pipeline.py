@@ -90,3 +90,21 @@ def test_rows_without_an_id_are_judged_by_their_own_text(spark, folder):
     from lexidim.llm.decontamination import contaminated
 
     assert contaminated(anonymous, spark.read.parquet(f"{path}/benchmark.parquet")).count() == 2
+
+
+def test_empty_tables_repeated_rows_and_clashing_columns(spark, folder, tmp_path):
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    twice = docs.where("doc_id < 20").withColumn("_id", docs["lang"]).withColumn("_mark", docs["n_chars"])
+    twice = twice.unionByName(twice)
+    from pyspark.sql import functions as F
+
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, twice, path)
+        assert out.columns == twice.columns
+        n = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+        assert set(n.values()) == ({1} if name == "ngram_jaccard_join" else {2})
+    assert corpus_pipeline.best_fit_packing(spark, twice, path).select("doc_id").distinct().count() == 20

@@ -73,6 +73,57 @@ def test_equals_brute_force(spark, seed, n, num, den, block):
     assert len({c for *_, c in want}) < len(rows) - 5
 
 
+def test_words_over_stretches():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["ab", "C", " ", "\n", "é", "long" * 9, "\x0b"]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", " ", "x" * 500, "a b"]
+    want = sj.shingle_sets(texts, 3)
+    for n in (1, 7, 64):
+        old, sj.STRETCH = sj.STRETCH, n
+        try:
+            assert all((a == b).all() and len(a) == len(b) for a, b in zip(sj.shingle_sets(texts, 3), want))
+        finally:
+            sj.STRETCH = old
+    sj.worker_cache().clear()
+    assert [len(s) for s in want] == [len(brute_set(t, 3)) for t in texts]
+
+
+def test_a_text_of_100_mb():
+    import resource
+
+    import pyarrow as pa
+
+    part = " ".join(f"w{k % 49_999}" for k in range(160_000)) + " "
+    text = part * (100_000_000 // len(part))
+    column = pa.array([text], pa.string())
+    del text
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ((_, (tokens,)),) = sj.sets_in(column, 3)
+    assert 49_999 <= len(tokens) < 60_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000  # KB
+
+
+def test_a_large_group_ships_its_sets_a_few_times(spark):
+    """Near copies of one text, some of them too far off to link, in blocks far smaller than the group."""
+    rng = random.Random(6)
+    words, m, shipped = [f"v{k}" for k in range(120)], 600, []
+    rows = []
+    for i in range(m):
+        copy = list(words)
+        for _ in range(8 if i % 40 == 0 else 1):
+            copy[rng.randrange(len(copy))] = f"x{i}-{rng.randrange(99)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    old = sj.fragment_overlaps
+    try:
+        sj.fragment_overlaps = lambda df: old(shipped.append(df.count()) or df)
+        got = [(r._id, r._n, r._component) for r in sj.near_duplicates(docs, 3, 90, 100, block=64).collect()]
+    finally:
+        sj.fragment_overlaps = old
+    assert sorted(got) == sorted(brute(rows, 3, 90, 100))
+    blocks = 2 * m // 64
+    assert sum(shipped) < sj.FRAGMENTS * m * blocks / 2  # each with each would be 4 m times the blocks
+
+
 def test_query_and_empty_tables(spark, tmp_path):
     rows = corpus(9, 8)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
