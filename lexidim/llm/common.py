@@ -46,6 +46,12 @@ def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def gathered(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df as a local table with a broadcast hint if it has at most so many rows, else checkpointed."""
+    some = df.limit(rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(some, df.schema)) if len(some) <= rows else checkpointed(df)
+
+
 def text_mark(id_col: str, text_col: str) -> Column:
     """What tells rows without an id apart: a hash of their text; 0 where there is an id."""
     return F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.lit(0).cast("long"))

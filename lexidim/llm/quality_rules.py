@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidim.llm.common import broadcast_if_small, checkpointed, map_batches, read_table
+from lexidim.llm.common import checkpointed, gathered, map_batches, read_table
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -123,8 +123,7 @@ def with_stratum(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("_lang", "_source").agg(F.count_if(~F.col("base_failed")).alias("_n"))
     pooled = counts.groupBy("_lang").agg(F.sum(F.when(F.col("_n") < MIN_ROWS, F.col("_n"))).alias("_m"))
     own = F.when(F.col("_n") >= MIN_ROWS, F.concat_ws("\x1f", "_lang", "_source")).when(F.col("_m") >= MIN_ROWS, F.col("_lang")).otherwise(F.lit(""))
-    strata = checkpointed(counts.join(pooled, "_lang").select("_lang", "_source", own.alias("_own")))
-    return rows.join(broadcast_if_small(strata), ["_lang", "_source"])
+    return rows.join(gathered(counts.join(pooled, "_lang").select("_lang", "_source", own.alias("_own"))), ["_lang", "_source"])
 
 
 def distance(center: str = "_mean", inverse: str = "_inverse") -> Column:
@@ -152,7 +151,7 @@ def next_estimate(classes: pd.DataFrame, h: float = H) -> pd.DataFrame:
     # the closest rows vary less than all do; for normal data, by this factor
     cov = (cov + cov.T) / 2 * consistency(h, p) + np.diag([f * f for f in FLOORS.values()])
     own, start = classes["_own"].iloc[0], classes["_start"].iloc[0]
-    return pd.DataFrame({"_own": [own], "_start": [start], "_mean": [mean.tolist()], "_inverse": [np.linalg.inv(cov).reshape(-1).tolist()], "_det": [float(np.linalg.slogdet(cov)[1])]})
+    return pd.DataFrame({"_own": [own], "_start": [start], "_mean": [mean.tolist()], "_inverse": [np.linalg.inv(cov).reshape(-1).tolist()], "_det": [float(np.linalg.slogdet(cov)[1])], "_was": [float(classes["_was"].iloc[0])]})
 
 
 def chi_square(x: float, k: int) -> float:
@@ -174,12 +173,12 @@ def consistency(h: float, p: int) -> float:
     return h / chi_square(chi_square_quantile(h, p), p + 2)
 
 
-ESTIMATE = "_own STRING, _start INT, _mean ARRAY<DOUBLE>, _inverse ARRAY<DOUBLE>, _det DOUBLE"
+ESTIMATE = "_own STRING, _start INT, _mean ARRAY<DOUBLE>, _inverse ARRAY<DOUBLE>, _det DOUBLE, _was DOUBLE"
 
 
 def starts(good: DataFrame) -> DataFrame:
     """First estimates of each stratum: medians and quartile ranges; means and variances; medians
-    and the ranges of the middle tenths; medians and the floors alone."""
+    and the ranges of the middle tenths."""
     p = len(NAMES)
     quantiles = [F.percentile_approx(f"_{c}", [0.25, 0.45, 0.5, 0.55, 0.75], 1000).alias(f"_q{k}") for k, c in enumerate(NAMES)]
     moments = [f(f"_{c}").alias(f"_{x}{k}") for k, c in enumerate(NAMES) for x, f in (("m", F.avg), ("v", F.var_pop))]
@@ -191,7 +190,6 @@ def starts(good: DataFrame) -> DataFrame:
         (median, [F.pow((at(k, 4) - at(k, 0)) / 1.349, 2) for k in range(p)]),
         (mean, [F.col(f"_v{k}") for k in range(p)]),
         (median, [F.pow((at(k, 3) - at(k, 1)) / 0.2513, 2) for k in range(p)]),
-        (median, [F.lit(0.0)] * p),
     ]
     inverse = lambda spread: F.array(*(1 / (spread[a] + floor[a]) if a == b else F.lit(0.0) for a in range(p) for b in range(p)))
     all_of = F.array(*(F.struct(F.lit(k).alias("_start"), m.alias("_mean"), inverse(v).alias("_inverse")) for k, (m, v) in enumerate(spreads)))
@@ -202,24 +200,26 @@ def estimates(rows: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
     """(_own, _mean, _inverse, _det) by stratum, over all rows that pass the base rules."""
     p = len(NAMES)
     good = rows.where(~F.col("base_failed")).select("_own", *(f"_{c}" for c in NAMES))
-    best = moving = checkpointed(starts(good))
+    moving, settled = gathered(starts(good)), []
     sums = [F.count("*").alias("_n"), *(F.sum(f"_{c}").alias(f"_s{a}") for a, c in enumerate(NAMES))]
     sums += [F.sum(F.col(f"_{NAMES[a]}") * F.col(f"_{NAMES[b]}")).alias(f"_p{a}_{b}") for a in range(p) for b in range(a, p)]
+    falls = F.col("_det") < F.col("_was") - SETTLED
     for _ in range(steps):
-        near = good.join(broadcast_if_small(moving), "_own").withColumn("_class", F.floor(CLASSES * F.log2(distance() + 1e-6)).cast("int"))
-        step = near.groupBy("_own", "_start", "_class").agg(*sums).groupBy("_own", "_start").applyInPandas(lambda classes: next_estimate(classes, h), ESTIMATE)
-        new = checkpointed(step.join(moving.select("_own", "_start", F.col("_det").alias("_was")), ["_own", "_start"]))
-        best = checkpointed(best.unionByName(new.drop("_was")).groupBy("_own", "_start").agg(F.min_by(F.struct("_mean", "_inverse", "_det"), "_det").alias("_e")).select("_own", "_start", "_e.*"))
-        moving = checkpointed(new.where(F.col("_det") < F.col("_was") - SETTLED).drop("_was"))
+        near = good.join(moving.withColumnRenamed("_det", "_was"), "_own").withColumn("_class", F.floor(CLASSES * F.log2(distance() + 1e-6)).cast("int"))
+        classes = near.groupBy("_own", "_start", "_class").agg(*sums, F.first("_was").alias("_was"))
+        new = gathered(classes.groupBy("_own", "_start").applyInPandas(lambda classes: next_estimate(classes, h), ESTIMATE))
+        settled.append(new.where(~falls).drop("_was"))
+        moving = new.where(falls).drop("_was")
         if moving.isEmpty():
             break
-    return best.groupBy("_own").agg(F.min_by(F.struct("_mean", "_inverse", "_det"), F.struct("_det", "_start")).alias("_e")).select("_own", "_e.*")
+    found = reduce(DataFrame.unionByName, [*settled, moving])
+    return found.groupBy("_own").agg(F.min_by(F.struct("_mean", "_inverse", "_det"), F.struct("_det", "_start")).alias("_e")).select("_own", "_e.*")
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """_id, the base counts, base_failed, distance and kept of every row of docs."""
     rows = with_stratum(checkpointed(described(docs, id_col, text_col, lang_col, source_col)))
-    far = rows.join(broadcast_if_small(checkpointed(estimates(rows))), "_own", "left").withColumn("distance", distance())
+    far = rows.join(gathered(estimates(rows)), "_own", "left").withColumn("distance", distance())
     limit = cutoff * chi_square_quantile(QUANTILE, len(NAMES))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     return far.select("_id", *COUNTS, "base_failed", kept.alias("kept"), F.round("distance", 3).alias("distance"))

@@ -42,7 +42,7 @@ def plain_mcd(x, h=qr.H):
     floor = np.array(list(qr.FLOORS.values())) ** 2
     q = np.quantile(x, [0.25, 0.45, 0.5, 0.55, 0.75], axis=0, method="inverted_cdf")
     found = []
-    for m, v in [(q[2], ((q[4] - q[0]) / 1.349) ** 2), (x.mean(0), x.var(0)), (q[2], ((q[3] - q[1]) / 0.2513) ** 2), (q[2], 0 * q[2])]:
+    for m, v in [(q[2], ((q[4] - q[0]) / 1.349) ** 2), (x.mean(0), x.var(0)), (q[2], ((q[3] - q[1]) / 0.2513) ** 2)]:
         last, now = np.inf, (m, np.diag(1 / (v + floor)), 1e9)
         while now[2] < last - 1e-9:
             last = now[2]
