@@ -382,7 +382,10 @@ def containment_antijoin(spark, sf_dir):
     return resolve.without_contained(line_spans(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH x AS ({SPANS_SQL}), f AS (SELECT * FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE a.doc_id = b.doc_id AND a.type <> b.type AND b.s <= a.s AND b.e >= a.e AND (b.s < a.s OR b.e > a.e))),
+o AS (SELECT doc_id, list([{{'type': type, 's': s, 'e': e}}] ORDER BY CASE type WHEN 'QTY' THEN 0 WHEN 'NUM' THEN 1 ELSE 2 END, s - e, s) AS items FROM f GROUP BY doc_id),
+k AS (SELECT doc_id, unnest(list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS r FROM o)
+SELECT doc_id, r.type AS type, r.s AS start, r.e AS "end" FROM k""")
 def overlap_greedy(spark, sf_dir):
     return resolve.resolved(line_spans(spark, sf_dir), lx.PRIORITY)
 
@@ -489,6 +492,24 @@ def sql_functions(spark, sf_dir):
 # ---- whole texts
 
 
+def beam_texts(spark, sf_dir):
+    """Technical sentences with regions of seven types."""
+    n = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("viga com "), n, F.lit(" kN, portanto σ_y ≤ "), n + 30, F.lit(" MPa na NBR 6118")).alias("text"))
+
+
+@query("""WITH p AS (SELECT length(p_size::VARCHAR) AS a, length((p_size + 30)::VARCHAR) AS b FROM part)
+SELECT 'PROSE' AS type, 3 * count(*) AS n_regions, 15 * count(*) AS n_chars FROM p UNION ALL SELECT 'QTY', 2 * count(*), CAST(sum(a + b + 7) AS BIGINT) FROM p UNION ALL SELECT 'REL', count(*), 8 * count(*) FROM p
+UNION ALL SELECT 'SYM', count(*), 3 * count(*) FROM p UNION ALL SELECT 'OP', count(*), count(*) FROM p UNION ALL SELECT 'IDX', count(*), 8 * count(*) FROM p""")
+def regions_by_type_parts(spark, sf_dir):
+    return en.by_type(ENGINE.exploded(beam_texts(spark, sf_dir), fields=("type", "start", "end")))
+
+
+@query("""SELECT p_partkey, 'viga com [QTY value=' || p_size || ' unit=kN dim=[1,1,-2,0,0,0,0]], portanto [SYM:σ_y] ≤ [QTY value=' || (p_size + 30) || ' unit=MPa dim=[1,-1,-2,0,0,0,0]] na [IDX:nbr-6118]' AS text FROM part""")
+def preprocess_parts(spark, sf_dir):
+    return ENGINE.preprocess(beam_texts(spark, sf_dir)).select("p_partkey", F.col("preprocessed").alias("text"))
+
+
 def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
