@@ -16,7 +16,8 @@
    group in each. What is in the largest group so far needs no more comparing with itself: only
    the other classes, the stray ones, are held against each other and against that group. So a
    group of m near copies ships each of its sets a few times, not once for each block.
-5. Components of the links are found by alternating large and small stars.
+5. Components of the links are found by alternating large and small stars; up to LINKS_IN_TASK
+   links, which are counted, by one task that joins them as it reads them.
 
 All comparisons are exact on the sets; the order, homes and blocks only say which are made.
 
@@ -52,6 +53,8 @@ FRAGMENTS = 4
 SHARE, SHARED = 8, 5
 #: Size of a block, where a class counts 1 and 1 more for each WEIGHT n-grams.
 BLOCK, WEIGHT = 512, 2048
+#: Links that one task may hold.
+LINKS_IN_TASK = 1 << 18
 #: Columns of the 0/1 matrices that are multiplied at a time.
 COLUMNS = 4096
 #: Bits of the filters that keep n-grams and texts of no use from the exchange.
@@ -456,12 +459,40 @@ def summed_links(partial: DataFrame, num: int, den: int) -> DataFrame:
     return links.select(*(F.struct(F.col(f"_{x}1").alias("_c1"), F.col(f"_{x}2").alias("_c2")).alias(f"_{x}") for x in "ab")).distinct()
 
 
+def joined_in_task(edges: DataFrame) -> DataFrame:
+    """components() of few edges, by one task."""
+    kind = edges.schema["_a"].dataType
+
+    def run(source):
+        value, parent = {}, {}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in source:
+            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = [tuple(v.values()) if isinstance(v, dict) else v for v in pair]
+                for k, v in zip(keys, pair):
+                    value.setdefault(k, v)
+                    parent.setdefault(k, k)
+                low, high = sorted(map(root, keys))
+                parent[high] = low
+        found = [(k, r) for k in parent if (r := root(k)) != k]
+        yield [value[k] for k, _ in found], [value[r] for _, r in found]
+
+    return _arrow_map(edges.coalesce(1), f"_node {kind.simpleString()}, _root {kind.simpleString()}", run)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(_node, _root): the smallest node of the component of every linked node."""
+    """(_node, _root): the smallest node of the component of every linked node that isn't it."""
     edges = checkpointed(links.where("_a != _b").select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("_a", "_b").cast("decimal(20, 0)")), F.sum(F.xxhash64("_b", "_a").cast("decimal(20, 0)"))).first()
     now = mark(edges)
-    while now[0]:
+    if now[0] <= LINKS_IN_TASK:
+        return checkpointed(joined_in_task(edges))
+    while True:
         before = now
         # large star: larger neighbours of each node go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))

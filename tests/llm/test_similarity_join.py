@@ -63,8 +63,9 @@ def corpus(seed, n_groups=25):
     return rows
 
 
-@pytest.mark.parametrize("seed,n,num,den,block", [(1, 3, 90, 100, 512), (2, 3, 90, 100, 2), (3, 5, 4, 5, 3)])
-def test_equals_brute_force(spark, seed, n, num, den, block):
+@pytest.mark.parametrize("seed,n,num,den,block,in_task", [(1, 3, 90, 100, 512, 0), (2, 3, 90, 100, 2, 1000), (3, 5, 4, 5, 3, 1000)])
+def test_equals_brute_force(spark, monkeypatch, seed, n, num, den, block, in_task):
+    monkeypatch.setattr(sj, "LINKS_IN_TASK", in_task)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _n int, _root int").repartition(3)
     got = [(r._id, r._n, r._component) for r in sj.near_duplicates(docs.select("doc_id", "text"), n, num, den, block=block).collect()]
@@ -161,7 +162,9 @@ def test_overlaps(left, right, columns):
     assert got.tolist() == [[len(set(a) & set(b)) for b in right] for a in left]
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("in_task", [0, 1000])
+def test_components_of_long_chains(spark, monkeypatch, in_task):
+    monkeypatch.setattr(sj, "LINKS_IN_TASK", in_task)
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 202), (202, 200)]
     rng.shuffle(edges)
