@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master or "").startswith("local["):
+        if not named and not (sc.master == "local" or (sc.master or "").startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexidim-checkpoint-"))
     return sc.getCheckpointDir()

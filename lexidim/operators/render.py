@@ -13,7 +13,7 @@ from lexidim.operators.scan import Region
 from lexidim.units import UnitError, combined, parse, si_unit
 
 _AMOUNT = regex.compile(rf"(?P<a>{lx.NUMBER})(?:\s*-\s*(?P<b>{lx.NUMBER}))?(?:{lx.UNCERTAINTY}(?P<u>{lx.NUMBER}))?\s*(?P<unit>.+)", regex.S)
-_CONSTANTS = {s: (u, v) for s, _, u, v in lx.CONSTANTS}
+_CONSTANTS = lx.Lexicons().values_of_constants()
 
 
 class Quantity(NamedTuple):
@@ -82,7 +82,7 @@ def number(content: str, mode: str) -> str:
     return f'[NUM value={format_value(value)}{r2l} locale={locale} repr={kind} original="{content}"]'
 
 
-def tag(region: Region, text: str, mode: str = "B", atoms: dict | None = None) -> tuple[str, str | None]:
+def tag(region: Region, text: str, mode: str = "B", atoms: dict | None = None, constants: dict = _CONSTANTS) -> tuple[str, str | None]:
     """The tag and no error, or the text as it is and the error: no row fails."""
     content = text[region.start : region.end]
     try:
@@ -95,18 +95,19 @@ def tag(region: Region, text: str, mode: str = "B", atoms: dict | None = None) -
     if region.type == "CONST":
         if mode == "B":
             return f"[CONST:{content}]", None
-        unit, value = _CONSTANTS[content]
+        unit, value = constants[content]
         return f"<CONST><SYM>{content}</SYM><QTY><VAL>{format_value(value)}</VAL><DIM>{unit}</DIM><UNC/></QTY></CONST>", None
     if region.type == "REF":
         return (f"[REF:{content}]" if mode == "B" else f"<REF>{content}</REF>"), None
     if region.type == "IDX":
-        return (f"[IDX:{slug(content)}]" if mode == "B" else f"<ID>{slug(content)}</ID>"), None
+        name = region.slug or slug(content)
+        return (f"[IDX:{name}]" if mode == "B" else f"<ID>{name}</ID>"), None
     if region.type == "SYM":
         return f"[SYM:{content.replace(' ', '').rstrip('.,;:')}]", None
     return content, None
 
 
-def rendered(text: str, found: list[Region], mode: str = "B", encode=None, atoms: dict | None = None) -> tuple[str, list[str]]:
+def rendered(text: str, found: list[Region], mode: str = "B", encode=None, atoms: dict | None = None, constants: dict = _CONSTANTS) -> tuple[str, list[str]]:
     """The text with its regions as tags, and the errors. In mode A prose goes through encode."""
     out, errors, at = [], [], 0
     for r in found:
@@ -116,7 +117,7 @@ def rendered(text: str, found: list[Region], mode: str = "B", encode=None, atoms
                 raise NotImplementedError("mode A needs an encoder for prose")
             out.append(" ".join(map(str, encode(text[r.start : r.end]))))
         else:
-            piece, error = tag(r, text, mode, atoms)
+            piece, error = tag(r, text, mode, atoms, constants)
             out.append(piece)
             if error:
                 errors.append(error)

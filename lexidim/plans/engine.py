@@ -46,38 +46,40 @@ def activation_prompt(language: str = "pt-br", overrides: dict[str, str] | None
     return (overrides or {}).get(language, PROMPTS.get(language, "")).rstrip() + "\n"
 
 
-#: Patterns that a worker has compiled, by their unit symbols.
+#: Patterns that a worker has compiled, by their unit symbols and lexicons.
 _COMPILED: dict[tuple, Patterns] = {}
 
 
-def patterns_of(symbols: tuple[str, ...]) -> Patterns:
+def patterns_of(symbols: tuple[str, ...] = (), lexicons: lx.Lexicons = lx.Lexicons()) -> Patterns:
     """Patterns are compiled once a worker, on first use."""
-    return _COMPILED.get(symbols) or _COMPILED.setdefault(symbols, Patterns(symbols or None))
+    key = (symbols, lexicons)
+    return _COMPILED.get(key) or _COMPILED.setdefault(key, Patterns(symbols or None, lexicons))
 
 
 class Engine:
     """symbols: unit symbols to know instead of the whole table; atoms: a unit table instead of the
     own one, as units.load_atoms() gives it; encode and decode: ids of prose for mode A, and back;
-    ontology: the types and their order of precedence."""
+    ontology: the types and their order of precedence; lexicons: other tables for the scan, as
+    config.load_lexicons() gives them."""
 
-    def __init__(self, symbols: list[str] | None = None, encode: Callable[[str], list[int]] | None = None, prompts: dict[str, str] | None = None, ontology: Ontology | None = None, atoms: dict | None = None, decode: Callable[[list[int]], str] | None = None):
+    def __init__(self, symbols: list[str] | None = None, encode: Callable[[str], list[int]] | None = None, prompts: dict[str, str] | None = None, ontology: Ontology | None = None, atoms: dict | None = None, decode: Callable[[list[int]], str] | None = None, lexicons: lx.Lexicons = lx.Lexicons()):
         if symbols is not None and not symbols:
             raise ValueError("at least one unit symbol is needed")
         if atoms is not None and not atoms:
             raise ValueError("at least one unit atom is needed")
         self.priority = (ontology or Ontology()).priority
-        self.symbols, self.encode, self.decode, self.prompts, self.atoms = tuple(symbols or atoms or ()), encode, decode, prompts, atoms
+        self.symbols, self.encode, self.decode, self.prompts, self.atoms, self.lexicons = tuple(symbols or atoms or ()), encode, decode, prompts, atoms, lexicons
 
     def regions_of(self, text: Column | str, fields: tuple[str, ...] = FIELDS) -> Column:
         """ARRAY of STRUCT of each text, with the fields of REGION asked for; null for a null text.
         Fields not asked for aren't made."""
-        symbols, priority, atoms = self.symbols, self.priority, self.atoms
-        kind = _arrow_type(fields)
+        symbols, priority, atoms, lexicons = self.symbols, self.priority, self.atoms, self.lexicons
+        kind, constants = _arrow_type(fields), lexicons.values_of_constants()
 
         def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            found = patterns_of(symbols)
+            found = patterns_of(symbols, lexicons)
             for batch in batches:
-                yield pa.array([None if t is None else [_row(r, t, fields, atoms) for r in regions(t, found, priority)] for t in batch.to_pylist()], kind)
+                yield pa.array([None if t is None else [_row(r, t, fields, atoms, constants) for r in regions(t, found, priority)] for t in batch.to_pylist()], kind)
 
         return F.arrow_udf(scan, f"ARRAY<STRUCT<{', '.join(f'`{f}`: {REGION[f]}' for f in fields)}>>")(text)
 
@@ -100,17 +102,18 @@ class Engine:
         """df with the rewritten text and `<into>_errors`; in strict mode an error fails the query."""
         if mode == "A" and self.encode is None:
             raise NotImplementedError("mode A needs an encoder for prose")
-        symbols, encode, priority, atoms = self.symbols, self.encode, self.priority, self.atoms
+        symbols, encode, priority, atoms, lexicons = self.symbols, self.encode, self.priority, self.atoms, self.lexicons
+        constants = lexicons.values_of_constants()
 
         def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            found = patterns_of(symbols)
+            found = patterns_of(symbols, lexicons)
             for batch in batches:
                 out = []
                 for t in batch.to_pylist():
                     if t is None:
                         out.append(None)
                         continue
-                    text, errors = rendered(t, regions(t, found, priority), mode, encode, atoms)
+                    text, errors = rendered(t, regions(t, found, priority), mode, encode, atoms, constants)
                     out.append({"text": text, "errors": errors})
                 yield pa.array(out, pa.struct([("text", pa.string()), ("errors", pa.list_(pa.string()))]))
 
@@ -142,14 +145,14 @@ def _arrow_type(fields: tuple[str, ...]) -> pa.DataType:
     return pa.list_(pa.struct([(f, _ARROW[REGION[f]]) for f in fields]))
 
 
-def _row(r, text: str, fields: tuple[str, ...], atoms: dict | None = None) -> dict:
+def _row(r, text: str, fields: tuple[str, ...], atoms: dict | None, constants: dict) -> dict:
     out = {"type": r.type, "start": r.start, "end": r.end}
     if len(fields) > 3 or not out.keys() >= set(fields):
         out |= {"content": text[r.start : r.end], "ambig_kind": r.ambig, "ambig_alternatives": list(r.alternatives)}
         if "slug" in fields:
             out["slug"] = slug_of(r, text)
         if "tag" in fields or "error" in fields:
-            out["tag"], out["error"] = tag(r, text, atoms=atoms)
+            out["tag"], out["error"] = tag(r, text, atoms=atoms, constants=constants)
     return {f: out[f] for f in fields}
 
 

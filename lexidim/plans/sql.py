@@ -20,13 +20,13 @@ def register(spark: SparkSession, prefix: str = "lexi_") -> None:
 
     class Scan:
         def eval(self, text: str):
-            for r in regions(text or "", patterns_of(())):
+            for r in regions(text or "", patterns_of()):
                 yield r.type, r.start, r.end, text[r.start : r.end], tag(r, text)[0]
 
     spark.udtf.register(prefix + "regions", F.udtf(Scan, returnType="type STRING, start INT, `end` INT, content STRING, tag STRING", useArrow=True))
 
     def preprocess(text):
-        return rendered(text, regions(text, patterns_of(())))[0]
+        return rendered(text, regions(text, patterns_of()))[0]
 
     def number(text):
         try:

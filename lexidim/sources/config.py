@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidim.lexicons import TYPES
+from lexidim.lexicons import TYPES, Lexicons
 
 #: Types of each version; later versions add to earlier ones.
 VERSIONS = {"1.0": frozenset(TYPES) - {"NUM", "REF"}, "1.1": frozenset(TYPES) - {"REF"}, "1.2": frozenset(TYPES)}
@@ -55,6 +55,39 @@ def load_ontology(text: str) -> Ontology:
     return Ontology(str(data["version"]), {t: tuple((v or {}).get("composed_of", ())) for t, v in data["types"].items()}, tuple(data["order"]))
 
 
+def _json_file(spark: SparkSession, path: str) -> dict:
+    import json
+
+    (row,) = spark.read.text(path, wholetext=True).collect()  # one configuration file
+    return json.loads(row.value)
+
+
+def load_lexicons(spark: SparkSession, constants: str | None = None, operators: str | None = None, connectives: str | None = None, identifiers: str | None = None, expressions: str | None = None, without: tuple[str, ...] = ()) -> Lexicons:
+    """Lexicons from JSON files, where a path is given; the own tables else. A pattern that can't be
+    read, or an entry without its name, is an error."""
+    import regex
+
+    given: dict = {}
+    if constants:
+        given["constants"] = tuple((e["simbolo"], e["nome"], e["grandeza_associada"], float(e["valor_si"]), bool(e.get("requer_contexto"))) for e in _json_file(spark, constants)["constantes"])
+    if operators:
+        given["operators"] = tuple((e["simbolo"], int(e["aridade"]), e["categoria"]) for e in _json_file(spark, operators)["operadores"])
+    if connectives:
+        groups = _json_file(spark, connectives)
+        given["connectives"] = tuple((e["forma"].lower(), e["funcao"], lang) for lang in ("pt-br", "en") for e in groups.get(lang, ()) if e.get("forma"))
+    if identifiers:
+        given["identifiers"] = tuple((e["classe"], e["regex"], None, e.get("canonical_slug")) for e in _json_file(spark, identifiers)["padroes"] if "classe" in e)
+    if expressions:
+        given["expressions"] = tuple((e["classe"], bool(e.get("atomic_over_protected")), e["regex"]) for e in _json_file(spark, expressions)["classes"])
+    for what, at in (("identifiers", 1), ("expressions", 2)):
+        for row in given.get(what, ()):
+            try:
+                regex.compile(row[at], regex.V1)
+            except regex.error as e:
+                raise ValueError(f"{what}: {row[0]}: {e}") from e
+    return Lexicons(**given, without=tuple(without))
+
+
 def read_yaml(spark: SparkSession, path: str, schema: str, with_json: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows of YAML files, one document each, and (file, error) of those that don't parse. Files are
     read and parsed by the executors, sorted by name. with_json keeps each as JSON in `_json`."""

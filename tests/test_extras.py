@@ -146,3 +146,35 @@ def test_quantity_struct(spark):
     assert (q.value, q.uncertainty, q.unit, q.dim, q.factor, q.si_unit, q.si_value, q.si_uncertainty) == (350.0, 10.0, "MPa", [1, -1, -2, 0, 0, 0, 0], 1e6, "Pa", 3.5e8, 1e7)
     assert [x.value for x in rows[1].quantities] == [5.0, 20.0] and rows[2].quantities[0].value is None
     assert rows[3].quantities is None and rows[3].error and rows[4] is None
+
+
+def test_lexicon_files(spark, tmp_path):
+    import json
+
+    from lexidim.functions import text as tx
+    from lexidim.lexicons import Lexicons
+
+    files = {
+        "constants": {"constantes": [{"simbolo": "c", "nome": "light", "grandeza_associada": "m/s", "valor_si": 3e8, "requer_contexto": True}, {"simbolo": "q_e", "nome": "charge", "grandeza_associada": "C", "valor_si": 1.6e-19}]},
+        "operators": {"operadores": [{"simbolo": "+", "aridade": 2, "categoria": "aritmetico"}]},
+        "connectives": {"en": [{"forma": "Because", "funcao": "causal"}]},
+        "identifiers": {"padroes": [{"classe": "x", "regex": r"\\bCP[ -]?190\\b", "canonical_slug": "cp-190"}, {"_gone": 1, "regex": "a"}]},
+        "expressions": {"classes": [{"classe": "at", "regex": r"@\\w+@"}]},
+    }
+    paths = {}
+    for name, data in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(data).replace("\\\\\\\\", "\\\\"))
+        paths[name] = f"{tmp_path}/{name}.json"
+    lexicons = config.load_lexicons(spark, **paths)
+    df = spark.createDataFrame([("vale c = 5 + q_e because CP 190 c @x_1@",)], "text string")
+    rows = [(r.type, r.content, r.tag) for r in Engine(lexicons=lexicons).exploded(df).where("type <> 'PROSE'").collect()]
+    assert ("CONST", "c", "[CONST:c]") in rows and ("CONST", "q_e", "[CONST:q_e]") in rows and sum(t == "CONST" for t, *_ in rows) == 2
+    assert ("IDX", "CP 190", "[IDX:cp-190]") in rows and ("REL", "because", "because") in rows and ("OP", "+", "+") in rows and ("SYM", "@x_1@", "[SYM:@x_1@]") in rows
+    (tmp_path / "identifiers.json").write_text(json.dumps({"padroes": [{"classe": "x", "regex": "("}]}))
+    with pytest.raises(ValueError, match="identifiers: x"):
+        config.load_lexicons(spark, identifiers=paths["identifiers"])
+    kinds = lambda e: [r.type for r in e.exploded(spark.createDataFrame([("o Re da NBR 6118",)], "text string")).collect()]
+    assert kinds(Engine()).count("IDX") == 2 and kinds(Engine(lexicons=Lexicons(without=("grandeza_adimensional",)))).count("IDX") == 1
+    assert tx.identifier_slug("CP190 RB", "cp-190-rb") == "cp-190-rb" and tx.identifier_slug("f_ptk") == "fptk"
+    with pytest.raises(ValueError):
+        tx.identifier_slug("--")
