@@ -57,12 +57,17 @@ def text_mark(id_col: str, text_col: str) -> Column:
     return F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.lit(0).cast("long"))
 
 
+def as_one(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs with all its columns in one, `_doc`, beside others: so no name of theirs meets ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *(c.alias(n) for n, c in columns.items()))
+
+
 def without_rows(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs less the rows that lost names by id and _mark; without an id by the mark alone."""
     gone = lost.select(F.col(id_col).alias("_lost_id"), F.col("_mark").alias("_lost_mark")).distinct()
-    marked = docs.withColumn("_own_mark", text_mark(id_col, text_col))
-    same = marked[id_col].eqNullSafe(gone["_lost_id"]) & (marked["_own_mark"] == gone["_lost_mark"])
-    return marked.join(gone, same, "left_anti").select(*docs.columns)
+    marked = as_one(docs, _own_id=F.col(id_col), _own_mark=text_mark(id_col, text_col))
+    same = F.col("_own_id").eqNullSafe(F.col("_lost_id")) & (F.col("_own_mark") == F.col("_lost_mark"))
+    return marked.join(gone, same, "left_anti").select("_doc.*")
 
 
 def kind_is(kind: str) -> Callable:

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidim.llm.common import checkpointed, read_table
+from lexidim.llm.common import as_one, checkpointed, read_table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 2
@@ -117,8 +117,8 @@ def without(text: Column, drop: Column) -> Column:
     return F.array_join(F.transform(kept, lambda z: z["line"]), "\n")
 
 
-def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its text less the dropped lines, and with _n_lines and _n_dropped."""
+def _deduplicated(docs: DataFrame, min_docs: int, min_chars: int, batches: int, id_col: str, text_col: str) -> DataFrame:
+    """_doc (the columns of docs, the text less the dropped lines), _n_lines and _n_dropped."""
     spark = docs.sparkSession
     lines = checkpointed(long_lines(docs, id_col, text_col, min_chars).withColumn("_batch", F.pmod(F.xxhash64("_id"), F.lit(batches)).cast("int")))
     runs = LineRuns(int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -128,14 +128,28 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     often = reduce(DataFrame.unionByName, (held_often(lines.where(F.col("_batch") == b), totals, min_docs) for b in range(batches)))
     drops = dropped_positions(often, totals, min_docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("_row_text", F.xxhash64(text))
+    marked = as_one(docs.withColumn(text_col, text), _own_id=F.col(id_col), _own_text=F.xxhash64(text))
+    body = F.col(f"_doc.`{text_col}`")
     return (
-        marked.join(drops.hint("shuffle_hash"), marked[id_col].eqNullSafe(drops["_id"]) & (marked["_row_text"] == drops["_text"]), "left")
-        .withColumn("_n_lines", F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-        .withColumn("_n_dropped", F.coalesce(F.size("_drop"), F.lit(0)))
-        .withColumn(text_col, F.when(F.col("_drop").isNull(), text).otherwise(without(text, F.col("_drop"))))
-        .drop("_id", "_text", "_row_text", "_drop")
-    )
+        marked.join(drops.hint("shuffle_hash"), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_text") == F.col("_text")), "left")
+        .select(
+            F.col("_doc").withField(f"`{text_col}`", F.when(F.col("_drop").isNull(), body).otherwise(without(body, F.col("_drop")))).alias("_doc"),
+            (F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).alias("_n_lines"),
+            F.coalesce(F.size("_drop"), F.lit(0)).alias("_n_dropped"),
+        )
+    )
+
+
+def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its text less the dropped lines, and with _n_lines and _n_dropped, which take the
+    place of columns of these names."""
+    own = docs.drop("_n_lines", "_n_dropped")
+    return _deduplicated(own, min_docs, min_chars, batches, id_col, text_col).select("_doc.*", "_n_lines", "_n_dropped")
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with its text less the dropped lines."""
+    return _deduplicated(docs, MIN_DOCS, MIN_CHARS, BATCHES, id_col, text_col).select("_doc.*")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

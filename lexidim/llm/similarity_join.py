@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lexidim.llm.common import SLICE_ROWS, broadcast_if_small, checkpointed, read_table, worker_cache
+from lexidim.llm.common import SLICE_ROWS, as_one, broadcast_if_small, checkpointed, read_table, worker_cache
 
 #: Counters of the sketch that orders n-grams, and the parts in which tasks send them.
 SKETCH, SKETCH_PARTS = 1 << 20, 64
@@ -654,10 +654,11 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col:
     and of equal rows one; rows without an id or without words all stay."""
     found = near_duplicates(docs.select(id_col, text_col), n, num, den, id_col, text_col)
     keep = found.where("_id = _component AND _root IS NOT NULL").groupBy("_id", "_root").agg(F.min("_hash").alias("_keep"))
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    single = marked.join(keep, (marked[id_col] == keep["_id"]) & (marked["_text_hash"] == keep["_keep"])).dropDuplicates([id_col, "_text_hash"])
+    marked = as_one(docs, _own_id=F.col(id_col), _own_hash=F.xxhash64(text_col))
+    same = (F.col("_own_id") == F.col("_id")) & (F.col("_own_hash") == F.col("_keep"))
+    single = marked.join(keep, same).dropDuplicates(["_own_id", "_own_hash"]).select("_doc.*")
     wordless = F.btrim(F.coalesce(text_col, F.lit("")), F.lit(" \t\n\x0b\x0c\r")) == ""
-    return single.select(*docs.columns).unionByName(docs.where(wordless | F.col(id_col).isNull()))
+    return single.unionByName(docs.where(wordless | F.col(id_col).isNull()))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
