@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexidim.folders import removed, shared_folder
 from lexidim.llm.common import read_table
 from lexidim.llm.decontamination import clean_documents
-from lexidim.llm.line_dedup import deduplicated
+from lexidim.llm.line_dedup import without_repeated_lines
 from lexidim.llm.packing import packed_documents
 from lexidim.llm.quality_classifier import kept_documents
 from lexidim.llm.similarity_join import one_of_each
@@ -31,7 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines that five documents or more hold stay in the last of them only."""
-    out = deduplicated(docs)
+    out = without_repeated_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
