@@ -527,10 +527,10 @@ def preprocess_docs(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
 def regions_cover_text(spark, sf_dir):
     """Regions and the blanks between them make up the text again."""
-    texts = ENGINE.regions(documents(spark, sf_dir).where("text IS NOT NULL"))
+    texts = ENGINE.regions(documents(spark, sf_dir).where("text IS NOT NULL"), fields=("start", "end", "content"))
     last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("regions", i - 1)["end"])
     pieces = F.transform("regions", lambda r, i: F.concat(F.substring("text", last(i) + 1, r["start"] - last(i)), r["content"]))
-    tail = F.substring(F.col("text"), F.coalesce(F.element_at("regions", -1)["end"], F.lit(0)) + 1, F.length("text"))
+    tail = F.substring(F.col("text"), F.coalesce(F.get("regions", F.size("regions") - 1)["end"], F.lit(0)) + 1, F.length("text"))
     return texts.select("doc_id", F.sha2(F.concat(F.array_join(pieces, ""), tail), 256).alias("sha256"))
 
 

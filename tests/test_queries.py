@@ -58,3 +58,12 @@ def test_the_rest_stands_without_the_corpus_subpackage(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'regions_by_type' in q and 'pipeline' not in q and 'op1_packing' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_blank_texts_are_covered_too(spark, tmp_path):
+    import hashlib
+
+    texts = {1: "", 2: " \n ", 3: None, 4: "a 5 mm ", 5: "\n5 mm"}
+    spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.sha256 for r in core.QUERIES["regions_cover_text"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items() if t is not None}
