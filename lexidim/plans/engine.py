@@ -1,7 +1,8 @@
 """The engine: regions, rewritten texts and prompts of a text column, as DataFrame transforms.
 
-A text is scanned in one narrow pass, without a shuffle; only the columns named reach Python, all
-others pass by. The same transforms work on batch and streaming DataFrames.
+A text is scanned in one narrow pass, each distinct text of an Arrow batch once; only the columns
+named reach Python, all others pass by. Rows of few files are dealt over the cores before. The same
+transforms work on batch and streaming DataFrames.
 """
 
 from __future__ import annotations
@@ -56,6 +57,25 @@ def patterns_of(symbols: tuple[str, ...] = (), lexicons: lx.Lexicons = lx.Lexico
     return _COMPILED.get(key) or _COMPILED.setdefault(key, Patterns(symbols or None, lexicons))
 
 
+#: Tasks for each core where rows are dealt.
+_TASKS = 4
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in a few even partitions for each core, if it is read from fewer files than that or is a
+    stream: a row group goes to one task whole, and scanning a row takes far longer than moving it."""
+    n = _TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.isStreaming or 0 < len(df._jdf.inputFiles()) < n else df
+
+
+def each_distinct(batch: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:
+    """of each text of a batch, called and turned to Arrow once for each distinct one; null for null."""
+    places: dict = {}
+    at = [places.setdefault(t, len(places)) for t in batch.to_pylist()]
+    made = pa.array([None if t is None else of(t) for t in places], kind)
+    return made if len(places) == len(at) else made.take(pa.array(at))
+
+
 class Engine:
     """symbols: unit symbols to know instead of the whole table; atoms: a unit table instead of the
     own one, as units.load_atoms() gives it; encode and decode: ids of prose for mode A, and back;
@@ -73,23 +93,27 @@ class Engine:
     def regions_of(self, text: Column | str, fields: tuple[str, ...] = FIELDS) -> Column:
         """ARRAY of STRUCT of each text, with the fields of REGION asked for; null for a null text.
         Fields not asked for aren't made."""
+        return self.scanner(fields)(text)
+
+    def scanner(self, fields: tuple[str, ...] = FIELDS):
+        """regions_of() as a function that can be registered."""
         symbols, priority, atoms, lexicons = self.symbols, self.priority, self.atoms, self.lexicons
         kind, constants = _arrow_type(fields), lexicons.values_of_constants()
 
         def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             found = patterns_of(symbols, lexicons)
             for batch in batches:
-                yield pa.array([None if t is None else [_row(r, t, fields, atoms, constants) for r in regions(t, found, priority)] for t in batch.to_pylist()], kind)
+                yield each_distinct(batch, lambda t: [_row(r, t, fields, atoms, constants) for r in regions(t, found, priority)], kind)
 
-        return F.arrow_udf(scan, f"ARRAY<STRUCT<{', '.join(f'`{f}`: {REGION[f]}' for f in fields)}>>")(text)
+        return F.arrow_udf(scan, f"ARRAY<STRUCT<{', '.join(f'`{f}`: {REGION[f]}' for f in fields)}>>")
 
     def regions(self, df: DataFrame, text_col: str = "text", into: str = "regions", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-        return df.withColumn(into, self.regions_of(F.col(text_col), fields))
+        return dealt(df).withColumn(into, self.regions_of(F.col(text_col), fields))
 
     def exploded(self, df: DataFrame, text_col: str = "text", fields: tuple[str, ...] = FIELDS) -> DataFrame:
         """One row per region, with fields of REGION beside the other columns."""
         rest = [c for c in df.columns if c != text_col]
-        return df.select(*rest, F.inline(self.regions_of(F.col(text_col), fields)))
+        return dealt(df).select(*rest, F.inline(self.regions_of(F.col(text_col), fields)))
 
     def decoded(self, ids: Column) -> Column:
         """The prose of arrays of ids that encode gave."""
@@ -103,22 +127,15 @@ class Engine:
         if mode == "A" and self.encode is None:
             raise NotImplementedError("mode A needs an encoder for prose")
         symbols, encode, priority, atoms, lexicons = self.symbols, self.encode, self.priority, self.atoms, self.lexicons
-        constants = lexicons.values_of_constants()
+        constants, kind = lexicons.values_of_constants(), pa.struct([("text", pa.string()), ("errors", pa.list_(pa.string()))])
 
         def rewrite(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             found = patterns_of(symbols, lexicons)
             for batch in batches:
-                out = []
-                for t in batch.to_pylist():
-                    if t is None:
-                        out.append(None)
-                        continue
-                    text, errors = rendered(t, regions(t, found, priority), mode, encode, atoms, constants)
-                    out.append({"text": text, "errors": errors})
-                yield pa.array(out, pa.struct([("text", pa.string()), ("errors", pa.list_(pa.string()))]))
+                yield each_distinct(batch, lambda t: dict(zip(("text", "errors"), rendered(t, regions(t, found, priority), mode, encode, atoms, constants))), kind)
 
         out = F.arrow_udf(rewrite, "STRUCT<text: STRING, errors: ARRAY<STRING>>")(F.col(text_col))
-        made = df.withColumn("_made", out).withColumns({into: F.col("_made.text"), f"{into}_errors": F.col("_made.errors")}).drop("_made")
+        made = dealt(df).withColumn("_made", out).withColumns({into: F.col("_made.text"), f"{into}_errors": F.col("_made.errors")}).drop("_made")
         if strict:
             failed = F.raise_error(F.concat(F.lit("unreadable region: "), F.array_join(f"{into}_errors", "; "))).cast("string")
             made = made.withColumn(into, F.when(F.size(f"{into}_errors") > 0, failed).otherwise(F.col(into)))

@@ -252,7 +252,7 @@ def r2l_group(spark, sf_dir):
 @query(f"""SELECT o_orderkey, '[NUM value=' || n || CASE WHEN n >= 1000 THEN ' r2l="' || {grouped_sql('n')} || '"' ELSE '' END || ' locale=none repr=inteira original="' || n || '"]' AS tag FROM (SELECT o_orderkey, {PRICE} AS n FROM orders)""")
 def num_render(spark, sf_dir):
     texts = orders(spark, sf_dir).select("o_orderkey", F.concat(F.lit("houve "), F.col("n").cast("string"), F.lit(" casos")).alias("text"))
-    return ENGINE.exploded(texts).where("type = 'NUM'").select("o_orderkey", "tag")
+    return ENGINE.exploded(texts, fields=("type", "tag")).where("type = 'NUM'").select("o_orderkey", "tag")
 
 
 # ---- references, identifiers, lookups
@@ -311,7 +311,7 @@ def op_scan(spark, sf_dir):
 @query("SELECT n_nationkey, 9 + length(n_name) AS start, 'conclusiva' AS function, 'pt-br' AS language FROM nation")
 def rel_scan(spark, sf_dir):
     texts = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("then "), F.lower("n_name"), F.lit(" is "), F.lit("Portanto azul")).alias("text"))
-    found = ENGINE.exploded(texts).where("type = 'REL'").select("n_nationkey", "start", "content")
+    found = ENGINE.exploded(texts, fields=("type", "start", "content")).where("type = 'REL'").select("n_nationkey", "start", "content")
     return en.connectives(found, "content").select("n_nationkey", F.col("start").cast("long").alias("start"), "function", "language")
 
 
@@ -319,7 +319,7 @@ def rel_scan(spark, sf_dir):
 def unit_only_scan(spark, sf_dir):
     """Units without a number, far from what stands before them too."""
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a " * 100), F.lit("medida em "), pick(F.col("p_partkey"), ["kgf/cm²", "kN·m", "J/(kg·K)"]), F.lit(" é clássica e/ou usual")).alias("text"))
-    return ENGINE.exploded(texts).where("type = 'QTY'").select("p_partkey", "content", "tag")
+    return ENGINE.exploded(texts, fields=("type", "content", "tag")).where("type = 'QTY'").select("p_partkey", "content", "tag")
 
 
 @query("SELECT p_partkey, '[QTY value=' || p_size || ' unit=' || CASE p_partkey % 3 WHEN 0 THEN 'kN·m/m dim=[1,1,-2,0,0,0,0]' WHEN 1 THEN 'W/(m²·K) dim=[1,0,-3,0,-1,0,0]' ELSE 'm s⁻² dim=[0,1,-2,0,0,0,0]' END || ']' AS tag FROM part")
@@ -334,7 +334,7 @@ MATERIALS = [("AISI 1045", "aisi-1045"), ("ASTM A36", "astm-a36"), ("SAE 4140 H"
 @query(f"SELECT p_partkey, slug FROM {picked_sql('part', 'p_partkey', MATERIALS, 'name, slug')}")
 def idx_material(spark, sf_dir):
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("peça de "), pick(F.col("p_partkey"), [m for m, _ in MATERIALS]), F.lit(" na obra")).alias("text"))
-    return ENGINE.exploded(texts).where("type = 'IDX'").select("p_partkey", "slug")
+    return ENGINE.exploded(texts, fields=("type", "slug")).where("type = 'IDX'").select("p_partkey", "slug")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || '%' WHEN 1 THEN p_size || '/7' WHEN 2 THEN p_size || 'ª' ELSE p_size || ',5' END AS content, CASE p_partkey % 4 WHEN 0 THEN 'percentual' WHEN 1 THEN 'fracionaria' WHEN 2 THEN 'ordinal' ELSE 'decimal' END AS kind FROM part")
