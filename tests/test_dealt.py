@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries that scan texts of one file.
 DEALT = [
     "unit_only_scan",
+    "preprocess_parts",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
