@@ -325,7 +325,7 @@ def unit_only_scan(spark, sf_dir):
 @query("SELECT p_partkey, '[QTY value=' || p_size || ' unit=' || CASE p_partkey % 3 WHEN 0 THEN 'kN·m/m dim=[1,1,-2,0,0,0,0]' WHEN 1 THEN 'W/(m²·K) dim=[1,0,-3,0,-1,0,0]' ELSE 'm s⁻² dim=[0,1,-2,0,0,0,0]' END || ']' AS tag FROM part")
 def unit_composition_scan(spark, sf_dir):
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("vale "), F.col("p_size"), F.lit(" "), pick(F.col("p_partkey"), ["kN·m/m", "W/(m²·K)", "m s⁻²"]), F.lit(" em média")).alias("text"))
-    return ENGINE.exploded(texts).where("type = 'QTY'").select("p_partkey", "tag")
+    return ENGINE.exploded(texts, fields=("type", "tag")).where("type = 'QTY'").select("p_partkey", "tag")
 
 
 MATERIALS = [("AISI 1045", "aisi-1045"), ("ASTM A36", "astm-a36"), ("SAE 4140 H", "sae-4140-h"), ("ER70S-6", "er70s-6"), ("CP II-E", "cp-ii-e"), ("CA-50", "ca-50"), ("USI SAC 300", "usi-sac-300"), ("Gerdau GG 50", "gerdau-gg-50"), ("Re", "re"), ("TIG", "tig"), ("γ_c", "γc"), ("EN 1992", "en-1992"), ("ASME B31.3", "asme-b31-3"), ("DIN 931", "din-931")]

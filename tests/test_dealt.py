@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 DEALT = [
     "unit_only_scan",
     "preprocess_parts",
+    "unit_composition_scan",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
