@@ -273,7 +273,7 @@ def idx_slug(spark, sf_dir):
 @query("SELECT p_partkey, 'nbr-' || (6000 + p_size) AS slug FROM part UNION ALL SELECT p_partkey, 'aisi-' || (1000 + p_size) FROM part UNION ALL SELECT p_partkey, 'iso-' || (9000 + p_size) || '-2015' FROM part")
 def idx_norm_scan(spark, sf_dir):
     text = F.concat(F.lit("NBR "), F.col("p_size") + 6000, F.lit(" e AISI "), F.col("p_size") + 1000, F.lit(" com ISO "), F.col("p_size") + 9000, F.lit(":2015."))
-    return ENGINE.exploded(table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))).where("type = 'IDX'").select("p_partkey", "slug")
+    return ENGINE.exploded(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), fields=("type", "slug")).where("type = 'IDX'").select("p_partkey", "slug")
 
 
 CONSTANT_ROWS = [

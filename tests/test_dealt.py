@@ -14,6 +14,7 @@ DEALT = [
     "unit_only_scan",
     "preprocess_parts",
     "unit_composition_scan",
+    "idx_norm_scan",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
