@@ -15,6 +15,7 @@ DEALT = [
     "preprocess_parts",
     "unit_composition_scan",
     "idx_norm_scan",
+    "regions_by_type_parts",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
