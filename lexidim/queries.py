@@ -305,7 +305,7 @@ def op_lookup(spark, sf_dir):
 def op_scan(spark, sf_dir):
     """Operators among names; an equals sign inside a word is none."""
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("caso "), F.col("p_partkey"), F.lit(". "), pick(F.col("p_partkey"), ["≥", "⇒", "="]), F.lit(" outro a=b")).alias("text"))
-    return ENGINE.exploded(texts).where("type = 'OP'").select("p_partkey", "start", "content")
+    return ENGINE.exploded(texts, fields=("type", "start", "content")).where("type = 'OP'").select("p_partkey", "start", "content")
 
 
 @query("SELECT n_nationkey, 9 + length(n_name) AS start, 'conclusiva' AS function, 'pt-br' AS language FROM nation")

@@ -16,6 +16,7 @@ DEALT = [
     "unit_composition_scan",
     "idx_norm_scan",
     "regions_by_type_parts",
+    "op_scan",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
