@@ -3,27 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lexidim import units
 from lexidim.functions.numbers import NumberError, format_value, number_value
 from lexidim.functions.text import slug
-from lexidim.operators.render import rendered, tag
+from lexidim.operators.render import rendered
 from lexidim.operators.scan import regions
-from lexidim.plans.engine import each_once, patterns_of
+from lexidim.plans.engine import REGION, Engine, each_once, patterns_of
 
 
 def register(spark: SparkSession, prefix: str = "lexi_") -> None:
-    """`SELECT … FROM docs, LATERAL lexi_regions(text)`, lexi_preprocess, lexi_number, lexi_format,
+    """`SELECT … FROM docs, LATERAL lexi_regions(text)`, lexi_regions_of, lexi_preprocess, lexi_number, lexi_format,
     lexi_slug, lexi_unit_dim, lexi_unit_factor and lexi_convert: in Arrow batches, each distinct
     value of a batch once. Queries that need no Python use the column functions they stand for."""
 
-    class Scan:
-        def eval(self, text: str):
-            for r in regions(text or "", patterns_of()):
-                yield r.type, r.start, r.end, text[r.start : r.end], tag(r, text)[0]
-
-    spark.udtf.register(prefix + "regions", F.udtf(Scan, returnType="type STRING, start INT, `end` INT, content STRING, tag STRING", useArrow=True))
+    fields = ("type", "start", "end", "content", "tag")
+    spark.udf.register(prefix + "regions_of", Engine().scanner(fields))
+    columns = ", ".join(f"`{f}` {REGION[f]}" for f in fields)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION `{prefix}regions`(text STRING) RETURNS TABLE({columns}) RETURN SELECT * FROM inline(`{prefix}regions_of`(text))")
 
     def preprocess(text):
         return rendered(text, regions(text, patterns_of()))[0]

@@ -485,7 +485,7 @@ def unit_audit(spark, sf_dir):
 def sql_functions(spark, sf_dir):
     """The scan as a lateral table function, and a conversion, in SQL."""
     lexi_sql.register(spark)
-    parts(spark, sf_dir).createOrReplaceTempView("lexi_parts")
+    en.dealt(parts(spark, sf_dir)).createOrReplaceTempView("lexi_parts")
     return spark.sql("SELECT p_partkey, r.type, r.content, round(lexi_convert(lexi_number(split(r.content, ' ')[0]), 'MPa', 'kgf/cm²'), 6) AS kgf_cm2 FROM lexi_parts, LATERAL lexi_regions(text) r WHERE r.type = 'QTY'")
 
 

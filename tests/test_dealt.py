@@ -7,6 +7,7 @@ import pytest
 
 from lexidim import queries as core
 from lexidim.plans import engine as en
+from lexidim.plans import sql as lexi_sql
 
 SF = "/root/testdata/sf0.001"
 #: Queries that scan texts of one file.
@@ -17,6 +18,7 @@ DEALT = [
     "idx_norm_scan",
     "regions_by_type_parts",
     "op_scan",
+    "sql_functions",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -66,3 +68,12 @@ def test_units_are_read_once():
             with pytest.raises(units.UnitError):
                 render.quantities("?", atoms)
     assert {"m/foo", "m"} <= set(render._UNITS) and "?" not in render._UNITS
+
+
+def test_regions_in_sql_go_with_their_row(spark):
+    lexi_sql.register(spark)
+    spark.createDataFrame([(1, "5 m e 6 kg"), (2, None), (3, ""), (4, "5 m e 6 kg")], "k INT, text STRING").createOrReplaceTempView("texts")
+    df = spark.sql("SELECT k, r.* FROM texts, LATERAL lexi_regions(text) r WHERE r.type = 'QTY'")
+    assert df.columns == ["k", "type", "start", "end", "content", "tag"]
+    assert sorted((r.k, r.start, r.end, r.content) for r in df.collect()) == [(k, *x) for k in (1, 4) for x in ((0, 3, "5 m"), (6, 10, "6 kg"))]
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()  # batches, not a call for each row
