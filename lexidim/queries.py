@@ -350,7 +350,7 @@ def num_kinds_scan(spark, sf_dir):
 def unit_letter_ambiguity(spark, sf_dir):
     before = F.element_at(F.array(F.lit("tópico "), F.lit("P = "), F.lit("potência de "), F.lit("motor de ")), (F.col("p_size") % 4 + 1).cast("int"))
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(before, F.col("p_size"), F.lit(" W liga")).alias("text"))
-    found = ENGINE.regions(texts)
+    found = ENGINE.regions(texts, fields=("type", "ambig_kind"))
     kinds = F.transform(F.filter("regions", lambda r: r["type"] == "QTY"), lambda r: F.coalesce(r["ambig_kind"], F.lit("clear")))
     return found.select("p_partkey", F.coalesce(F.get(kinds, 0), F.lit("rejected")).alias("decision"))
 

@@ -19,6 +19,7 @@ DEALT = [
     "regions_by_type_parts",
     "op_scan",
     "sql_functions",
+    "unit_letter_ambiguity",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
