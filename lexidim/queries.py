@@ -290,7 +290,7 @@ def const_lookup(spark, sf_dir):
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '[CONST:k_B]' WHEN 1 THEN '[CONST:π]' ELSE '[CONST:N_A]' END AS tag FROM part")
 def const_scan(spark, sf_dir):
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("peça "), F.col("p_size"), F.lit(" usa "), pick(F.col("p_partkey"), ["k_B", "π", "N_A"]), F.lit(" e ak_B, πr")).alias("text"))
-    return ENGINE.exploded(texts).where("type = 'CONST'").select("p_partkey", "tag")
+    return ENGINE.exploded(texts, fields=("type", "tag")).where("type = 'CONST'").select("p_partkey", "tag")
 
 
 OPERATOR_SIGNS = [("⇔", 2, "logico"), ("¬", 1, "logico"), ("≤", 2, "relacional"), ("=", 2, "relacional"), ("∈", 2, "relacional"), ("∑", 1, "calculo"), ("∇", 1, "calculo"), ("×", 2, "aritmetico")]

@@ -20,6 +20,7 @@ DEALT = [
     "op_scan",
     "sql_functions",
     "unit_letter_ambiguity",
+    "const_scan",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
