@@ -22,6 +22,7 @@ DEALT = [
     "unit_letter_ambiguity",
     "const_scan",
     "sym_definition",
+    "qty_uncertainty",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
