@@ -23,6 +23,7 @@ DEALT = [
     "const_scan",
     "sym_definition",
     "qty_uncertainty",
+    "qty_range",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
