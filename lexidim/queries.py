@@ -417,7 +417,7 @@ SYMBOL_TEXTS = [
 def sym_scan(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", pick(F.col("p_partkey"), [t for t, _ in SYMBOL_TEXTS]).alias("text"))
     found = F.transform(F.filter("regions", lambda r: r["type"] == "SYM"), lambda r: r["content"])
-    return ENGINE.regions(df).select("p_partkey", "text", F.array_join(found, ",").alias("symbols"))
+    return ENGINE.regions(df, fields=("type", "content")).select("p_partkey", "text", F.array_join(found, ",").alias("symbols"))
 
 
 @query("SELECT p_partkey, '[SYM:carga] = [QTY value=' || p_size || ' unit=kN dim=[1,1,-2,0,0,0,0]]' AS text FROM part")

@@ -24,6 +24,7 @@ DEALT = [
     "sym_definition",
     "qty_uncertainty",
     "qty_range",
+    "sym_scan",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
