@@ -342,7 +342,7 @@ def num_kinds_scan(spark, sf_dir):
     n = F.col("p_size").cast("string")
     ends = pick(F.col("p_partkey"), ["%", "/7", "ª", ",5"])
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("foi "), n, ends, F.lit(" vez")).alias("text"))
-    found = ENGINE.exploded(texts).where("type IN ('NUM', 'QTY')")
+    found = ENGINE.exploded(texts, fields=("type", "content")).where("type IN ('NUM', 'QTY')")
     return found.select("p_partkey", "content", nb.number_kind(F.col("content")).alias("kind"))
 
 

@@ -25,6 +25,7 @@ DEALT = [
     "qty_uncertainty",
     "qty_range",
     "sym_scan",
+    "num_kinds_scan",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
