@@ -26,6 +26,7 @@ DEALT = [
     "qty_range",
     "sym_scan",
     "num_kinds_scan",
+    "qty_render_a",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
