@@ -262,7 +262,7 @@ def num_render(spark, sf_dir):
 def ref_scan(spark, sf_dir):
     before = F.element_at(F.array(F.lit("conforme § "), F.lit("item "), F.lit("versão ")), (F.col("p_size") % 3 + 1).cast("int"))
     texts = table(spark, sf_dir, "part").select("p_partkey", F.concat(before, F.col("p_size"), F.lit(".2.1 vale")).alias("text"))
-    return ENGINE.exploded(texts).where("type = 'REF'").select("p_partkey", "tag")
+    return ENGINE.exploded(texts, fields=("type", "tag")).where("type = 'REF'").select("p_partkey", "tag")
 
 
 @query("SELECT p_partkey, lower(replace(p_brand, '#', '-')) AS slug, 'acao-' || p_size AS accented FROM part")

@@ -27,6 +27,7 @@ DEALT = [
     "sym_scan",
     "num_kinds_scan",
     "qty_render_a",
+    "ref_scan",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
