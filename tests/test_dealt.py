@@ -28,6 +28,7 @@ DEALT = [
     "num_kinds_scan",
     "qty_render_a",
     "ref_scan",
+    "llm_messages",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
