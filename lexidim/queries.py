@@ -82,7 +82,7 @@ def qty_scan_part(spark, sf_dir):
 
 @query("SELECT p_partkey, '[QTY value=' || p_size || ' unit=MPa dim=[1,-1,-2,0,0,0,0]]' AS tag FROM part")
 def qty_render_b(spark, sf_dir):
-    return ENGINE.exploded(parts(spark, sf_dir)).where("type = 'QTY'").select("p_partkey", "tag")
+    return ENGINE.exploded(parts(spark, sf_dir), fields=("type", "tag")).where("type = 'QTY'").select("p_partkey", "tag")
 
 
 @query("SELECT p_partkey, 'a <QTY><VAL>' || p_size || '000000</VAL><DIM>Pa</DIM><UNC/></QTY>' AS text FROM part")

@@ -29,6 +29,7 @@ DEALT = [
     "qty_render_a",
     "ref_scan",
     "llm_messages",
+    "qty_render_b",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
