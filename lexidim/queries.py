@@ -710,7 +710,7 @@ def stream_regions(spark, sf_dir):
     source = table(spark, sf_dir, "part")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/part.parquet*")
     texts = stream.select("p_partkey", part_text())
-    found = st.region_stream(texts, ENGINE).where("type = 'QTY'").select("p_partkey", "tag")
+    found = st.region_stream(texts, ENGINE, fields=("type", "tag")).where("type = 'QTY'").select("p_partkey", "tag")
     return st.written(found, f"{shared_folder(spark)}/stream-regions-{uuid.uuid4().hex}")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexidim.plans.engine import Engine
+from lexidim.plans.engine import FIELDS, Engine
 
 
-def region_stream(texts: DataFrame, engine: Engine, text_col: str = "text") -> DataFrame:
-    return engine.exploded(texts, text_col)
+def region_stream(texts: DataFrame, engine: Engine, text_col: str = "text", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    return engine.exploded(texts, text_col, fields)
 
 
 def counts_by_window(texts: DataFrame, engine: Engine, time_col: str, text_col: str = "text", window: str = "1 hour", late: str = "1 hour", id_col: str | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def counts_by_window(texts: DataFrame, engine: Engine, time_col: str, text_col:
     events = texts.withWatermark(time_col, late)
     if id_col:
         events = events.dropDuplicatesWithinWatermark([id_col])
-    return engine.exploded(events, text_col).groupBy(F.window(time_col, window), "type").agg(F.count("*").alias("n_regions")).select(F.col("window.start").alias("window_start"), "type", "n_regions")
+    return engine.exploded(events, text_col, ("type",)).groupBy(F.window(time_col, window), "type").agg(F.count("*").alias("n_regions")).select(F.col("window.start").alias("window_start"), "type", "n_regions")
 
 
 def written(stream: DataFrame, folder: str) -> DataFrame:

@@ -44,6 +44,11 @@ def test_rows_of_one_file_are_dealt(spark, name):
     assert is_dealt(core.QUERIES[name](spark, SF))
 
 
+@tables
+def test_a_stream_of_one_file_is_dealt(spark):
+    assert len(core.QUERIES["stream_regions"](spark, SF).inputFiles()) > 1
+
+
 def test_rows_of_many_files_and_of_none_stay(spark, tmp_path):
     rows = spark.createDataFrame([(f"{k} mm",) for k in range(64)], "text STRING")
     rows.repartition(32).write.parquet(f"{tmp_path}/many")
