@@ -76,7 +76,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, 10 AS q_start, CAST(length(CAST(p_size AS VARCHAR)) + 14 AS INTEGER) AS q_end, p_size || ' MPa' AS content FROM part")
 def qty_scan_part(spark, sf_dir):
-    found = ENGINE.exploded(parts(spark, sf_dir)).where("type = 'QTY'")
+    found = ENGINE.exploded(parts(spark, sf_dir), fields=("type", "start", "end", "content")).where("type = 'QTY'")
     return found.select("p_partkey", F.col("start").alias("q_start"), F.col("end").alias("q_end"), "content")
 
 

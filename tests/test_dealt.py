@@ -30,6 +30,7 @@ DEALT = [
     "ref_scan",
     "llm_messages",
     "qty_render_b",
+    "qty_scan_part",
 ]
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
