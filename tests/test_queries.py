@@ -67,3 +67,14 @@ def test_blank_texts_are_covered_too(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.sha256 for r in core.QUERIES["regions_cover_text"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items() if t is not None}
+
+
+def test_gaps_beside_equal_spans(spark):
+    """Of spans equal but for their type it makes no difference which stands first."""
+    from pyspark.sql import functions as F
+
+    spans = [(1, t, s, e) for t, s, e in (("QTY", 0, 5), ("QTY", 10, 20), ("NUM", 10, 20), ("IDX", 10, 20), ("IDX", 30, 40), ("NUM", 30, 40))]
+    for rows in (spans, spans[::-1]):
+        df = spark.createDataFrame(rows, "doc_id INT, type STRING, start INT, `end` INT")
+        found = core.resolve.gaps(df, df.select("doc_id").distinct().withColumn("length", F.lit(50)))
+        assert sorted(map(tuple, found.collect())) == [(1, 5, 10), (1, 20, 30), (1, 40, 50)]
