@@ -57,15 +57,25 @@ def patterns_of(symbols: tuple[str, ...] = (), lexicons: lx.Lexicons = lx.Lexico
     return _COMPILED.get(key) or _COMPILED.setdefault(key, Patterns(symbols or None, lexicons))
 
 
-#: Tasks for each core where rows are dealt.
-_TASKS = 4
+#: Where rows are dealt: tasks for each core at least, and bytes of the files read for each task.
+_TASKS, _BYTES = 4, 16_000_000
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df in a few even partitions for each core, if it is read from fewer files than that or is a
-    stream: a row group goes to one task whole, and scanning a row takes far longer than moving it."""
+    """df in a few even partitions for each core and more for large tables, if it is read from fewer
+    files than that or is a stream: a row group goes to one task whole, and scanning a row takes far
+    longer than moving it."""
     n = _TASKS * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.isStreaming or 0 < len(df._jdf.inputFiles()) < n else df
+    if df.isStreaming:
+        return df.repartition(n)
+    return df.repartition(max(n, _bytes_read(df) // _BYTES)) if 0 < len(df._jdf.inputFiles()) < n else df
+
+
+def _bytes_read(df: DataFrame) -> int:
+    """The size of the tables that df is made from, as far as Spark knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def each_distinct(batch: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:

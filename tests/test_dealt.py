@@ -57,6 +57,15 @@ def test_rows_of_many_files_and_of_none_stay(spark, tmp_path):
     assert [r.text for r in en.Engine().preprocess(rows).select("text").collect()] == [f"{k} mm" for k in range(64)]
 
 
+def test_large_tables_go_to_more_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(f"{k} mm",) for k in range(2000)], "text STRING").coalesce(1).write.parquet(f"{tmp_path}/one")
+    df = spark.read.parquet(f"{tmp_path}/one")
+    assert en.dealt(df).rdd.getNumPartitions() == en._TASKS * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(en, "_BYTES", 100)
+    assert en.dealt(df).rdd.getNumPartitions() == en._bytes_read(df) // 100 > 16
+    assert sorted(r.text for r in en.dealt(df).collect()) == sorted(r.text for r in df.collect())
+
+
 def test_each_text_of_a_batch_is_scanned_once(monkeypatch):
     seen = []
     monkeypatch.setattr(en, "regions", lambda t, *rest: seen.append(t) or [])
