@@ -7,9 +7,11 @@ transforms work on batch and streaming DataFrames.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +67,22 @@ def dealt(df: DataFrame) -> DataFrame:
     """df in a few even partitions for each core and more for large tables, if it is read from fewer
     files than that or is a stream: a row group goes to one task whole, and scanning a row takes far
     longer than moving it."""
-    n = _TASKS * df.sparkSession.sparkContext.defaultParallelism
+    n = _TASKS * _cores(df.sparkSession.sparkContext)
     if df.isStreaming:
         return df.repartition(n)
     return df.repartition(max(n, _bytes_read(df) // _BYTES)) if 0 < len(df._jdf.inputFiles()) < n else df
 
 
+def _cores(sc: SparkContext) -> int:
+    """The cores that are there, or that the settings ask for if these are more: until executors have
+    come, Spark counts those of none or a few."""
+    conf = sc.getConf()
+    said = lambda key, none: int(conf.get(key, none))
+    cluster = re.match(r"local-cluster\[\s*(\d+)\s*,\s*(\d+)\s*,", sc.master)
+    asked = int(cluster[1]) * int(cluster[2]) if cluster else said("spark.executor.instances", "0") * said("spark.executor.cores", "1")
+    return max(sc.defaultParallelism, asked, said("spark.cores.max", "0"))
+
+
 def _bytes_read(df: DataFrame) -> int:
     """The size of the tables that df is made from, as far as Spark knows it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

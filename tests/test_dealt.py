@@ -4,6 +4,7 @@ import os
 
 import pyarrow as pa
 import pytest
+from pyspark import SparkConf
 
 from lexidim import queries as core
 from lexidim.plans import engine as en
@@ -66,6 +67,38 @@ def test_large_tables_go_to_more_tasks(spark, tmp_path, monkeypatch):
     assert sorted(r.text for r in en.dealt(df).collect()) == sorted(r.text for r in df.collect())
 
 
+#: Queries on files that are as many as the tasks of the two cores that Spark counts before executors come.
+EARLY = [
+    "preprocess_parts",
+]
+
+
+def before_executors_come(spark, monkeypatch, **settings):
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda _: 2))
+    monkeypatch.setattr(type(spark.sparkContext), "getConf", lambda _: SparkConf(False).setAll([(f"spark.{k}", v) for k, v in settings.items()]))
+
+
+@tables
+@pytest.mark.parametrize("name", EARLY)
+def test_rows_are_dealt_over_executors_that_are_yet_to_come(spark, tmp_path, monkeypatch, name):
+    spark.read.parquet(f"{SF}/part.parquet").repartition(8).write.parquet(f"{tmp_path}/part.parquet")
+    rows = sorted(map(tuple, core.QUERIES[name](spark, SF).collect()))
+    before_executors_come(spark, monkeypatch, **{"executor.instances": "3", "executor.cores": "4"})
+    df = core.QUERIES[name](spark, str(tmp_path))
+    assert f"RoundRobinPartitioning({en._TASKS * 12})" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == rows
+
+
+def test_cores_asked_for_count(spark, monkeypatch):
+    sc = spark.sparkContext
+    for settings, cores in (({}, 2), ({"executor.instances": "3"}, 3), ({"cores.max": "20"}, 20), ({"executor.instances": "1", "executor.cores": "1"}, 2)):
+        with monkeypatch.context() as m:
+            before_executors_come(spark, m, **settings)
+            assert en._cores(sc) == cores
+            m.setattr(sc, "master", "local-cluster[3, 4,10240]")
+            assert en._cores(sc) == max(12, int(settings.get("cores.max", 0)))
+
+
 def test_each_text_of_a_batch_is_scanned_once(monkeypatch):
     seen = []
     monkeypatch.setattr(en, "regions", lambda t, *rest: seen.append(t) or [])
