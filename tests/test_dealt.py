@@ -71,6 +71,7 @@ def test_large_tables_go_to_more_tasks(spark, tmp_path, monkeypatch):
 EARLY = [
     "preprocess_parts",
     "regions_by_type_parts",
+    "sym_definition",
 ]
 
 
