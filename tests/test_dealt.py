@@ -72,6 +72,7 @@ EARLY = [
     "preprocess_parts",
     "regions_by_type_parts",
     "sym_definition",
+    "qty_render_a",
 ]
 
 
