@@ -73,6 +73,7 @@ EARLY = [
     "regions_by_type_parts",
     "sym_definition",
     "qty_render_a",
+    "llm_messages",
 ]
 
 
